@@ -55,6 +55,7 @@ def computation_reasons(claims: DataFrame, computations: DataFrame, results: Dat
             F.when(F.col("_cid") == F.col("_want"), F.col("pos")),
         ).alias("e"),
         F.bool_or(F.col("_cid") == F.col("_want")).alias("_has"),
+        F.count(F.lit(1)).alias("_runs"),
     )
     wanted = claims.where(F.col("binding").isNotNull()).select(
         F.col("binding.computation_id").alias("computation_id"), F.col("binding.result_key").alias("binding")
@@ -67,7 +68,7 @@ def computation_reasons(claims: DataFrame, computations: DataFrame, results: Dat
         claims.join(per, keys, "left")
         .withColumn("_b", F.struct(F.col("binding.computation_id").alias("computation_id"), F.col("binding.result_key").alias("result_key")))
         .join(value, "_b", "left")
-        .where(F.col("binding").isNotNull() | F.col("_has").isNotNull() | F.col("e").isNotNull())
+        .where(F.col("binding").isNotNull() | F.col("_runs").isNotNull())
     )
     state = lambda mode, replay, origin: (
         F.col("execution_mode").eqNullSafe(F.lit(mode))

@@ -1,6 +1,6 @@
 """All query modules, imported for their registrations."""
 
-from checks import claims, retrieve, store  # noqa: F401
+from checks import analysis, claims, patents, quality, retrieve, store  # noqa: F401
 from checks.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
