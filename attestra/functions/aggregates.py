@@ -12,7 +12,7 @@ def join_lines(lines: DataFrame, keys: list[str], order: list[str], column: str
     """Ordered text per key. For small presentation groups only (a digest, a report)."""
     return lines.groupBy(*keys).agg(
         F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct(*order, column))), lambda x: x[column]), "\n"
+            F.transform(F.sort_array(F.collect_list(F.struct(*order, column))), lambda x: x[column]), "\n"
         ).alias("text")
     )
 

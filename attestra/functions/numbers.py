@@ -39,10 +39,13 @@ def numeric_text(col: Column) -> Column:
     return F.regexp_replace(out, r"(\d+)\.(?=\D|$)", "$1")
 
 
+def text_has_value(normalised: Column, value: Column) -> Column:
+    """Whether text in ``numeric_text`` spelling states a value; a blank value never matches."""
+    return F.coalesce((F.trim(value) != "") & F.contains(normalised, numeric_text(F.trim(value))), F.lit(False))
+
+
 def caption_has_value(caption: Column, value: Column) -> Column:
-    """Whether a caption states a value; a blank value never matches."""
-    v = numeric_text(F.trim(value))
-    return F.coalesce((F.length(v) > 0) & F.contains(numeric_text(caption), v), F.lit(False))
+    return text_has_value(numeric_text(caption), value)
 
 
 def ratio(part: Column, whole: Column, empty: float) -> Column:

@@ -40,7 +40,7 @@ def claim_key(col: Column) -> Column:
 def claim_tokens(col: Column) -> Column:
     """Distinct ASCII words of a claim, sorted."""
     words = F.split(F.regexp_replace(F.lower(col), "[^a-z0-9]+", " "), " ")
-    return F.array_sort(F.array_distinct(F.filter(words, lambda w: w != "")))
+    return F.sort_array(F.array_distinct(F.filter(words, lambda w: w != "")))
 
 
 def phrase_text(col: Column) -> Column:

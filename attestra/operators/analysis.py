@@ -247,28 +247,14 @@ def typed_rows(
 def resolve_binding(bindings: DataFrame, results: DataFrame) -> DataFrame:
     """Join (computation_id, binding) to its scalar: ``key`` or ``series::group``.
 
-    A plain scalar of that name wins; otherwise the text after the last ``::`` names the
-    group. Unresolved bindings keep null result columns.
+    The text after the last ``::`` names the group, so a group name that holds ``::`` cannot
+    be addressed. Result keys must be valid (see ``check_results``). Unresolved bindings
+    keep null result columns.
     """
-    text = F.col("binding")
-    at = F.length(text) - F.locate("::", F.reverse(text))
-    split = (F.locate("::", text) > 0) & (at > 1)
-    keyed = bindings.withColumn("_series", F.when(split, F.substring(text, F.lit(1), at - 1))).withColumn(
-        "_group", F.when(split, F.substring(text, at + 2, F.length(text)))
-    )
-    points = results.where(F.col("type") == "scalar").drop("pos")
-    direct = points.where(F.col("group_key").isNull()).withColumnRenamed("result_key", "binding").drop("group_key")
-    grouped = points.where(F.col("group_key").isNotNull()).withColumnRenamed("result_key", "_series").withColumnRenamed(
-        "group_key", "_group"
-    )
-    fields = [c for c in direct.columns if c not in ("computation_id", "binding")]
-    one = direct.select("computation_id", "binding", F.struct(*fields).alias("_a"))
-    two = grouped.select("computation_id", "_series", "_group", F.struct(*fields).alias("_b"))
-    joined = keyed.join(one, ["computation_id", "binding"], "left").join(
-        two, ["computation_id", "_series", "_group"], "left"
-    )
-    picked = joined.withColumn("_r", F.coalesce("_a", "_b"))
-    return picked.select(*bindings.columns, *[F.col(f"_r.{f}").alias(f) for f in fields])
+    fields = [c for c in results.columns if c not in ("computation_id", "result_key", "group_key", "pos")]
+    points = results.where((F.col("type") == "scalar") & ~F.coalesce(F.contains("group_key", F.lit("::")), F.lit(False)))
+    named = points.select("computation_id", F.concat_ws("::", "result_key", "group_key").alias("binding"), *fields)
+    return bindings.join(named, ["computation_id", "binding"], "left").select(*bindings.columns, *fields)
 
 
 # --- Replay ------------------------------------------------------------------------------

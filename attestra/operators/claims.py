@@ -30,7 +30,7 @@ def ground(claims: DataFrame, evidence: DataFrame, keys: list[str] = KEY) -> tup
     # Bounded by the citations of one claim.
     why = missing.groupBy(*keys).agg(
         F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]), ", "
+            F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]), ", "
         ).alias("_missing")
     )
     checked = claims.join(why, keys, "left").withColumn(
@@ -48,7 +48,7 @@ def verify_inputs(claims: DataFrame, evidence: DataFrame, keys: list[str] = KEY)
     lines = citations(claims, keys).join(evidence.drop("ord"), "id").select(*keys, "pos", evidence_line(text).alias("line"))
     joined = lines.groupBy(*keys).agg(
         F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n"
+            F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n"
         ).alias("evidence_text")
     )
     return claims.join(joined, keys, "left").select(
@@ -217,7 +217,7 @@ def clean_points(points: DataFrame, known: DataFrame, keys: list[str]) -> DataFr
         known.select("id").distinct(), "id", "left_semi"
     )
     regrouped = kept.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("_kept")
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("_kept")
     )
     return (
         points.join(regrouped, keys, "left")
@@ -264,7 +264,7 @@ def digest_lines(
     noted = flags.where(F.col("bias_risk").isin("moderate", "high")).groupBy(*KEY).agg(
         F.array_join(
             F.transform(
-                F.array_sort(F.collect_list(F.struct("audit_ord", "flag_pos", "bias_risk", "category", "explanation"))),
+                F.sort_array(F.collect_list(F.struct("audit_ord", "flag_pos", "bias_risk", "category", "explanation"))),
                 lambda f: F.concat(f["bias_risk"], F.lit(" "), f["category"], F.lit(" - "), f["explanation"]),
             ),
             "; ",

@@ -16,7 +16,7 @@ def gate_readings(readings: DataFrame, figures: DataFrame) -> DataFrame:
     figures: figure_id, caption, one row per figure.
     """
     def judged(v):
-        stated = N.caption_has_value(F.col("caption"), v["value"])
+        stated = N.text_has_value(F.col("_caption"), v["value"])
         return F.struct(
             v["label"].alias("label"), v["value"].alias("value"), v["unit"].alias("unit"), stated.alias("in_caption"),
             F.when(stated, "low").otherwise("high").alias("read_risk"),
@@ -24,8 +24,8 @@ def gate_readings(readings: DataFrame, figures: DataFrame) -> DataFrame:
 
     known = F.col("figure_type").isin(K.FIGURE_TYPES)
     return (
-        readings.join(figures.select("figure_id", "caption"), "figure_id")
+        readings.join(figures.select("figure_id", N.numeric_text(F.col("caption")).alias("_caption")), "figure_id")
         .withColumn("values", F.transform("values", judged))
         .withColumn("figure_type", F.when(known, F.col("figure_type")).otherwise("other"))
-        .drop("caption")
+        .drop("_caption")
     )

@@ -168,7 +168,7 @@ def labels_by_sequence(associations: DataFrame) -> DataFrame:
     """Distinct region labels per sequence in order of first mention (23 labels exist)."""
     first = associations.groupBy(*SEQ, "region_label").agg(F.min("pos").alias("pos"))
     return first.groupBy(*SEQ).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "region_label"))), lambda x: x["region_label"]).alias("labels")
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "region_label"))), lambda x: x["region_label"]).alias("labels")
     )
 
 
@@ -304,7 +304,7 @@ def derive_regions(numbering: DataFrame) -> DataFrame:
     named = F.concat(F.regexp_replace(generic, r"\d", ""), F.lit("-"), side, F.regexp_replace(generic, r"\D", ""))
     both = rows.withColumn("label", F.explode(F.array_compact(F.array(F.concat(F.lit("V"), side), named))))
     return both.groupBy("domain_id", "chain", "label").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "aa"))), lambda x: x["aa"]), "").alias("seq"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "aa"))), lambda x: x["aa"]), "").alias("seq"),
         F.min("n").alias("first_pos"),
         F.max("n").alias("last_pos"),
     )
@@ -509,7 +509,7 @@ def cited_facts(points: DataFrame, facts: DataFrame) -> DataFrame:
     cites = points.select("doc_id", "point_id", F.posexplode("citations").alias("pos", "citation"))
     lines = cites.join(facts, ["doc_id", "citation"], "left").withColumn("line", F.coalesce("fact", "citation"))
     text = lines.groupBy("doc_id", "point_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("_t")
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("_t")
     )
     return points.join(text, ["doc_id", "point_id"], "left").withColumn(
         "evidence", F.coalesce("_t", F.lit("(no cited evidence)"))

@@ -5,6 +5,9 @@ Queries are rows, so every operator ranks for all queries at once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +16,13 @@ from attestra.functions import text as T
 from attestra.functions import vectors as V
 from attestra.session import bounded_values, literal_array
 
+try:
+    import ahocorasick
+except ImportError:
+    ahocorasick = None
+
 INLINE_TERMS = 500  # longest term list written into an expression
+AUTOMATON_TERMS = 100_000  # longest term list sent to executors as one search automaton
 
 
 def rank_all(df: DataFrame, keys: list[str], order: list[Column], rank: str) -> DataFrame:
@@ -76,21 +85,48 @@ def _grams(text: Column, n: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))))
 
 
+def _scan(rows: DataFrame, id_col: str, text: Column, terms: list[str]) -> DataFrame:
+    """``(id, term)`` for every term found, one pass over each text in Arrow batches."""
+    kind = dict(rows.select(id_col).dtypes)[id_col]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        finder = ahocorasick.Automaton()
+        for term in terms:
+            finder.add_word(term, term)
+        finder.make_automaton()
+        for batch in batches:
+            pairs = [(i, t) for i, x in zip(batch[id_col], batch["_text"]) if x for t in {w for _, w in finder.iter(x)}]
+            yield pd.DataFrame(pairs, columns=[id_col, "term"])
+
+    return rows.select(F.col(id_col), text.alias("_text")).mapInPandas(run, f"{id_col} {kind}, term string")
+
+
 def term_hits(rows: DataFrame, id_col: str, text: Column, terms: DataFrame) -> DataFrame:
     """``(id, target)`` pairs where the text contains any term of the target.
 
-    A proven-short term list is written into the expression: one pass, no shuffle of text.
-    Beyond that, texts and terms meet on their leading 3 characters (an equi-join on the
-    text's n-grams carrying ids only) and each candidate is checked against the text.
+    A proven-short term list is written into the expression, a longer bounded one goes to
+    the executors as a search automaton: one pass, no shuffle of text. Beyond that, texts
+    and terms meet on the terms' leading 3 characters (an equi-join on the text's n-grams
+    carrying ids only) and each candidate is checked against the text.
     """
-    lowered = terms.select("target", F.lower("term").alias("term")).distinct()
-    inline = bounded_values(lowered, "term", INLINE_TERMS)
+    lowered = terms.select("target", F.lower("term").alias("term")).where(F.length("term") > 0).distinct()
+    known = bounded_values(lowered, "term", AUTOMATON_TERMS if ahocorasick is not None else INLINE_TERMS)
     base = rows.select(F.col(id_col), text.alias("_text"))
-    if inline is not None:
-        hit = F.filter(literal_array(inline), lambda t: F.contains(F.col("_text"), t))
-        found = base.select(id_col, F.explode(hit).alias("term"))
+    if known is not None:
+        if len(known) <= INLINE_TERMS // 5:
+            hit = F.filter(literal_array(known), lambda t: F.contains(F.col("_text"), t))
+            found = base.select(id_col, F.explode(hit).alias("term"))
+        else:
+            found = _scan(rows, id_col, text, known)
         return found.join(lowered, "term").select(id_col, "target").distinct()
-    keyed = lowered.withColumn("_gram", F.substring("term", 1, 3)).withColumn("_n", F.least(F.length("term"), F.lit(3)))
+    return gram_hits(base, id_col, lowered)
+
+
+def gram_hits(base: DataFrame, id_col: str, terms: DataFrame) -> DataFrame:
+    """Term hits by joining texts (id, _text) and lower-case terms on leading n-grams."""
+    keyed = terms.withColumn("_gram", F.substring("term", 1, 3)).withColumn("_n", F.least(F.length("term"), F.lit(3)))
     parts = []
     for n in (1, 2, 3):
         grams = base.select(id_col, F.explode(_grams(F.col("_text"), n)).alias("_gram"))
@@ -104,6 +140,16 @@ def term_hits(rows: DataFrame, id_col: str, text: Column, terms: DataFrame) -> D
     )
 
 
+def own_terms(terms: DataFrame, key: str) -> DataFrame:
+    """The lower-case terms of each key as an array ``_terms``: a symbol and its synonyms."""
+    return terms.groupBy(key).agg(F.collect_set(F.lower("term")).alias("_terms"))
+
+
+def mentions_own(text: Column) -> Column:
+    """Whether text contains one of the row's ``_terms``; without terms every row passes."""
+    return F.coalesce(F.exists("_terms", lambda t: F.contains(text, t)), F.lit(True))
+
+
 def relevance_gate_many(evidence: DataFrame, terms: DataFrame) -> DataFrame:
     """``(target, evidence row)`` for every target whose terms the row mentions."""
     return evidence.join(term_hits(evidence, "id", gate_text(), terms), "id")
@@ -120,26 +166,25 @@ def pinned_search(publications: DataFrame, queries: DataFrame, review_only: bool
     of the target, so only publications that hold that word are compared with the query.
     """
     pubs = publications.where(F.col("is_review")) if review_only else publications
-    pinned = T.phrase_text(F.concat_ws(" ", "title", "passage"))
-    anywhere = T.phrase_text(F.concat_ws(" ", "title", "passage", "snippet"))
     wanted = queries.select(
         "query_id",
         T.phrase(F.col("target")).alias("_target"),
         F.when(F.length(F.trim("concept")) > 0, T.phrase(F.col("concept"))).alias("_concept"),
     ).withColumn("_word", F.element_at(F.split(F.trim("_target"), " "), 1))
+    texts = pubs.withColumn("_pinned", T.phrase_text(F.concat_ws(" ", "title", "passage")))
     words = F.array_distinct(F.split(F.trim("_pinned"), " "))
-    base = pubs.select("id", pinned.alias("_pinned"), anywhere.alias("_any"))
+    anywhere = F.concat("_pinned", T.phrase_text(F.col("snippet")))
+    hit = F.contains("_pinned", F.col("_target")) & (F.col("_concept").isNull() | F.contains(anywhere, F.col("_concept")))
     inline = bounded_values(wanted, "_word", INLINE_TERMS)
     if inline is not None:
-        # Few distinct words: keep the text beside the handful of words it can match.
+        # Few distinct words: a record travels with the handful of words it can match.
         matched = F.array_intersect(words, literal_array(inline))
-        cand = base.select("id", "_pinned", "_any", F.explode(matched).alias("_word")).join(wanted, "_word")
+        cand = texts.withColumn("_word", F.explode(matched)).join(wanted, "_word")
     else:
-        index = base.select("id", F.explode(words).alias("_word"))
-        pairs = index.join(wanted, "_word")
-        cand = pairs.join(base, "id")
-    hit = F.contains("_pinned", F.col("_target")) & (F.col("_concept").isNull() | F.contains("_any", F.col("_concept")))
-    return cand.where(hit).select("query_id", "id").join(pubs, "id")
+        # Many words: ids meet queries first, then the candidates fetch their text.
+        pairs = texts.select("id", F.explode(words).alias("_word")).join(wanted, "_word")
+        cand = pairs.join(texts, "id")
+    return cand.where(hit).drop("_word", "_pinned", "_target", "_concept")
 
 
 def top_cited(hits: DataFrame, page_size: int | None = None, keys: list[str] | None = None) -> DataFrame:
@@ -204,7 +249,7 @@ def rrf(lists: DataFrame, k: int = K.RRF_K, limit: int | None = None) -> DataFra
     per_list = lists.groupBy("query_id", "list_no", "id").agg(F.min("idx").alias("idx"))
     # One entry per list an id occurs in: bounded by the number of lists per query.
     fused = per_list.groupBy("query_id", "id").agg(
-        F.array_sort(F.collect_list(F.struct("list_no", "idx"))).alias("_in")
+        F.sort_array(F.collect_list(F.struct("list_no", "idx"))).alias("_in")
     )
     score = F.aggregate("_in", F.lit(0.0), lambda acc, x: acc + F.lit(1.0) / (x["idx"] + F.lit(k + 1)))
     scored = fused.select(
@@ -306,13 +351,9 @@ def orient(publications: DataFrame, terms: DataFrame, n: int = 2) -> DataFrame:
         F.col("target").alias("query_id"), "target", F.lit("").alias("concept")
     )
     found = pinned_search(publications, queries, review_only=True).withColumnRenamed("query_id", "target")
-    gated = found.join(
-        term_hits(found, "id", gate_text(), terms), ["id", "target"], "left_semi"
-    )
-    top = top_cited(gated, n, ["target"])
-    titles = term_hits(top, "id", F.lower("title"), terms).withColumn("_named", F.lit(True))
-    named = top.join(titles, ["id", "target"], "left")
-    pick = named.where(F.col("_named") & readable()).groupBy("target").agg(F.min("rank").alias("_pick"))
-    return named.join(pick, "target", "left").withColumn(
-        "deep_read", F.coalesce(F.col("rank") == F.col("_pick"), F.lit(False))
-    ).drop("_named", "_pick")
+    gated = found.join(own_terms(terms, "target"), "target", "left").where(mentions_own(gate_text()))
+    ranked = top_cited(gated, n, ["target"])
+    good = F.when(mentions_own(F.lower("title")) & readable(), F.col("rank"))
+    # At most ``n`` rows per target are left here.
+    first = F.min(good).over(Window.partitionBy("target"))
+    return ranked.withColumn("deep_read", F.coalesce(F.col("rank") == first, F.lit(False))).drop("_terms")

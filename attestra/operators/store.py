@@ -72,7 +72,7 @@ def source_identity(ids: DataFrame, evidence: DataFrame, computations: DataFrame
         releases = computations.groupBy("id").agg(
             F.concat(
                 F.lit("dataset-release:"),
-                F.array_join(F.array_sort(F.collect_set("logical_source_id")), "+"),
+                F.array_join(F.sort_array(F.collect_set("logical_source_id")), "+"),
             ).alias("release")
         )
         out = out.join(releases, "id", "left").withColumn(

@@ -20,16 +20,8 @@ def lexical_pool(variants: DataFrame, terms: DataFrame, publications: DataFrame,
     )
     narrow = ["query_id", "id", "cited_by", "ord", "title", "passage", "snippet"]
     page = R.top_cited(R.pinned_search(publications, searched).select(*narrow), page_size)
-    flat = page.select("query_id.query_id", "query_id.variant", "id", "rank", "title", "passage", "snippet")
-    mentioned = R.term_hits(
-        flat.select("id", "title", "passage", "snippet").distinct(), "id", R.gate_text(),
-        terms.select(F.col("query_id").alias("target"), "term"),
-    ).withColumnRenamed("target", "query_id")
-    open_queries = variants.select("query_id").distinct().join(terms.select("query_id").distinct(), "query_id", "left_anti")
-    kept = flat.select("query_id", "variant", "id", "rank")
-    gated = kept.join(mentioned, ["query_id", "id"], "left_semi").unionByName(
-        kept.join(open_queries, "query_id", "left_semi")
-    )
+    flat = page.select("query_id.query_id", "query_id.variant", "id", "rank", R.gate_text().alias("_text"))
+    gated = flat.join(R.own_terms(terms, "query_id"), "query_id", "left").where(R.mentions_own(F.col("_text")))
     w = Window.partitionBy("query_id", "variant").orderBy("rank")
     lists = gated.select(
         "query_id", F.col("variant").alias("list_no"), (F.row_number().over(w) - 1).alias("idx"), "id"

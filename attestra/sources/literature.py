@@ -224,7 +224,7 @@ def parse_articles(articles: DataFrame) -> DataFrame:
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
     """Article files named ``<pmcid>.xml`` as (pmcid, xml, ord)."""
-    files = spark.read.option("wholetext", True).text(path).select(
+    files = spark.read.text(path, wholetext=True).select(
         F.col("value").alias("xml"), F.regexp_extract("_metadata.file_name", r"^(.*)\.xml$", 1).alias("pmcid")
     )
     return files.withColumn("ord", F.xxhash64("pmcid").bitwiseAND(F.lit(0x7FFFFFFFFFF)))
@@ -259,17 +259,17 @@ def figures(parsed: DataFrame) -> DataFrame:
     )
 
 
-def page_sections(pages: DataFrame) -> DataFrame:
-    """Web pages (page_id, html) split at second-level headings: one passage per section.
+def page_sections(pages: DataFrame, level: int = 2) -> DataFrame:
+    """Web pages (page_id, html) split at headings of one level: one passage per section.
 
     Scripts, styles and comments go first, then tags; blank sections are left out.
     """
     bare = F.regexp_replace("html", r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " ")
-    parts = F.slice(F.split(bare, r"(?i)(?=<h2[\s>])"), 2, 1000000)
+    parts = F.slice(F.split(bare, rf"(?i)(?=<h{level}[\s>])"), 2, 1000000)
     rows = pages.select("page_id", "url", F.posexplode(parts).alias("pos", "part"))
     clean = lambda c: collapse_space(F.regexp_replace(c, "<[^>]*>", " "))
+    head = rf"(?is)^<h{level}[^>]*>(.*?)</h{level}>"
     out = rows.select(
-        "page_id", "pos", clean(F.regexp_extract("part", r"(?is)^<h2[^>]*>(.*?)</h2>", 1)).alias("title"),
-        clean(F.regexp_replace("part", r"(?is)^<h2[^>]*>.*?</h2>", " ")).alias("passage"), "url",
+        "page_id", "pos", clean(F.regexp_extract("part", head, 1)).alias("title"), clean(F.regexp_replace("part", head, " ")).alias("passage"), "url"
     )
     return out.where(F.length("passage") > 0)

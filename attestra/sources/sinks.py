@@ -23,7 +23,7 @@ def results_json(results: DataFrame) -> DataFrame:
     point = F.struct("pos", F.struct(F.col("group_key").alias("key"), *body).alias("v"))
     heads = results.where(F.col("group_key").isNull())
     groups = results.where(F.col("group_key").isNotNull()).groupBy("computation_id", "result_key").agg(
-        F.transform(F.array_sort(F.collect_list(point)), lambda p: p["v"]).alias("groups")
+        F.transform(F.sort_array(F.collect_list(point)), lambda p: p["v"]).alias("groups")
     )
     full = heads.join(groups, ["computation_id", "result_key"], "left").select(
         "computation_id", "result_key", F.struct(*body, "groups").alias("v")
@@ -32,7 +32,7 @@ def results_json(results: DataFrame) -> DataFrame:
     # A scalar has no group list at all; its null list is cut from the text.
     text = F.regexp_replace(F.to_json("v", keep_null), r',"groups":null\}$', "}")
     entry = F.struct("result_key", F.concat(F.to_json(F.struct("result_key")), F.lit(" ")).alias("k"), text.alias("j"))
-    docs = full.groupBy("computation_id").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    docs = full.groupBy("computation_id").agg(F.sort_array(F.collect_list(entry)).alias("e"))
     key = lambda e: F.concat(F.lit('"'), e["result_key"], F.lit('":'), e["j"])
     return docs.select(
         "computation_id", canonical_json(F.concat(F.lit('{"results":{'), F.array_join(F.transform("e", key), ","), F.lit("}}"))).alias("json")
@@ -47,13 +47,13 @@ def write_results(results: DataFrame, path: str) -> None:
 
 def scorecard_markdown(metrics: DataFrame, title: str) -> str:
     """A report of metric means and of every target's metrics (tens of rows)."""
-    three = lambda c: F.format_number(c, "0.000")
+    three = lambda c: F.call_function("format_number", c, F.lit("0.000"))
     means = metrics.groupBy("name").agg(F.concat(F.lit("| "), "name", F.lit(" | "), three(F.avg("score")), F.lit(" |")).alias("line"))
     rows = metrics.select("target", F.struct(
         "name", F.concat(F.lit("| "), "name", F.lit(" | "), three(F.col("score")), F.lit(" | "), F.when(F.col("pass"), "y").otherwise("n"), F.lit(" |")).alias("line"),
         F.col("pass").alias("pass"),
     ).alias("m"))
-    per = rows.groupBy("target").agg(F.array_sort(F.collect_list("m")).alias("m")).select(
+    per = rows.groupBy("target").agg(F.sort_array(F.collect_list("m")).alias("m")).select(
         "target",
         F.array_join(F.transform(F.filter("m", lambda x: ~x["pass"]), lambda x: x["name"]), ", ").alias("fails"),
         F.array_join(F.transform("m", lambda x: x["line"]), "\n").alias("table"),

@@ -52,7 +52,7 @@ def ranked_tissues(rows: Column) -> Column:
             r["datatypeId"].alias("datatype"))),
         lambda r: r["down"].isNotNull() & (F.length(r["tissue"]) > 0),
     )
-    return F.array_sort(named)
+    return F.sort_array(named)
 
 
 def _expression_text(rows: Column) -> Column:
@@ -135,7 +135,7 @@ def target_cards(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce(t("associatedDiseases.rows"), none("array<struct<score:double,disease:struct<id:string,name:string>>>")),
         lambda r, i: F.struct(
             (i + 1000).alias("pos"), r["disease"]["id"].alias("id"), F.lit("disease").alias("kind"), r["disease"]["name"].alias("title"),
-            F.concat(F.lit("association score "), F.format_number(r["score"], "0.00"), F.lit(" for "), symbol).alias("snippet"),
+            F.concat(F.lit("association score "), F.call_function("format_number", r["score"], F.lit("0.00")), F.lit(" for "), symbol).alias("snippet"),
             F.concat(F.lit("https://platform.opentargets.org/evidence/"), t("id"), F.lit("/"), r["disease"]["id"]).alias("url"), F.to_json(r).alias("raw")),
     )
     drugs = F.transform(
@@ -324,7 +324,7 @@ def patent_hits(spark: SparkSession, path: str, limit: int = 8) -> DataFrame:
     """
     from attestra.operators.retrieve import top_n
 
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from attestra.session import spread
+
 Query = Callable[["Tables"], DataFrame]
 
 VIEW_SQL: dict[str, str] = {}
@@ -25,6 +27,10 @@ class Tables:
     def __getitem__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def text(self, name: str) -> DataFrame:
+        """A table whose text is worked on row by row: spread when the file is one split."""
+        return spread(self[name])
+
 
 def view(sql: str):
     """Register a view: the decorated function builds it in Spark, ``sql`` in DuckDB."""

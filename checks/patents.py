@@ -38,7 +38,7 @@ def claims_window(t: Tables) -> DataFrame:
         F.col("doc_id") % 2 == 0, F.concat(F.lit("some description\n## Claims\n"), text, text, text)
     ).otherwise(text)
     window = SQ.claims_window(body)
-    return t["documents"].select("doc_id", F.length(window).cast("bigint").alias("n"), F.md5(window).alias("window_md5"))
+    return t.text("documents").select("doc_id", F.length(window).cast("bigint").alias("n"), F.md5(window).alias("window_md5"))
 
 
 @check("""
@@ -54,7 +54,7 @@ def completeness(t: Tables) -> DataFrame:
     seqs = rows.where("l_linestatus = 'O'").select("doc_id", "seq_id").distinct()
     done = P.completeness(seqs, rows.where("l_linestatus = 'F'").select("doc_id", "seq_id"))
     gaps = P.missing_ids(seqs, done).groupBy("doc_id").agg(
-        F.array_join(F.array_sort(F.collect_list("seq_id")), ",").alias("missing_ids")
+        F.array_join(F.sort_array(F.collect_list("seq_id")), ",").alias("missing_ids")
     )
     return done.drop("missing_count").join(gaps, "doc_id", "left").na.fill("", ["missing_ids"])
 

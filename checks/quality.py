@@ -168,7 +168,7 @@ def m_faithful(t: Tables) -> DataFrame:
     FROM (SELECT DISTINCT source, source = 'src3' AS abstained FROM documents) LEFT JOIN a USING (source)
 """)
 def m_sentences(t: Tables) -> DataFrame:
-    docs = t["documents"]
+    docs = t.text("documents")
     rows = Q.prose_sentences(docs, ["doc_id", "source"])
     verdicts = rows.select(
         "doc_id", "sentence_no",

@@ -22,7 +22,7 @@ def citation_edges(t: Tables) -> DataFrame:
         (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id + 1000000, substr(text, 1, 60) FROM documents)
 """)
 def readable_docs(t: Tables) -> DataFrame:
-    docs = t["documents"].select("doc_id", "text")
+    docs = t.text("documents").select("doc_id", "text")
     short = docs.select((F.col("doc_id") + 1000000).alias("doc_id"), F.substring("text", 1, 60).alias("text"))
     good, bad = P.readable_docs(docs.unionByName(short))
     return good.select("doc_id", F.lit(True).alias("readable")).unionByName(bad.select("doc_id", F.lit(False).alias("readable")))

@@ -34,7 +34,7 @@ def pmid(col: Column) -> Column:
     FROM documents WHERE doc_id % 10 = 0
 """)
 def v_evidence(t: Tables) -> DataFrame:
-    docs = t["documents"]
+    docs = t.text("documents")
     key = F.col("doc_id")
     pmc = F.concat(F.lit("PMC"), key.cast("string"))
     papers = docs.select(
@@ -140,7 +140,7 @@ def v_shipped(t: Tables) -> DataFrame:
     WHERE length(line) > 20
 """)
 def v_dup_claims(t: Tables) -> DataFrame:
-    lines = t["documents"].select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    lines = t.text("documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     return lines.where(F.length("line") > 20).select(
         (F.col("doc_id") * 1000000 + F.col("i") + 1).alias("ord"),
         F.col("source").alias("section_id"),
