@@ -38,9 +38,11 @@ def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, fl
     )
     inside = F.lit(False)
     slot = F.lit(0)
+    # Below this size a rank can lie outside the sketch's margin, so all values are kept.
+    small = F.col("_n") <= 4 * SKETCH
     for i, p in enumerate(points.values()):
-        low = F.col("_lo") if p - shift <= 0 else F.get("_b", F.lit(2 * i))
-        high = F.col("_hi") if p + shift >= 1 else F.get("_b", F.lit(2 * i + 1))
+        low = F.col("_lo") if p - shift <= 0 else F.when(small, F.col("_lo")).otherwise(F.get("_b", F.lit(2 * i)))
+        high = F.col("_hi") if p + shift >= 1 else F.when(small, F.col("_hi")).otherwise(F.get("_b", F.lit(2 * i + 1)))
         inside = inside | F.col("_v").between(low, high)
         # Gaps between intervals get one slot each, so their rows add up to one count.
         slot = slot + (F.col("_v") > high).cast("int")

@@ -56,16 +56,23 @@ def manifest(value: dict) -> dict:
     return {**value, "datasets": sorted(value["datasets"], key=order)}
 
 
-@F.pandas_udf("string")
-def canonical_json(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else canonical(json.loads(t)))
+def _each(text: pd.Series, change) -> pd.Series:
+    return text.map(lambda t: None if t is None else canonical(change(json.loads(t))))
 
 
-@F.pandas_udf("string")
-def canonical_manifest(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else canonical(manifest(json.loads(t))))
+def canonical_json(text: Column) -> Column:
+    """Canonical form of a JSON text."""
+
+    def run(batch: pd.Series) -> pd.Series:
+        return _each(batch, lambda v: v)
+
+    return F.pandas_udf(run, "string")(text)
 
 
 def computation_id(manifest_json: Column) -> Column:
     """SHA-256 of the canonical manifest."""
-    return F.sha2(canonical_manifest(manifest_json), 256)
+
+    def run(batch: pd.Series) -> pd.Series:
+        return _each(batch, manifest)
+
+    return F.sha2(F.pandas_udf(run, "string")(manifest_json), 256)

@@ -39,14 +39,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     for a local master, where driver and executors share one machine.
     """
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return sc.getCheckpointDir()
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(folder)
     return folder
 
 
