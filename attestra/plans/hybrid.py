@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestra import constants as K
 from attestra.operators import retrieve as R
+from attestra.session import cut_lineage
 
 
 def lexical_pool(variants: DataFrame, terms: DataFrame, publications: DataFrame, page_size: int, candidates: int) -> DataFrame:
@@ -46,7 +47,8 @@ def hybrid_search(
     candidates do not all have a usable vector, or that has fewer than two, keeps its
     lexical order. ``scores`` (query_id, index, score, ord) reranks the fused head.
     """
-    pool = lexical_pool(variants, terms, publications, page_size, candidates)
+    # At most 200 ids per query, used in six places below: written once, read back.
+    pool = cut_lineage(lexical_pool(variants, terms, publications, page_size, candidates))
     good, _ = R.split_vectors(vectors)
     have = pool.join(good.select("id").distinct(), "id", "left_semi").groupBy("query_id").agg(F.count(F.lit(1)).alias("_v"))
     sizes = pool.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
@@ -57,9 +59,8 @@ def hybrid_search(
         .join(usable_q.select("query_id"), "query_id", "left_semi")
         .select("query_id")
     )
-    dense = R.dense_rank_pool(pool.join(complete, "query_id", "left_semi"), usable_q, good).select(
-        "query_id", "id", "dense_rank"
-    )
+    ranked = R.dense_rank_pool(pool.join(complete, "query_id", "left_semi"), usable_q, good)
+    dense = cut_lineage(ranked.select("query_id", "id", "dense_rank"))
     lists = pool.select("query_id", F.lit(0).alias("list_no"), (F.col("rank") - 1).alias("idx"), "id").unionByName(
         dense.select("query_id", F.lit(1).alias("list_no"), (F.col("dense_rank") - 1).alias("idx"), "id")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,13 +23,23 @@ class Tables:
 
     spark: SparkSession
     folder: str
+    known: dict = field(default_factory=dict)
+
+    def _once(self, key: tuple, make):
+        if key not in self.known:
+            self.known[key] = make()
+        return self.known[key]
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._once(("table", name), lambda: self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
+
+    def rows(self, name: str) -> int:
+        """Row count of a table, from the file footers."""
+        return self._once(("rows", name), lambda: self[name].count())
 
     def text(self, name: str) -> DataFrame:
         """A table whose text is worked on row by row: spread when the file is one split."""
-        return spread(self[name])
+        return self._once(("text", name), lambda: spread(self[name]))
 
 
 def view(sql: str):

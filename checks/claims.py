@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attestra.operators import claims as C
 from attestra.operators import consolidate as X
 from attestra.operators import store as S
+from attestra.session import cut_lineage
 from checks import views as V
 from checks.base import Tables, check
 from checks.store import IDENTITY
@@ -233,7 +234,7 @@ WORDS = """
 """)
 def consolidate_edges(t: Tables) -> DataFrame:
     keyed = X.keyed_claims(V.v_dup_claims(t))
-    return X.same_fact_edges(X.claim_classes(keyed.where(F.length("text_key") > 0)))
+    return X.same_fact_edges(cut_lineage(X.claim_classes(keyed.where(F.length("text_key") > 0))))
 
 
 @check("WITH " + WORDS + """,

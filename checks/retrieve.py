@@ -258,7 +258,7 @@ def hybrid_search(t: Tables) -> DataFrame:
     variants = pins.withColumn("variant", F.lit(0)).unionByName(pins.withColumn("variant", F.lit(1)).withColumn("concept", F.lit("")))
     terms = pins.select("query_id", F.col("target").alias("term"))
     store = V.v_store(t)
-    n = t["embeddings"].count()
+    n = t.rows("embeddings")
     vectors = store.where("doc_id % 37 <> 0").select("id", (F.col("doc_id") % n).alias("vec_id")).join(
         t["embeddings"].select("vec_id", F.col("embedding").alias("vector")), "vec_id"
     ).select("id", "vector")

@@ -34,49 +34,34 @@ def pmid(col: Column) -> Column:
     FROM documents WHERE doc_id % 10 = 0
 """)
 def v_evidence(t: Tables) -> DataFrame:
-    docs = t.text("documents")
+    # One scan: each document yields its paper, its full text section and its repeat.
     key = F.col("doc_id")
-    pmc = F.concat(F.lit("PMC"), key.cast("string"))
-    papers = docs.select(
-        pmid(key).alias("id"),
+    parts = F.array_compact(F.array(F.lit(0), F.when(key % 6 == 0, 1), F.when(key % 10 == 0, 2)))
+    docs = t.text("documents").select("*", F.explode(parts).alias("part"))
+    full = F.col("part") == 1
+    name = key.cast("string")
+    pmc = F.concat(F.lit("PMC"), name)
+    head = F.substring("text", 1, 80)
+    own = lambda column: F.when(~full, column)
+    return docs.select(
+        F.when(full, F.concat(F.lit("PMCID:"), pmc, F.lit("#sec-0"))).otherwise(pmid(key)).alias("id"),
         F.lit("publication").alias("kind"),
-        F.lit("Europe PMC").alias("source"),
-        F.substring("text", 1, 80).alias("title"),
-        F.concat(F.lit("cited "), F.col("n_chars").cast("string"), F.lit("x")).alias("snippet"),
+        F.when(full, "PMC full text").otherwise("Europe PMC").alias("source"),
+        F.when(full, "Section 1").when(F.col("part") == 2, F.concat(F.lit("Changed "), head)).otherwise(head).alias("title"),
+        F.when(full, "Section 1").otherwise(F.concat(F.lit("cited "), F.col("n_chars").cast("string"), F.lit("x"))).alias("snippet"),
         F.col("text").alias("passage"),
-        F.lit(None).cast("string").alias("locator"),
-        F.concat(F.lit("https://example.org/"), key.cast("string")).alias("url"),
-        F.when(key % 3 == 0, pmc).otherwise("").alias("pmcid"),
-        (key % 4 != 0).alias("is_open_access"),
-        (key % 5 == 0).alias("is_review"),
-        F.col("n_chars").cast("bigint").alias("cited_by"),
-        F.col("source").alias("last_author"),
-        F.col("lang").alias("affiliation"),
-        "doc_id",
-        key.alias("ord"),
-    )
-    again = papers.where(key % 10 == 0).withColumn("title", F.concat(F.lit("Changed "), "title")).withColumn(
-        "ord", F.col("ord") + LATER
-    )
-    full = docs.where(key % 6 == 0).select(
-        F.concat(F.lit("PMCID:"), pmc, F.lit("#sec-0")).alias("id"),
-        F.lit("publication").alias("kind"),
-        F.lit("PMC full text").alias("source"),
-        F.lit("Section 1").alias("title"),
-        F.lit("Section 1").alias("snippet"),
-        F.col("text").alias("passage"),
-        F.lit("Section 1").alias("locator"),
-        F.concat(F.lit("https://example.org/pmc/"), key.cast("string"), F.lit("#sec-0")).alias("url"),
-        pmc.alias("pmcid"),
-        F.lit(True).alias("is_open_access"),
-        F.lit(False).alias("is_review"),
-        F.lit(0).cast("bigint").alias("cited_by"),
-        F.lit(None).cast("string").alias("last_author"),
-        F.lit(None).cast("string").alias("affiliation"),
+        F.when(full, "Section 1").alias("locator"),
+        F.when(full, F.concat(F.lit("https://example.org/pmc/"), name, F.lit("#sec-0")))
+        .otherwise(F.concat(F.lit("https://example.org/"), name)).alias("url"),
+        F.when(full | (key % 3 == 0), pmc).otherwise("").alias("pmcid"),
+        (full | (key % 4 != 0)).alias("is_open_access"),
+        (~full & (key % 5 == 0)).alias("is_review"),
+        F.when(full, F.lit(0)).otherwise(F.col("n_chars")).cast("bigint").alias("cited_by"),
+        own(F.col("source")).alias("last_author"),
+        own(F.col("lang")).alias("affiliation"),
         "doc_id",
-        (key + 2 * LATER).alias("ord"),
+        (key + F.when(full, 2 * LATER).when(F.col("part") == 2, LATER).otherwise(0)).alias("ord"),
     )
-    return papers.unionByName(full).unionByName(again)
 
 
 @view("SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord) AS rn FROM v_evidence) WHERE rn = 1")
@@ -95,7 +80,7 @@ def v_store(t: Tables) -> DataFrame:
     FROM conversations WHERE role = 'assistant'
 """)
 def v_claims(t: Tables) -> DataFrame:
-    n = t["documents"].count()
+    n = t.rows("documents")
     span = n + n // 5
     conv, turn = F.col("conv_id"), F.col("turn")
     cite = lambda k: pmid((conv * 131 + turn * k * 17) % span)
@@ -229,7 +214,7 @@ def v_risks(t: Tables) -> DataFrame:
     UNION ALL SELECT doc_id + 1000000000, 'PMID:' || doc_id, 'PMID:' || ((doc_id + 1) % (SELECT count(*) FROM documents)) FROM labels
 """)
 def v_contra(t: Tables) -> DataFrame:
-    n = t["documents"].count()
+    n = t.rows("documents")
     key = F.col("doc_id")
     one = t["labels"].select(key.alias("ord"), pmid(key).alias("id_a"), pmid(key + F.col("toxic") * F.lit(LATER).cast("bigint")).alias("id_b"))
     two = t["labels"].select((key + LATER).alias("ord"), pmid(key).alias("id_a"), pmid((key + 1) % n).alias("id_b"))
@@ -275,7 +260,7 @@ def v_registry(t: Tables) -> DataFrame:
     FROM orders
 """)
 def v_edges(t: Tables) -> DataFrame:
-    n = t["documents"].count()
+    n = t.rows("documents")
     return t["orders"].select(
         pmid(F.col("o_custkey")).alias("cited"), pmid(F.col("o_orderkey") % n).alias("citing"),
         F.concat("o_orderpriority", F.lit(" "), F.col("o_orderkey").cast("string")).alias("title"),
