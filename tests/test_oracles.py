@@ -1,4 +1,7 @@
-"""Every registered query against its SQL on the smallest driver tables."""
+"""Every registered query against its SQL on the smallest driver tables.
+
+``python tests/compare.py`` also demands rows; on these tables a few queries find none.
+"""
 
 import __spark_entry__ as entry
 import pytest
@@ -16,7 +19,7 @@ def con():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, con, name):
     assert name in ORACLES
-    assert compare(spark, con, QUERIES[name], ORACLES[name], FOLDER) is None
+    assert compare(spark, con, QUERIES[name], ORACLES[name], FOLDER, need_rows=False) is None
 
 
 def test_entry_runs(spark):
