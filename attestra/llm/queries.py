@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import chat, decontaminate, language, quality, secrets
+from attestra.llm import chat, decontaminate, language, packing, quality, secrets, sharding
 
+TOKENIZERS = "/opt/tokenizers"
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -113,3 +114,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         secrets.written(F.col("secrets")).alias("spans"),
     )
+
+
+@query()
+def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pieces(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return packing.pack(found)
+
+
+@query()
+def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.numbered(sharding.shards(_table(spark, sf_dir, "documents")))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
