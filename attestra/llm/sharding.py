@@ -8,18 +8,24 @@ are narrowed by counting bytes in ``BINS`` slices of each node's interval, so wh
 driver is nodes times slices, whatever the number of rows.
 
 A row's key on a dimension is the dimension's value followed by a hash of its id and text, so rows
-of equal metadata are separable; only rows equal in all of these stay together. Dimensions: text
+of equal metadata are separable; only rows equal in all of these stay together. Each pass walks rows
+down the tree so far, so nothing but the slim rows is ever stored. Dimensions: text
 length, source, language, id. Null metadata counts as the lowest value, a null text has no bytes, an
 empty table gives an empty result, other columns are ignored.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestra.llm import blocks as B
 from attestra.session import cut_lineage
 
+Tree = dict[int, tuple[int, int]]  # node -> (dimension, key of the first row on the right)
+
 BINS = 512
 OVERHEAD = 16
 LOW = 1 << 31  # keys are value * LOW + tie, values below LOW
@@ -46,89 +52,126 @@ def _points(docs: DataFrame) -> DataFrame:
     )
 
 
-def _by_node(values: dict[int, int | float], default=None) -> Column:
-    """A look-up by column ``node``; nodes number less than the shards."""
-    out = F.lit(default)
-    if values:
-        out = F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("node"))
-    return out
-
-
-def _key(dims: dict[int, str]) -> Column:
-    out = F.col(DIMENSIONS[0])
-    for name in DIMENSIONS[1:]:
-        of = [n for n, d in dims.items() if d == name]
-        if of:
-            out = F.when(F.col("node").isin(*of), F.col(name)).otherwise(out)
-    return out * F.lit(LOW) + F.col("tie")
-
-
-def _quantiles(rows: DataFrame, dims: dict[int, str], bounds: dict[int, tuple[int, int]], targets: dict[int, float], slack: dict[int, float]) -> dict[int, int]:
-    """For each node a key below which about ``targets`` bytes lie, within ``slack`` bytes or exactly."""
-    active = {n: (lo, hi + 1, 0) for n, (lo, hi) in bounds.items()}
-    done: dict[int, int] = {}
+def _keys(batch: pa.RecordBatch, tie: np.ndarray, d: int) -> np.ndarray:
+    return batch.column(DIMENSIONS[d]).to_numpy() * LOW + tie
+
+
+def _descend(batch: pa.RecordBatch, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
+    """The node of every row under the splits so far, and the rows' ties."""
+    tie = batch.column("tie").to_numpy()
+    node = np.ones(batch.num_rows, np.int64)
+    for n in sorted(tree):  # parents before children
+        d, cut = tree[n]
+        here = np.flatnonzero(node == n)
+        if len(here):
+            node[here] = 2 * n + (_keys(batch, tie, d)[here] >= cut)
+    return node, tie
+
+
+def _extents(rows: DataFrame, tree: Tree) -> dict[int, tuple]:
+    """node -> (size, lows, highs) of its rows; a row for each node reaches the driver."""
+
+    def work(batches):
+        for batch in batches:
+            node, _ = _descend(batch, tree)
+            size = batch.column("size").to_numpy()
+            ids, at = np.unique(node, return_inverse=True)
+            out = [pa.array(ids), pa.array(np.bincount(at, size).astype(np.int64))]
+            for d in DIMENSIONS:
+                value = batch.column(d).to_numpy()
+                low, high = np.full(len(ids), np.iinfo(np.int64).max), np.full(len(ids), -1)
+                np.minimum.at(low, at, value)
+                np.maximum.at(high, at, value)
+                out += [pa.array(low), pa.array(high)]
+            yield pa.RecordBatch.from_arrays(out, ["node", "size", *[f"{e}{d}" for d in DIMENSIONS for e in ("lo_", "hi_")]])
+
+    found = rows.mapInArrow(work, "node bigint, size bigint, " + ", ".join(f"lo_{d} bigint, hi_{d} bigint" for d in DIMENSIONS))
+    found = found.groupBy("node").agg(F.sum("size").alias("size"), *[F.min(f"lo_{d}").alias(f"lo_{d}") for d in DIMENSIONS], *[F.max(f"hi_{d}").alias(f"hi_{d}") for d in DIMENSIONS])
+    return {r["node"]: (r["size"], [r[f"lo_{d}"] for d in DIMENSIONS], [r[f"hi_{d}"] for d in DIMENSIONS]) for r in found.collect()}
+
+
+def _slices(rows: DataFrame, tree: Tree, active: dict[int, tuple[int, int, int]]) -> dict[int, list[tuple[int, int]]]:
+    """Bytes in each slice of each active node's interval: active is node -> (dimension, low, width)."""
+
+    def work(batches):
+        for batch in batches:
+            node, tie = _descend(batch, tree)
+            size = batch.column("size").to_numpy()
+            for n, (d, lo, width) in active.items():
+                here = np.flatnonzero(node == n)
+                slot = (_keys(batch, tie, d)[here] - lo) // width
+                inside = (slot >= 0) & (slot < BINS)
+                sums = np.bincount(slot[inside], size[here][inside], minlength=1).astype(np.int64)
+                at = np.flatnonzero(sums)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), n)), pa.array(at), pa.array(sums[at])], ["node", "slot", "size"])
+
+    found = rows.mapInArrow(work, "node bigint, slot bigint, size bigint").groupBy("node", "slot").agg(F.sum("size").alias("size"))
+    out: dict[int, list[tuple[int, int]]] = {}
+    for r in found.collect():  # nodes times BINS rows at most
+        out.setdefault(r["node"], []).append((r["slot"], r["size"]))
+    return {n: sorted(v) for n, v in out.items()}
+
+
+def _quantiles(rows: DataFrame, tree: Tree, wanted: dict[int, tuple[int, int, int, float, float]]) -> Tree:
+    """For each node the key that parts its target bytes from the rest.
+
+    wanted: node -> (dimension, low, high, target bytes, slack bytes). An interval is narrowed until
+    the slice that holds the quantile weighs no more than the slack, or is a single key.
+    """
+    active = {n: (d, lo, hi + 1, 0) for n, (d, lo, hi, _, _) in wanted.items()}
+    done: Tree = {}
     while active:
-        width = {n: max(1, -(-(hi - lo) // BINS)) for n, (lo, hi, _) in active.items()}
-        at = rows.where(F.col("node").isin(*active)).withColumn("key", _key(dims))
-        at = at.withColumn("lo", _by_node({n: v[0] for n, v in active.items()})).withColumn("hi", _by_node({n: v[1] for n, v in active.items()}))
-        at = at.where((F.col("key") >= F.col("lo")) & (F.col("key") < F.col("hi")))
-        step = _by_node(width)
-        at = at.withColumn("b", (F.col("key") - F.col("lo") - F.pmod(F.col("key") - F.col("lo"), step)) / step)
-        slices = at.groupBy("node", F.col("b").cast("bigint").alias("b"))
-        counted: dict[int, list] = {}
-        for r in slices.agg(F.sum("size").alias("size")).collect():  # nodes times BINS rows at most
-            counted.setdefault(r["node"], []).append((r["b"], r["size"]))
-        for n, (lo, hi, below) in list(active.items()):
-            edge = lo
-            for b, size in sorted(counted.get(n, [])):
-                if below + size > targets[n]:
-                    edge = lo + b * width[n]
-                    over = size
+        width = {n: max(1, -(-(hi - lo) // BINS)) for n, (_, lo, hi, _) in active.items()}
+        counted = _slices(rows, tree, {n: (d, lo, width[n]) for n, (d, lo, _, _) in active.items()})
+        for n, (d, lo, _, below) in list(active.items()):
+            target, slack = wanted[n][3:]
+            edge, over = lo, 0
+            for slot, size in counted[n]:
+                edge, over = lo + slot * width[n], size
+                if below + size > target:
                     break
                 below += size
-                edge = lo + (b + 1) * width[n]
-                over = 0
-            if over <= slack[n] or width[n] == 1:
-                done[n] = edge if targets[n] - below <= over / 2 else edge + width[n]
+            if below + over <= target or over <= slack or width[n] == 1:
+                done[n] = (d, edge if target - below <= over / 2 else edge + width[n])
                 del active[n]
             else:
-                active[n] = (edge, min(edge + width[n], hi), below)
+                active[n] = (d, edge, edge + width[n], below)
     return done
 
 
 def shards(docs: DataFrame, leaves: int = 40, precision: float = 0.002) -> DataFrame:
-    """(doc_id, size, text_crc32, shard) of every row; shard sizes differ by about ``precision`` of
-    a shard, or by one inseparable row."""
-    rows = cut_lineage(_points(docs)).withColumn("node", F.lit(1))
-    spans = rows.agg(F.sum("size").alias("size"), *[F.min(d).alias(f"lo_{d}") for d in DIMENSIONS], *[F.max(d).alias(f"hi_{d}") for d in DIMENSIONS]).first()
-    total = spans["size"] or 0
-    wide = {d: max(1, (spans[f"hi_{d}"] or 0) - (spans[f"lo_{d}"] or 0)) for d in DIMENSIONS}
-    count = {1: leaves}
-    first = {1: 0}
-    while total and any(m > 1 for m in count.values()):
-        split = [n for n, m in count.items() if m > 1]
-        stats = (
-            rows.where(F.col("node").isin(*split))
-            .groupBy("node")
-            .agg(F.sum("size").alias("size"), *[F.min(d).alias(f"lo_{d}") for d in DIMENSIONS], *[F.max(d).alias(f"hi_{d}") for d in DIMENSIONS])
-            .collect()
-        )  # a row for each node, fewer than the shards
-        dims, bounds, targets, slack = {}, {}, {}, {}
-        for r in stats:
-            n, m = r["node"], count[r["node"]]
-            dims[n] = max(DIMENSIONS, key=lambda d: (r[f"hi_{d}"] - r[f"lo_{d}"]) / wide[d])
-            bounds[n] = (r[f"lo_{dims[n]}"] * LOW, (r[f"hi_{dims[n]}"] + 1) * LOW - 1)
-            targets[n] = r["size"] * (m - m // 2) / m
-            slack[n] = precision * r["size"] / m
-        cut = _quantiles(rows, dims, bounds, targets, slack)
-        right = F.col("node").isin(*cut) & (_key(dims) >= _by_node(cut))
-        grown = F.when(F.col("node").isin(*split), F.col("node") * 2 + right.cast("int")).otherwise(F.col("node"))
-        rows = rows.withColumn("node", grown)
-        for n in split:
+    """(doc_id, size, text_crc32, tie, shard) of every row; shard sizes differ by about ``precision``
+    of a shard for each level, or by one inseparable row."""
+    B.arrow_batches(docs.sparkSession, 10000)
+    rows = cut_lineage(_points(docs))
+    count, first, tree, wide = {1: leaves}, {1: 0}, {}, None
+    while any(m > 1 for m in count.values()):
+        extents = _extents(rows, tree)
+        if not extents:
+            break
+        if wide is None:
+            _, lows, highs = extents[1]
+            wide = [max(1, hi - lo) for lo, hi in zip(lows, highs, strict=True)]
+        wanted = {}
+        for n in [n for n, m in count.items() if m > 1]:
             m, at = count.pop(n), first.pop(n)
             count |= {2 * n: m - m // 2, 2 * n + 1: m // 2}
             first |= {2 * n: at, 2 * n + 1: at + m - m // 2}
-    return rows.withColumn("shard", _by_node(first).cast("int")).select("doc_id", "size", "text_crc32", "tie", "shard")
+            if n not in extents:
+                continue  # no rows: its leaves stay empty
+            size, lows, highs = extents[n]
+            d = max(range(len(DIMENSIONS)), key=lambda i: ((highs[i] - lows[i]) / wide[i], -i))
+            wanted[n] = (d, lows[d] * LOW, (highs[d] + 1) * LOW - 1, size * (m - m // 2) / m, precision * size / m)
+        tree |= _quantiles(rows, tree, wanted)
+    place = dict(first)
+
+    def work(batches):
+        for batch in batches:
+            node, tie = _descend(batch, tree)
+            shard = np.array([place[n] for n in node.tolist()], np.int32)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "size", "text_crc32", "tie")), pa.array(shard)], ["doc_id", "size", "text_crc32", "tie", "shard"])
+
+    return rows.mapInArrow(work, "doc_id bigint, size bigint, text_crc32 bigint, tie bigint, shard int")
 
 
 def numbered(placed: DataFrame, per_bucket: int = 65536) -> DataFrame:
