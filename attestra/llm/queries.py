@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import chat, decontaminate, language, packing, quality, secrets, sharding
+from attestra.llm import chat, decontaminate, jaccard, language, packing, quality, secrets, sharding
 
 TOKENIZERS = "/opt/tokenizers"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,3 +126,8 @@ def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.numbered(sharding.shards(_table(spark, sf_dir, "documents")))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query()
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(_table(spark, sf_dir, "documents"), k=4, percent=85)
