@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and a battery of randomness tests over token-like runs.
 
-The base kinds are regular expressions, leftmost and non-overlapping for each kind; short matches
-are dropped afterwards. Beside them every run of token characters of ``MIN_RUN`` or more is a
+The base kinds are regular expressions, leftmost and non-overlapping for each kind; an assignment
+whose value is short is dropped after matching. (Of the other two kinds only a maximal run can
+match, so their least length stands in the pattern.) Beside them every run of token characters of ``MIN_RUN`` or more is a
 candidate. Its encoding is inferred from its characters (hex, base32, base36, base64), and three
 tests compare it with a uniform draw from that alphabet: chi-squared of its character counts, the
 number of runs above and below the middle of the alphabet, and the lag-1 serial correlation of its
@@ -30,8 +31,8 @@ from attestra.session import cut_lineage
 
 KINDS = {
     "assign": (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
-    "access": ("AKIA[A-Z0-9]+", 0, 16),
-    "hex": ("[0-9a-f]+", 0, 32),
+    "access": ("AKIA[A-Z0-9]{12,}", 0, 0),
+    "hex": ("[0-9a-f]{32,}", 0, 0),
 }
 MIN_RUN = 20
 RANDOM = "random"
