@@ -21,7 +21,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm import blocks as B
@@ -118,8 +118,13 @@ def rarest(shingles: DataFrame, counts: DataFrame) -> DataFrame:
     return best.where(F.col("s.n") >= needed).select("item_id", "body", "s.key", "s.place", "s.size", "s.span")
 
 
+def mark() -> Column:
+    """A hash of id and text, by which a verdict finds its rows again, also those without an id."""
+    return F.xxhash64("doc_id", "text")
+
+
 def _candidates(docs: DataFrame, spans: list[int], marked: np.ndarray, window: int) -> DataFrame:
-    """(doc_id, n_words, found): for every text its marked shingles, each with the words around."""
+    """(doc_id, mark, n_words, found): for every text its marked shingles, each with the words around."""
     kind = pa.list_(pa.struct([("key", pa.int64()), ("span", pa.int32()), ("at", pa.int32()), ("lead", pa.int32()), ("near", pa.string())]))
 
     def work(batches):
@@ -134,16 +139,16 @@ def _candidates(docs: DataFrame, spans: list[int], marked: np.ndarray, window: i
                         begin, end = max(lo, at - window + span), min(hi, at + window)
                         lists[i].append({"key": key, "span": span, "at": at - lo, "lead": at - begin, "near": _joined(data, words, begin, end)})
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(block.lo, block.rows), pa.array(words.counts.astype(np.int64)), pa.array(lists, kind)],
-                    ["doc_id", "n_words", "found"],
+                    [*(batch.column(c).slice(block.lo, block.rows) for c in ("doc_id", "mark")), pa.array(words.counts.astype(np.int64)), pa.array(lists, kind)],
+                    ["doc_id", "mark", "n_words", "found"],
                 )
 
-    schema = "doc_id bigint, n_words bigint, found array<struct<key bigint, span int, at int, lead int, near string>>"
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(work, schema)
+    schema = "doc_id bigint, mark bigint, n_words bigint, found array<struct<key bigint, span int, at int, lead int, near string>>"
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), mark().alias("mark"), "text").mapInArrow(work, schema)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, shingle: int = 5, share: int = 20) -> DataFrame:
-    """(row, doc_id, n_words, n_hit, items, contaminated) for every row of ``docs``.
+    """(row, doc_id, mark, n_words, n_hit, items, contaminated) for every row of ``docs``.
 
     ``n_hit`` counts words inside any occurrence of a window; a text is contaminated when it has a
     hit and ``share`` times the hits reach its words. ``items`` are the ids, sorted as strings.
@@ -178,9 +183,16 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, shingle:
     named = named.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     found = spots.select("row", covered.alias("n_hit")).join(named, "row")
     return (
-        probed.select("row", "doc_id", "n_words")
+        probed.select("row", "doc_id", "mark", "n_words")
         .join(found, "row", "left")
         .withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("bigint")))
         .withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
         .withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
     )
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = 13, shingle: int = 5, share: int = 20) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, all their columns as they were."""
+    bad = contamination(docs, items, window, shingle, share).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    same = (mark() == F.col("__mark")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id"))
+    return docs.join(bad, same, "left_anti")

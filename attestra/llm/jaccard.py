@@ -267,3 +267,14 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, fragments: int = 8,
     named = classes.join(roots, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("root"))
     out = base.join(named, ["d1", "d2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))).alias("component_id"))
+
+
+def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component, its smallest doc_id (ties: the smallest text); rows without an id
+    stay. All columns as they were."""
+    found = similar(docs, k, percent)
+    heads = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
+    kept = docs.join(heads, F.col("doc_id").cast("bigint") == F.col("__id"))
+    first = Window.partitionBy("__id").orderBy(F.col("text").asc_nulls_first())
+    kept = kept.withColumn("__n", F.row_number().over(first)).where(F.col("__n") == 1)
+    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -180,28 +180,38 @@ def fit(labelled: DataFrame, sample: int = 4000) -> Model | None:
     return model
 
 
-def predict(docs: DataFrame, model: Model | None, text: Column | None = None) -> DataFrame:
-    """(doc_id, lang_pred, score, ambiguous) of every row of ``docs``, from its text alone."""
-    rows = docs.select("doc_id", (F.col("text") if text is None else text).alias("text"))
-    rows = rows.withColumn("spoken", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    schema = "doc_id bigint, lang_pred string, score double, ambiguous boolean"
+def predict(docs: DataFrame, model: Model | None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns, lang_pred, score and ambiguous of every row of ``docs``, from its text
+    alone. A carried column of one of the new names gives way to it."""
+    carried = [c for c in carry if c not in ("lang_pred", "score", "ambiguous")]
+    text = F.coalesce("text", F.lit(""))
     if model is None:
-        return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous"))
+        return docs.select(*carried, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous"))
+    rows = docs.select(*carried, text.alias("__text"), text.rlike(r"\p{L}").alias("__spoken"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in carried) + ", lang_pred string, score double, ambiguous boolean"
     names = np.array([*model.languages, UNKNOWN], object)
 
     def work(batches):
         for batch in batches:
-            for block in B.blocks(batch):
+            for block in B.blocks(batch, "__text"):
                 best, score, near = model.decode(model.margins(block))
-                mute = ~batch.column("spoken").slice(block.lo, block.rows).to_numpy(zero_copy_only=False).astype(bool)
+                mute = ~batch.column("__spoken").slice(block.lo, block.rows).to_numpy(zero_copy_only=False).astype(bool)
                 best, score, near = np.where(mute, len(model.languages), best), np.where(mute, 0.0, score), near | mute
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(block.lo, block.rows), pa.array(names[best], pa.string()), pa.array(score), pa.array(near)],
-                    ["doc_id", "lang_pred", "score", "ambiguous"],
-                )
+                old = [batch.column(c).slice(block.lo, block.rows) for c in carried]
+                yield pa.RecordBatch.from_arrays([*old, pa.array(names[best], pa.string()), pa.array(score), pa.array(near)], [*carried, "lang_pred", "score", "ambiguous"])
 
     B.arrow_batches(docs.sparkSession)
-    return rows.withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(work, schema)
+    return rows.mapInArrow(work, schema)
+
+
+def spoken(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs`` whose language is known and not ambiguous, all their columns as they were."""
+    marks = ("lang_pred", "score", "ambiguous")
+    kept = {f"__{i}": c for i, c in enumerate(docs.columns)}
+    renamed = docs.select(*[F.col(f"`{c}`").alias(a) for a, c in kept.items()], F.col("text"))
+    found = predict(renamed, model, tuple(kept)).where((F.col(marks[0]) != UNKNOWN) & ~F.col(marks[2]))
+    return found.select(*[F.col(a).alias(c) for a, c in kept.items()])
 
 
 def held_out(doc_id: Column) -> Column:

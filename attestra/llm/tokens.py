@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from attestra.llm import blocks as B
 
 MARK = "▁"
-STATES = 400_000
-WORDS = 400_000
+STATES = 250_000
+WORDS = 200_000
 START = -1
 _SPACE = 0x20
 
