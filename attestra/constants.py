@@ -9,7 +9,6 @@ REFERENCE_LABELS = [  # (prefix of the base id, title shown for that source)
     ("UNIPROT:", "UniProt - protein entry"),
     ("PATENT:", "EPO Espacenet - patent record"),
 ]
-SNIPPET_LENGTH = 600
 
 # --- Claims ---------------------------------------------------------------------------
 CARD_SOURCES = ["Open Targets", "UniProt"]
@@ -38,11 +37,8 @@ SEVERITY_RANK = {"manageable": 1, "significant": 2, "severe": 3}
 # --- Retrieval ------------------------------------------------------------------------
 RRF_K = 60
 CANDIDATES = 50
-CANDIDATES_MAX = 200
 TOP_K = 8
-PAGE_MAX = 100
 VARIANTS = 4
-VARIANTS_MAX = 8
 
 # --- Expert ranking -------------------------------------------------------------------
 FULLTEXT_WEIGHT = 3
@@ -96,7 +92,6 @@ MIN_RESIDUES = 4
 MIN_ALIGN_LENGTH = 50
 COMPETITOR_IDENTITY = 98.0
 LOOP_IDENTITY = 90.0
-CLAIMS_WINDOW = 50000
 MIN_READABLE_CHARS = 50
 
 PATENT_CANDIDATE = "(?U)[A-Z]{2}[ \u00a0]?[0-9][0-9,.\\s/]{2,}[0-9](?:[ \u00a0]?[A-Z][0-9]?)?"
@@ -140,7 +135,6 @@ PASS_MARKS = {
 MAX_FLIP_RATE = 0.2
 MAX_UNSUPPORTED = 0.1
 FIGURE_GATE_N = 3
-FAITHFUL_SAMPLE = 20
 REGRESSION_TOLERANCE = [
     ("grounding_integrity", 0.0),
     ("computation_grounding", 0.0),

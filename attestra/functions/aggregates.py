@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestra.session import cut_lineage
+
 SKETCH = 1000  # rank error of the bounds is at most n / SKETCH
 
 
@@ -22,9 +24,10 @@ def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, fl
 
     Spark's ``percentile`` keeps every distinct value of a group in one aggregation buffer.
     Here a bounded sketch first yields, per wanted rank, a value interval that must hold it;
-    values outside all intervals are only counted, values inside are counted per value. The
-    sort that finds the ranks then sees about ``4 / SKETCH`` of a group, reduced to distinct
-    values, whatever the group's size.
+    values outside all intervals are only counted, values inside are counted per value. Those
+    counts, about ``4 / SKETCH`` of a group, are laid out in ranges of (group, value); each range's
+    total gives the rank at which it begins, so ranks are found range by range and no task ever
+    sorts a whole group.
     """
     points = dict(sorted(points.items(), key=lambda kv: kv[1]))
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
@@ -56,8 +59,17 @@ def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, fl
     counted = marked.groupBy(*keys, "_n", "_slot", "_x").agg(
         F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_at")
     )
-    w = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("_to", F.sum("_c").over(w)).withColumn("_from", F.col("_to") - F.col("_c"))
+    ranged = counted.repartitionByRange(*[F.col(k) for k in keys], F.col("_at")).withColumn("_part", F.spark_partition_id())
+    ranged = cut_lineage(ranged)  # ranges are sampled: both uses below must see the same ones
+    totals = ranged.groupBy(*keys, "_part").agg(F.sum("_c").alias("_c"))
+    # One row for each group and range.
+    ahead = Window.partitionBy(*keys, F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_start"))
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    w = Window.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ranged.join(starts, same).withColumn("_to", F.col("_start") + F.sum("_c").over(w)).withColumn("_from", F.col("_to") - F.col("_c"))
     out = []
     for name, p in points.items():
         pos = F.lit(float(p)) * (F.col("_n") - 1)

@@ -51,3 +51,9 @@ def caption_has_value(caption: Column, value: Column) -> Column:
 def ratio(part: Column, whole: Column, empty: float) -> Column:
     """``part / whole``, or ``empty`` when there is nothing to divide by."""
     return F.when(whole > 0, part / whole).otherwise(F.lit(empty))
+
+
+def fixed(value: Column, places: Column | int) -> Column:
+    """Text with a fixed number of decimal places, halves rounded away from zero, no grouping."""
+    count = F.lit(places) if isinstance(places, int) else places
+    return F.call_function("format_string", F.concat(F.lit("%."), count.cast("string"), F.lit("f")), value.cast("double"))

@@ -91,10 +91,10 @@ def species_class(variable: Column, constant: Column) -> Column:
     )
 
 
-def claims_window(text: Column) -> Column:
-    """Text from the claims heading on, at most 50,000 characters; from the start without one."""
+def claims_window(text: Column, width: int | None = None) -> Column:
+    """Text from the claims heading on, from the start without one; ``width`` characters if given."""
     at = F.regexp_instr(text, F.lit(K.CLAIMS_HEADING))
-    return F.substring(text, F.greatest(at, F.lit(1)), F.lit(K.CLAIMS_WINDOW))
+    return F.substring(text, F.greatest(at, F.lit(1)), F.length(text) if width is None else F.lit(width))
 
 
 def expiry(dates: Column) -> Column:

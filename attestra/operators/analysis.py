@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from attestra import constants as K
 from attestra.functions import numbers as N
 from attestra.functions.aggregates import percentiles
+from attestra.functions.numbers import fixed
+from attestra.operators.store import last_rows
 
 
 class ContractError(ValueError):
@@ -253,8 +255,11 @@ def resolve_binding(bindings: DataFrame, results: DataFrame) -> DataFrame:
     """
     fields = [c for c in results.columns if c not in ("computation_id", "result_key", "group_key", "pos")]
     points = results.where((F.col("type") == "scalar") & ~F.coalesce(F.contains("group_key", F.lit("::")), F.lit(False)))
-    named = points.select("computation_id", F.concat_ws("::", "result_key", "group_key").alias("binding"), *fields)
-    return bindings.join(named, ["computation_id", "binding"], "left").select(*bindings.columns, *fields)
+    named = points.select(F.col("computation_id"), F.col("result_key").alias("_key"), F.coalesce("group_key", F.lit("")).alias("_group"), *fields)
+    parts = F.regexp_extract("binding", r"(?s)^(.*)::(.*)\z", 1), F.regexp_extract("binding", r"(?s)^(.*)::(.*)\z", 2)
+    grouped = F.contains("binding", F.lit("::"))
+    split = bindings.withColumn("_key", F.when(grouped, parts[0]).otherwise(F.col("binding"))).withColumn("_group", F.when(grouped, parts[1]).otherwise(""))
+    return split.join(named, ["computation_id", "_key", "_group"], "left").select(*bindings.columns, *fields)
 
 
 # --- Replay ------------------------------------------------------------------------------
@@ -307,7 +312,11 @@ def reproduce_gate(
         .select("section_id", "ord", F.lit(True).alias("_cites_run"))
         .distinct()
     )
-    runs = computations.where(F.col("valid")).withColumnRenamed("computation_id", "_cid")
+    # The last valid evidence of a computation counts.
+    valid = computations.where(F.col("valid"))
+    if "ord" not in valid.columns:
+        valid = valid.withColumn("ord", F.col("evidence_id"))
+    runs = last_rows(valid, ["computation_id"]).withColumnRenamed("computation_id", "_cid").drop("ord")
     wanted = bound.where(F.col("binding").isNotNull()).select(
         F.col("_cid").alias("computation_id"), F.col("_key").alias("binding")
     ).distinct()
@@ -363,8 +372,8 @@ def result_claims(results: DataFrame) -> DataFrame:
         "binding", F.concat_ws("::", "result_key", "group_key")
     )
     key = F.col("binding")
-    amount = F.expr("format_number(value, rpad(if(precision > 0, '0.', '0'), precision + 2, '0'))")
-    share = F.expr("format_number(value * 100, rpad(if(precision > 0, '0.', '0'), least(4, precision) + 2, '0'))")
+    amount = fixed(F.col("value"), F.col("precision"))
+    share = fixed(F.col("value") * 100, F.least(F.lit(4), F.col("precision")))
     cutoff = F.coalesce(F.regexp_replace(F.col("threshold").cast("string"), r"\.0$", ""), F.lit("the locked cutoff"))
     n = F.col("sample_n").cast("string")
     text = (

@@ -5,7 +5,7 @@ Every table is keyed by ``doc_id`` (the patent document); sequences by (doc_id,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra import constants as K
@@ -147,11 +147,13 @@ def completeness(seqs: DataFrame, associations: DataFrame) -> DataFrame:
 
 
 def missing_ids(seqs: DataFrame, complete: DataFrame) -> DataFrame:
-    """Ids from 1 to the highest referenced one that have no sequence, one row each."""
-    wanted = complete.where(F.col("missing_count") > 0).select(
-        "doc_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("referenced_max").cast("bigint"))).alias("seq_id")
-    )
-    return wanted.join(seqs.select(*SEQ).distinct(), SEQ, "left_anti")
+    """(doc_id, first_id, last_id): runs of ids, from 1 to the highest referenced one, that have no
+    sequence. Runs come from neighbours among the ids there are, so one huge id costs one row."""
+    here = seqs.select("doc_id", F.col("seq_id").cast("bigint").alias("seq_id")).where("seq_id >= 1").distinct()
+    end = complete.select("doc_id", (F.col("referenced_max").cast("bigint") + 1).alias("seq_id"))
+    before = F.lag("seq_id", 1, 0).over(Window.partitionBy("doc_id").orderBy("seq_id"))
+    gaps = here.unionByName(end).distinct().withColumn("_b", before)
+    return gaps.where(F.col("seq_id") - F.col("_b") > 1).select("doc_id", (F.col("_b") + 1).alias("first_id"), (F.col("seq_id") - 1).alias("last_id"))
 
 
 def invalid_residues(seqs: DataFrame) -> DataFrame:
@@ -271,7 +273,9 @@ def cache_lookup(requests: DataFrame, cache: DataFrame, now: Column, max_age_sec
     ``cached_at`` is text; an unreadable time counts as expired. Without a maximum age
     every entry is fresh.
     """
-    found = cache.select("key", "payload", "cached_at", F.lit(True).alias("_in"))
+    # Of several entries of one key the latest counts.
+    last = cache.groupBy("key").agg(F.max(F.struct(F.try_to_timestamp("cached_at"), "cached_at", "payload")).alias("c"))
+    found = last.select("key", "c.payload", "c.cached_at", F.lit(True).alias("_in"))
     joined = requests.join(found, "key", "left")
     fresh = F.lit(True)
     if max_age_seconds is not None:

@@ -191,12 +191,12 @@ def figure_grounding(claims: DataFrame, values: DataFrame, groups: DataFrame, gr
     return _metric(full, group, "figure_grounding", score, good, "n", "low")
 
 
-def faithfulness(claims: DataFrame, verdicts: DataFrame, group: list[str], keys: list[str], sample: int = K.FAITHFUL_SAMPLE) -> DataFrame:
-    """Share of supported claims among the first cited claims of each group."""
+def faithfulness(claims: DataFrame, verdicts: DataFrame, group: list[str], keys: list[str], sample: int | None = None) -> DataFrame:
+    """Share of supported claims among the cited claims of each group, or its first ``sample``."""
     from attestra.operators.retrieve import top_n
 
     cited = claims.where(F.size("citations") > 0)
-    first = top_n(cited, group, [F.col(k) for k in keys], sample)
+    first = cited if sample is None else top_n(cited, group, [F.col(k) for k in keys], sample)
     good = verdicts.where(F.col("status") == "supported").select(*keys, F.lit(1).alias("_ok")).distinct()
     agg = first.join(good, keys, "left").groupBy(*group).agg(F.count(F.lit(1)).alias("sampled"), F.count("_ok").alias("supported"))
     full = claims.select(*group).distinct().join(agg, group, "left").na.fill(0, ["sampled", "supported"])

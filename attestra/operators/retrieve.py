@@ -5,24 +5,15 @@ Queries are rows, so every operator ranks for all queries at once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra import constants as K
 from attestra.functions import text as T
 from attestra.functions import vectors as V
-from attestra.session import bounded_values, literal_array
-
-try:
-    import ahocorasick
-except ImportError:
-    ahocorasick = None
+from attestra.session import literal_array
 
-INLINE_TERMS = 500  # longest term list written into an expression
-AUTOMATON_TERMS = 100_000  # longest term list sent to executors as one search automaton
+GRAM = 3  # texts and terms meet on n-grams of this length; shorter terms on themselves
 
 
 def rank_all(df: DataFrame, keys: list[str], order: list[Column], rank: str) -> DataFrame:
@@ -30,8 +21,11 @@ def rank_all(df: DataFrame, keys: list[str], order: list[Column], rank: str) ->
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-def clamp(value: int | None, default: int, top: int) -> int:
-    return default if value is None else min(max(int(value), 1), top)
+def positive(value: int | None, default: int) -> int:
+    """The value asked for, or the default; a number below 1 is an error."""
+    if value is not None and value < 1:
+        raise ValueError(f"at least 1 expected, not {value}")
+    return default if value is None else int(value)
 
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
@@ -79,65 +73,32 @@ def title_gate(evidence: DataFrame, terms: list[str]) -> DataFrame:
     return evidence.where(mentions_any(F.lower("title"), terms))
 
 
-def _grams(text: Column, n: int) -> Column:
+def _grams(text: Column, n: Column) -> Column:
     last = F.length(text) - n + 1
     starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))))
-
-
-def _scan(rows: DataFrame, id_col: str, text: Column, terms: list[str]) -> DataFrame:
-    """``(id, term)`` for every term found, one pass over each text in Arrow batches."""
-    kind = dict(rows.select(id_col).dtypes)[id_col]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        finder = ahocorasick.Automaton()
-        for term in terms:
-            finder.add_word(term, term)
-        finder.make_automaton()
-        for batch in batches:
-            pairs = [(i, t) for i, x in zip(batch[id_col], batch["_text"]) if x for t in {w for _, w in finder.iter(x)}]
-            yield pd.DataFrame(pairs, columns=[id_col, "term"])
-
-    return rows.select(F.col(id_col), text.alias("_text")).mapInPandas(run, f"{id_col} {kind}, term string")
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, n)))
 
 
 def term_hits(rows: DataFrame, id_col: str, text: Column, terms: DataFrame) -> DataFrame:
     """``(id, target)`` pairs where the text contains any term of the target.
 
-    A proven-short term list is written into the expression, a longer bounded one goes to
-    the executors as a search automaton: one pass, no shuffle of text. Beyond that, texts
-    and terms meet on the terms' leading 3 characters (an equi-join on the text's n-grams
-    carrying ids only) and each candidate is checked against the text.
+    Texts and terms meet on n-grams, ids only: of each term the n-gram that the fewest texts
+    hold, so a common one brings no candidates where a rare one would do. Candidates then fetch
+    their text and are checked against it.
     """
     lowered = terms.select("target", F.lower("term").alias("term")).where(F.length("term") > 0).distinct()
-    known = bounded_values(lowered, "term", AUTOMATON_TERMS if ahocorasick is not None else INLINE_TERMS)
     base = rows.select(F.col(id_col), text.alias("_text"))
-    if known is not None:
-        if len(known) <= INLINE_TERMS // 5:
-            hit = F.filter(literal_array(known), lambda t: F.contains(F.col("_text"), t))
-            found = base.select(id_col, F.explode(hit).alias("term"))
-        else:
-            found = _scan(rows, id_col, text, known)
-        return found.join(lowered, "term").select(id_col, "target").distinct()
-    return gram_hits(base, id_col, lowered)
-
-
-def gram_hits(base: DataFrame, id_col: str, terms: DataFrame) -> DataFrame:
-    """Term hits by joining texts (id, _text) and lower-case terms on leading n-grams."""
-    keyed = terms.withColumn("_gram", F.substring("term", 1, 3)).withColumn("_n", F.least(F.length("term"), F.lit(3)))
-    parts = []
-    for n in (1, 2, 3):
-        grams = base.select(id_col, F.explode(_grams(F.col("_text"), n)).alias("_gram"))
-        parts.append(grams.join(keyed.where(F.col("_n") == n), "_gram").select(id_col, "target", "term"))
-    pairs = parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
-    return (
-        pairs.join(base, id_col)
-        .where(F.contains("_text", F.col("term")))
-        .select(id_col, "target")
-        .distinct()
-    )
+    keyed = lowered.select("term").distinct().withColumn("_gram", F.explode(_grams(F.col("term"), F.least(F.length("term"), F.lit(GRAM)))))
+    sizes = F.concat(*[_grams(F.col("_text"), F.lit(n)) for n in range(1, GRAM + 1)])
+    held = base.select(id_col, F.explode(sizes).alias("_gram")).join(keyed.select("_gram").distinct(), "_gram", "left_semi")
+    rare = held.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    best = keyed.join(rare, "_gram").groupBy("term").agg(F.min(F.struct("_n", "_gram")).alias("_b"), F.count(F.lit(1)).alias("_held"))
+    # A term with an n-gram that no text holds is in no text.
+    whole = keyed.groupBy("term").agg(F.count(F.lit(1)).alias("_all"))
+    wanted = best.join(whole, "term").where(F.col("_held") == F.col("_all")).select("term", F.col("_b._gram").alias("_gram"))
+    pairs = held.join(wanted, "_gram").select(id_col, "term")
+    found = pairs.join(base, id_col).where(F.contains("_text", F.col("term"))).select(id_col, "term")
+    return found.join(lowered, "term").select(id_col, "target").distinct()
 
 
 def own_terms(terms: DataFrame, key: str) -> DataFrame:
@@ -151,56 +112,69 @@ def mentions_own(text: Column) -> Column:
 
 
 def relevance_gate_many(evidence: DataFrame, terms: DataFrame) -> DataFrame:
-    """``(target, evidence row)`` for every target whose terms the row mentions."""
+    """``(target, evidence row)`` for every target whose terms the row mentions.
+
+    A target without terms passes every row; ``open_targets`` names those, and the evidence itself
+    is their result, so it is not multiplied here.
+    """
     return evidence.join(term_hits(evidence, "id", gate_text(), terms), "id")
 
 
+def open_targets(targets: DataFrame, terms: DataFrame) -> DataFrame:
+    """The targets that have no term, for which the gate passes everything."""
+    named = terms.where(F.length("term") > 0).select("target")
+    return targets.select("target").distinct().join(named, "target", "left_anti")
+
+
 # --- Search ------------------------------------------------------------------------------
 
 
-def pinned_search(publications: DataFrame, queries: DataFrame, review_only: bool = False) -> DataFrame:
-    """Match (query_id, target, concept) against publications on whole words.
+def pinned_pairs(publications: DataFrame, queries: DataFrame, review_only: bool = False) -> DataFrame:
+    """``(query_id, id, cited_by, ord)`` of the publications a (query_id, target, concept) finds.
 
-    The target phrase must occur in title or abstract; the concept phrase anywhere in the
-    record, and an empty concept matches. Queries and publications meet on the first word
-    of the target, so only publications that hold that word are compared with the query.
+    The target phrase must occur in title or abstract as whole words; the concept phrase anywhere in
+    the record, and an empty concept matches. Ids of queries and publications meet on the target's
+    word that the fewest publications hold; only those pairs fetch their text, once each.
     """
     pubs = publications.where(F.col("is_review")) if review_only else publications
     wanted = queries.select(
         "query_id",
         T.phrase(F.col("target")).alias("_target"),
         F.when(F.length(F.trim("concept")) > 0, T.phrase(F.col("concept"))).alias("_concept"),
-    ).withColumn("_word", F.element_at(F.split(F.trim("_target"), " "), 1))
-    texts = pubs.withColumn("_pinned", T.phrase_text(F.concat_ws(" ", "title", "passage")))
-    words = F.array_distinct(F.split(F.trim("_pinned"), " "))
-    anywhere = F.concat("_pinned", T.phrase_text(F.col("snippet")))
-    hit = F.contains("_pinned", F.col("_target")) & (F.col("_concept").isNull() | F.contains(anywhere, F.col("_concept")))
-    inline = bounded_values(wanted, "_word", INLINE_TERMS)
-    if inline is not None:
-        # Few distinct words: a record travels with the handful of words it can match.
-        matched = F.array_intersect(words, literal_array(inline))
-        cand = texts.withColumn("_word", F.explode(matched)).join(wanted, "_word")
-    else:
-        # Many words: ids meet queries first, then the candidates fetch their text.
-        pairs = texts.select("id", F.explode(words).alias("_word")).join(wanted, "_word")
-        cand = pairs.join(texts, "id")
-    return cand.where(hit).drop("_word", "_pinned", "_target", "_concept")
+    )
+    pinned = T.phrase_text(F.concat_ws(" ", "title", "passage"))
+    words = pubs.select("id", F.explode(F.array_distinct(F.split(F.trim(pinned), " "))).alias("_word"))
+    asked = wanted.select("_target").distinct().withColumn("_word", F.explode(F.array_distinct(F.split(F.trim("_target"), " "))))
+    held = words.join(asked.select("_word").distinct(), "_word", "left_semi")
+    counts = held.groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
+    best = asked.join(counts, "_word").groupBy("_target").agg(F.min(F.struct("_n", "_word"))["_word"].alias("_word"))
+    pairs = held.join(best, "_word").select("id", "_target").join(wanted, "_target")
+    cited = [c for c in ("cited_by", "ord") if c in pubs.columns]
+    texts = pubs.select("id", *cited, pinned.alias("_pinned"), F.concat(pinned, T.phrase_text(F.col("snippet"))).alias("_anywhere"))
+    hit = F.contains("_pinned", F.col("_target")) & (F.col("_concept").isNull() | F.contains("_anywhere", F.col("_concept")))
+    return pairs.join(texts, "id").where(hit).select("query_id", "id", *cited)
+
+
+def pinned_search(publications: DataFrame, queries: DataFrame, review_only: bool = False) -> DataFrame:
+    """The publications each query finds, whole rows. Publication ids must be unique."""
+    pairs = pinned_pairs(publications, queries, review_only)
+    return pairs.select("query_id", "id").join(publications, "id")
 
 
 def top_cited(hits: DataFrame, page_size: int | None = None, keys: list[str] | None = None) -> DataFrame:
-    """One page per query: most cited first, arrival order on ties, 1 to 100 rows."""
-    n = clamp(page_size, K.TOP_K, K.PAGE_MAX)
+    """One page per query: most cited first, arrival order on ties."""
+    n = positive(page_size, K.TOP_K)
     return top_n(hits, keys or ["query_id"], [F.col("cited_by").desc(), F.col("ord")], n)
 
 
 def query_variants(base: DataFrame, aliases: DataFrame, proposed: DataFrame, n: int = K.VARIANTS) -> DataFrame:
-    """Bounded variants per query: the original, one alias, then proposed ones.
+    """The first ``n`` variants per query: the original, one alias, then proposed ones.
 
     base: query_id, target, concept; aliases: query_id, alias, ord; proposed: query_id,
     target, concept, ord. Proposed variants equal to an earlier one (case-insensitive)
     are dropped.
     """
-    n = clamp(n, K.VARIANTS, K.VARIANTS_MAX)
+    n = positive(n, K.VARIANTS)
     facet = T.collapse_space(T.strip_query_syntax(T.drop_word(F.col("concept"), F.col("_base"))))
     origin = base.select("query_id", F.col("target").alias("_base"), "concept").select(
         "query_id", "_base", facet.alias("_facet")
@@ -270,7 +244,7 @@ def split_vectors(vectors: DataFrame, column: str = "vector") -> tuple[DataFrame
 def dense_rank_pool(pool: DataFrame, query_vectors: DataFrame, vectors: DataFrame) -> DataFrame:
     """Rank a bounded candidate pool by cosine; lexical rank breaks ties.
 
-    pool: query_id, id, rank (at most 200 per query); vectors: id, vector.
+    pool: query_id, id, rank (a page per query); vectors: id, vector.
     """
     qv = query_vectors.select("query_id", F.col("vector").alias("_q")).withColumn("_q2", V.squared_norm(F.col("_q")))
     dv = vectors.select("id", F.col("vector").alias("_d"))
@@ -321,25 +295,30 @@ def pick_deep_read(hits: DataFrame, title_ok: Column) -> DataFrame:
     )
 
 
-def gate_passages(picks: DataFrame, passages: DataFrame, terms: list[str]) -> DataFrame:
-    """Sections of the picked articles that mention a term."""
-    chosen = passages.join(picks.select("pmcid").distinct(), "pmcid", "left_semi")
-    return relevance_gate(chosen, terms)
+def gate_passages(picks: DataFrame, passages: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(query_id, passage row)``: sections of each query's picked article that mention one of that
+    query's terms (query_id, term); a query without terms passes all."""
+    chosen = passages.join(picks.select("query_id", "pmcid").distinct(), "pmcid")
+    return chosen.join(own_terms(terms, "query_id"), "query_id", "left").where(mentions_own(gate_text())).drop("_terms")
 
 
-def snowball(seeds: DataFrame, edges: DataFrame, publications: DataFrame, terms: list[str], n: int = 3) -> DataFrame:
-    """Papers citing the seeds: per seed the ``n`` most cited with a fitting title, then gated.
+def snowball(seeds: DataFrame, edges: DataFrame, publications: DataFrame, terms: DataFrame, n: int | None = 3) -> DataFrame:
+    """Papers citing a target's seeds: per seed the ``n`` most cited (all for ``None``) whose title
+    names the target, then gated by the target's terms.
 
-    seeds: id; edges: cited, citing, title, cited_by, ord (ids of the form ``PMID:n``).
-    Returns registered evidence, the first record per id.
+    seeds: target, id; terms: target, term; edges: cited, citing, title, cited_by, ord (ids of the
+    form ``PMID:n``). Returns (target, evidence row), the first record per target and id.
     """
     from attestra.operators.store import register
 
-    papers = seeds.where(F.col("id").startswith("PMID:")).select(F.col("id").alias("cited")).distinct()
-    fitting = edges.join(papers, "cited", "left_semi").where(mentions_any(F.lower("title"), terms))
-    best = top_n(fitting, ["cited"], [F.col("cited_by").desc(), F.col("ord")], n)
-    full = publications.join(best.select(F.col("citing").alias("id")).distinct(), "id", "left_semi")
-    return register(relevance_gate(full, terms))
+    named = own_terms(terms, "target")
+    papers = seeds.where(F.col("id").startswith("PMID:")).select("target", F.col("id").alias("cited")).distinct()
+    fitting = edges.join(papers, "cited").join(named, "target", "left").where(mentions_own(F.lower("title"))).drop("_terms")
+    if n is not None:
+        fitting = top_n(fitting, ["target", "cited"], [F.col("cited_by").desc(), F.col("ord")], positive(n, 3))
+    citing = fitting.select("target", F.col("citing").alias("id")).distinct()
+    full = publications.join(citing, "id").join(named, "target", "left").where(mentions_own(gate_text())).drop("_terms")
+    return register(full, ["target", "id"])
 
 
 def orient(publications: DataFrame, terms: DataFrame, n: int = 2) -> DataFrame:
@@ -350,9 +329,12 @@ def orient(publications: DataFrame, terms: DataFrame, n: int = 2) -> DataFrame:
     queries = terms.select("target").distinct().select(
         F.col("target").alias("query_id"), "target", F.lit("").alias("concept")
     )
-    found = pinned_search(publications, queries, review_only=True).withColumnRenamed("query_id", "target")
-    gated = found.join(own_terms(terms, "target"), "target", "left").where(mentions_own(gate_text()))
-    ranked = top_cited(gated, n, ["target"])
+    found = pinned_pairs(publications, queries, review_only=True).select(F.col("query_id").alias("target"), "id")
+    named = own_terms(terms, "target")
+    fits = publications.select("id", "cited_by", "ord", gate_text().alias("_text"))
+    gated = found.join(fits, "id").join(named, "target", "left").where(mentions_own(F.col("_text"))).drop("_text", "_terms")
+    page = top_cited(gated, n, ["target"]).select("target", "id", "rank")
+    ranked = page.join(publications, "id").join(named, "target", "left")
     good = F.when(mentions_own(F.lower("title")) & readable(), F.col("rank"))
     # At most ``n`` rows per target are left here.
     first = F.min(good).over(Window.partitionBy("target"))

@@ -12,12 +12,12 @@ def score_rows(df: DataFrame, keys: list[str], scorer: Callable[[pd.DataFrame],
     """Run ``scorer`` on every batch; it returns one row per input row, in order.
 
     ``fields`` is the schema of the scorer's columns. A batch that fails, or comes back with
-    another number of rows, yields null scores, so later steps fall back (lexical order,
-    unverified verdicts) instead of stopping.
+    another number of rows, yields null scores and says why in ``error``, so later steps fall back
+    (lexical order, unverified verdicts) instead of stopping, and nothing fails unseen.
     """
     names = [part.strip().split(" ")[0] for part in fields.split(",")]
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", " + fields
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", " + fields + ", error string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -26,8 +26,8 @@ def score_rows(df: DataFrame, keys: list[str], scorer: Callable[[pd.DataFrame],
                 scored = scorer(batch).reset_index(drop=True)
                 if len(scored) != len(out):
                     raise ValueError("scorer changed the number of rows")
-                yield out.assign(**{n: scored[n] for n in names})
-            except Exception:
-                yield out.assign(**{n: None for n in names})
+                yield out.assign(**{n: scored[n] for n in names}, error=None)
+            except Exception as error:
+                yield out.assign(**{n: None for n in names}, error=f"{type(error).__name__}: {error}")
 
     return df.mapInPandas(run, schema)

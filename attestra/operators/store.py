@@ -10,19 +10,24 @@ from attestra.functions import text as T
 
 
 def _pick(df: DataFrame, keys: list[str], order: str, best) -> DataFrame:
-    # Only keys and the order column are aggregated. The wide rows are then filtered on
-    # (key, order), which spreads the copies of one hot key over many partitions.
-    winners = df.groupBy(*keys).agg(best(order).alias(order))
-    return df.join(winners, [*keys, order], "left_semi")
+    # Only keys, the order and a content hash are aggregated. The wide rows are then filtered on
+    # all of them, which spreads the copies of one hot key over many partitions, and equal rows
+    # collapse under the same partitioning.
+    plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    rows = df.withColumn("_hash", F.xxhash64(*plain))
+    winners = rows.groupBy(*keys).agg(best(F.struct(F.col(order).alias("o"), "_hash")).alias("_w"))
+    winners = winners.select(*keys, F.col("_w.o").alias(order), "_w._hash")
+    picked = [*keys, order, "_hash"]
+    return rows.join(winners, picked, "left_semi").dropDuplicates(picked).drop("_hash")
 
 
 def first_rows(df: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
-    """The earliest row per key; ``order`` must be unique within a key."""
+    """The earliest row per key; ties go to the smaller content hash."""
     return _pick(df, keys, order, F.min)
 
 
 def last_rows(df: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
-    """The latest row per key; ``order`` must be unique within a key."""
+    """The latest row per key; ties go to the larger content hash."""
     return _pick(df, keys, order, F.max)
 
 
@@ -91,15 +96,16 @@ def cited_ids(*claim_tables: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def references(evidence: DataFrame, cited: DataFrame) -> DataFrame:
-    """One reference per cited source, titled by source type, earliest evidence first."""
+def references(evidence: DataFrame, cited: DataFrame, width: int | None = None) -> DataFrame:
+    """One reference per cited source, titled by source type, earliest evidence first; snippets are
+    whole, or ``width`` characters if given."""
     rows = evidence.join(cited.select("id"), "id", "left_semi").withColumn("base", T.base_id("id"))
     rows = first_rows(rows, ["base"])
     title = F.col("title")
     for prefix, label in reversed(K.REFERENCE_LABELS):
         title = F.when(F.col("base").startswith(prefix), F.lit(label)).otherwise(title)
     is_run = F.col("kind") == "computation"
-    snippet = F.when(~is_run & (F.length("snippet") > 0), F.substring("snippet", 1, K.SNIPPET_LENGTH))
+    snippet = F.when(~is_run & (F.length("snippet") > 0), F.col("snippet") if width is None else F.substring("snippet", 1, width))
     return rows.select(
         F.when(is_run, F.col("id")).otherwise(F.col("base")).alias("id"),
         "kind",
@@ -121,9 +127,10 @@ def cited_publications(evidence: DataFrame, cited: DataFrame) -> DataFrame:
 def doi_check(publications: DataFrame, registry: DataFrame) -> DataFrame:
     """Compare publications with a DOI registry (doi, reg_title, reg_journal, reg_year).
 
-    The registry must hold one row per doi. Journal and year of a found row win.
+    Of several registry rows of one doi the least counts. Journal and year of a found row win.
     """
-    found = registry.select("doi", "reg_title", "reg_journal", "reg_year", F.lit(True).alias("_found"))
+    one = registry.groupBy("doi").agg(F.min(F.struct("reg_title", "reg_journal", "reg_year")).alias("r"))
+    found = one.select("doi", "r.*", F.lit(True).alias("_found"))
     has_doi = F.coalesce(F.length("doi") > 0, F.lit(False))
     hit = has_doi & F.coalesce("_found", F.lit(False))
     same = T.titles_match(F.col("title"), F.col("reg_title"))
@@ -150,22 +157,27 @@ def evidence_line(text: Column | None = None) -> Column:
 
 
 def evidence_context(questions: DataFrame, evidence: DataFrame, hits: DataFrame) -> DataFrame:
-    """Context lines per question: the run's curated records first, then its own hits.
+    """Context lines: a run's curated records once, for all its questions, and each question's hits.
 
     ``questions``: question_id, run_id; ``evidence``: registered rows with run_id;
-    ``hits``: question_id, id, rank. Lines stay rows, ordered by (block, pos), so a
-    question with very many records is never gathered in one task.
+    ``hits``: question_id, id, rank. A question's context is the lines of its run without a
+    question, block 0, then its own, block 1, in the order of pos: rows grow with the
+    evidence and the hits, never with their product.
     """
+    asked = questions.select("run_id").distinct()
     curated = (
         evidence.where(F.col("kind").isin(K.CURATED_KINDS))
-        .join(questions.select("question_id", "run_id"), "run_id")
-        .select("question_id", F.lit(0).alias("block"), F.col("ord").alias("pos"), "id", evidence_line().alias("line"))
+        .join(asked, "run_id", "left_semi")
+        .select(
+            "run_id", F.lit(None).cast(questions.schema["question_id"].dataType).alias("question_id"), F.lit(0).alias("block"),
+            F.col("ord").cast("long").alias("pos"), "id", evidence_line().alias("line"),
+        )
     )
     first_hit = hits.groupBy("question_id", "id").agg(F.min("rank").alias("pos"))
     literature = (
         first_hit.join(questions.select("question_id", "run_id"), "question_id")
         .join(evidence.where(~F.col("kind").isin(K.CURATED_KINDS)), ["run_id", "id"])
-        .select("question_id", F.lit(1).alias("block"), F.col("pos").cast("long"), "id", evidence_line().alias("line"))
+        .select("run_id", "question_id", F.lit(1).alias("block"), F.col("pos").cast("long"), "id", evidence_line().alias("line"))
     )
     return curated.unionByName(literature)
 

@@ -15,19 +15,18 @@ def lexical_pool(variants: DataFrame, terms: DataFrame, publications: DataFrame,
 
     Each variant's page is gated by the query's terms; a gated list keeps its own order.
     """
-    page_size = R.clamp(page_size, 25, K.PAGE_MAX)
     searched = variants.select(
         F.struct("query_id", "variant").alias("query_id"), "target", "concept"
     )
-    narrow = ["query_id", "id", "cited_by", "ord", "title", "passage", "snippet"]
-    page = R.top_cited(R.pinned_search(publications, searched).select(*narrow), page_size)
-    flat = page.select("query_id.query_id", "query_id.variant", "id", "rank", R.gate_text().alias("_text"))
+    page = R.top_cited(R.pinned_pairs(publications, searched), R.positive(page_size, 25))
+    texts = publications.select("id", R.gate_text().alias("_text"))
+    flat = page.select("query_id.query_id", "query_id.variant", "id", "rank").join(texts, "id")
     gated = flat.join(R.own_terms(terms, "query_id"), "query_id", "left").where(R.mentions_own(F.col("_text")))
     w = Window.partitionBy("query_id", "variant").orderBy("rank")
     lists = gated.select(
         "query_id", F.col("variant").alias("list_no"), (F.row_number().over(w) - 1).alias("idx"), "id"
     )
-    return R.rrf(lists, limit=R.clamp(candidates, K.CANDIDATES, K.CANDIDATES_MAX)).select("query_id", "id", "rank")
+    return R.rrf(lists, limit=R.positive(candidates, K.CANDIDATES)).select("query_id", "id", "rank")
 
 
 def hybrid_search(
@@ -47,7 +46,7 @@ def hybrid_search(
     candidates do not all have a usable vector, or that has fewer than two, keeps its
     lexical order. ``scores`` (query_id, index, score, ord) reranks the fused head.
     """
-    # At most 200 ids per query, used in six places below: written once, read back.
+    # A page of ids per query, used in six places below: written once, read back.
     pool = cut_lineage(lexical_pool(variants, terms, publications, page_size, candidates))
     good, _ = R.split_vectors(vectors)
     have = pool.join(good.select("id").distinct(), "id", "left_semi").groupBy("query_id").agg(F.count(F.lit(1)).alias("_v"))
@@ -64,7 +63,7 @@ def hybrid_search(
     lists = pool.select("query_id", F.lit(0).alias("list_no"), (F.col("rank") - 1).alias("idx"), "id").unionByName(
         dense.select("query_id", F.lit(1).alias("list_no"), (F.col("dense_rank") - 1).alias("idx"), "id")
     )
-    fused = R.rrf(lists, limit=R.clamp(top_k, K.TOP_K, K.PAGE_MAX)).select("query_id", "id", "rank")
+    fused = R.rrf(lists, limit=R.positive(top_k, K.TOP_K)).select("query_id", "id", "rank")
     if scores is not None:
         fused = R.apply_rerank(fused, scores).select("query_id", "id", F.col("rerank").alias("rank"))
     return fused.join(pool.withColumnRenamed("rank", "lexical_rank"), ["query_id", "id"]).join(

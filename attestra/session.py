@@ -68,15 +68,5 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def bounded_values(df: DataFrame, column: str, limit: int) -> list | None:
-    """Distinct values of a column when there are at most ``limit``, else ``None``.
-
-    At most ``limit + 1`` values reach the driver, so the caller can inline a proven-small
-    list in an expression and use a join beyond the bound.
-    """
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    return sorted(r[0] for r in rows) if len(rows) <= limit else None
-
-
 def literal_array(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")

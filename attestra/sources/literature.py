@@ -253,7 +253,7 @@ def figures(parsed: DataFrame) -> DataFrame:
     )
     return evidence_columns(
         rows, id=F.concat(F.lit("PMCID:"), "pmcid", F.lit("#fig-"), number), kind=F.lit("figure"), source=F.lit("pmc"), title=F.col("f.label"),
-        snippet=F.substring("f.caption", 1, 200), passage=F.col("f.caption"), locator=F.concat(F.lit("fig-"), number),
+        snippet=F.col("f.caption"), passage=F.col("f.caption"), locator=F.concat(F.lit("fig-"), number),
         url=F.when(F.col("f.href").isNotNull(), F.concat(base, F.lit("bin/"), "f.href")).otherwise(base),
         metadata=F.when(F.col("f.href").isNotNull(), image), pmcid=F.col("pmcid"), ord=F.col("_o") * 1000000 + F.lit(500000) + F.col("f.number"),
     )
@@ -265,7 +265,8 @@ def page_sections(pages: DataFrame, level: int = 2) -> DataFrame:
     Scripts, styles and comments go first, then tags; blank sections are left out.
     """
     bare = F.regexp_replace("html", r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " ")
-    parts = F.slice(F.split(bare, rf"(?i)(?=<h{level}[\s>])"), 2, 1000000)
+    split = F.split(bare, rf"(?i)(?=<h{level}[\s>])")
+    parts = F.slice(split, F.lit(2), F.greatest(F.size(split) - 1, F.lit(0)))
     rows = pages.select("page_id", "url", F.posexplode(parts).alias("pos", "part"))
     clean = lambda c: collapse_space(F.regexp_replace(c, "<[^>]*>", " "))
     head = rf"(?is)^<h{level}[^>]*>(.*?)</h{level}>"

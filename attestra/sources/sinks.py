@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestra.functions.numbers import fixed
 from attestra.functions.canon import canonical_json
 
 FIELDS = [
@@ -47,7 +48,7 @@ def write_results(results: DataFrame, path: str) -> None:
 
 def scorecard_markdown(metrics: DataFrame, title: str) -> str:
     """A report of metric means and of every target's metrics (tens of rows)."""
-    three = lambda c: F.call_function("format_number", c, F.lit("0.000"))
+    three = lambda c: fixed(c, 3)
     means = metrics.groupBy("name").agg(F.concat(F.lit("| "), "name", F.lit(" | "), three(F.avg("score")), F.lit(" |")).alias("line"))
     rows = metrics.select("target", F.struct(
         "name", F.concat(F.lit("| "), "name", F.lit(" | "), three(F.col("score")), F.lit(" | "), F.when(F.col("pass"), "y").otherwise("n"), F.lit(" |")).alias("line"),

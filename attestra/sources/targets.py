@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-import json
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra import constants as K
+from attestra.functions.numbers import fixed
 from attestra.sources.literature import evidence_columns, json_records
 
 SURFACE = "(?i)cell membrane|plasma membrane|cell surface|extracellular"
@@ -55,35 +50,43 @@ def ranked_tissues(rows: Column) -> Column:
     return F.sort_array(named)
 
 
-def _expression_text(rows: Column) -> Column:
+def _expression_text(rows: Column, tissues: int | None) -> Column:
     ranked = ranked_tissues(rows)
-    top = F.slice(ranked, 1, 8)
-    protein = F.slice(F.filter(ranked, lambda r: F.coalesce(r["datatype"], F.lit("")).rlike("(?i)proteomics|protein")), 1, 5)
+    protein = F.filter(ranked, lambda r: F.coalesce(r["datatype"], F.lit("")).rlike("(?i)proteomics|protein"))
+    top = ranked
+    if tissues is not None:
+        top, protein = F.slice(ranked, 1, tissues), F.slice(protein, 1, tissues)
     item = lambda r: F.concat(
         r["tissue"], F.lit(" ("), F.round(r["median"], 0).cast("bigint").cast("string"),
         F.when(F.length(r["datatype"]) > 0, F.concat(F.lit(", "), r["datatype"])).otherwise(""), F.lit(")"),
     )
     body = F.concat(
-        F.lit("Baseline expression across "), F.size(ranked).cast("string"),
-        F.lit(" normal biosamples (Open Targets: GTEx/HPA/single-cell). Highest-expressing normal tissues: "),
+        F.lit("Normal tissues by median expression, of "), F.size(ranked).cast("string"), F.lit(" biosamples: "),
         F.array_join(F.transform(top, item), "; "), F.lit("."),
         F.when(
             F.size(protein) > 0,
             F.concat(
-                F.lit(" Normal tissues with notable protein-level expression, an ADC on-target/off-tumour consideration: "),
+                F.lit(" Measured as protein: "),
                 F.array_join(F.transform(protein, lambda r: r["tissue"]), ", "), F.lit("."),
             ),
         ).otherwise(""),
     )
-    return F.when(F.size(top) > 0, body).otherwise("No baseline tissue-expression data available from Open Targets.")
+    return F.when(F.size(top) > 0, body).otherwise("No tissue has a median expression.")
+
+
+def target_cards(spark: SparkSession, path: str, tissues: int | None = None) -> DataFrame:
+    """Cards of the target records under a path; see ``target_rows``."""
+    return target_rows(json_records(spark, path, TARGET), tissues)
 
 
-def target_cards(spark: SparkSession, path: str) -> DataFrame:
-    """A target record fanned out to its base, localisation, expression, tractability and
-    safety cards, disease rows and drug rows. Cards without data are left out."""
+def target_rows(records: DataFrame, tissues: int | None = None) -> DataFrame:
+    """A target record (file, data) fanned out to its base, localisation, expression, tractability
+    and safety cards, disease rows and drug rows, in that order. Cards without data are left
+    out; each card keeps the part of the record it was made from. ``tissues`` limits how many
+    tissues the expression text names."""
     t = lambda f: F.col(f"t.{f}")
     none = lambda kind: F.array().cast(kind)
-    rows = json_records(spark, path, TARGET).where(F.col("data.target").isNotNull()).select("file", F.col("data.target").alias("t"))
+    rows = records.where(F.col("data.target").isNotNull()).select("file", F.col("data.target").alias("t"))
     buckets = F.coalesce(t("tractability"), none("array<struct<modality:string,label:string,value:boolean>>"))
     safety = F.filter(F.transform(F.coalesce(t("safetyLiabilities"), none("array<struct<event:string>>")), lambda s: s["event"]), lambda e: F.length(e) > 0)
     places = F.filter(
@@ -101,48 +104,47 @@ def target_cards(spark: SparkSession, path: str) -> DataFrame:
         F.transform(F.coalesce(t("nameSynonyms"), none("array<struct<label:string>>")), lambda s: s["label"]),
     ))
 
-    def card(pos: int, id_: Column, title: Column, snippet: Column, link: Column, raw: Column, kind: str = "target") -> Column:
+    def card(id_: Column, title: Column, snippet: Column, link: Column, raw: Column, kind: str = "target") -> Column:
         return F.struct(
-            F.lit(pos).alias("pos"), id_.alias("id"), F.lit(kind).alias("kind"), title.alias("title"), snippet.alias("snippet"), link.alias("url"), raw.alias("raw")
+            id_.alias("id"), F.lit(kind).alias("kind"), title.alias("title"), snippet.alias("snippet"), link.alias("url"), raw.alias("raw")
         )
 
-    null_raw = F.lit(None).cast("string")
+    part = lambda **fields: F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
     base = card(
-        0, t("id"), F.concat(symbol, F.lit(" — "), t("approvedName")),
+        t("id"), F.concat(symbol, F.lit(" — "), t("approvedName")),
         F.concat(F.lit("tractability: "), F.size(buckets).cast("string"), F.lit(" modalities; safety liabilities: "),
                  F.coalesce(F.size(t("safetyLiabilities")), F.lit(0)).cast("string")),
-        url, F.to_json(F.struct(symbol.alias("approvedSymbol"), synonyms.alias("synonyms"), buckets.alias("tractability"))),
+        url, part(approvedSymbol=symbol, synonyms=synonyms, tractability=buckets, safetyLiabilities=t("safetyLiabilities")),
     )
     where = card(
-        1, F.concat(t("id"), F.lit("#localization")), F.concat(symbol, F.lit(" subcellular localisation")),
+        F.concat(t("id"), F.lit("#localization")), F.concat(symbol, F.lit(" subcellular localisation")),
         F.concat(
             F.lit("Subcellular location: "), F.array_join(F.array_distinct(places), "; "), F.lit("."),
-            F.when(surface, " Consistent with a cell-surface / membrane target accessible to an antibody or ADC.")
-            .otherwise(" No clear cell-surface annotation - confirm bindability before an antibody/ADC approach."),
-        ), url, null_raw,
+            F.when(surface, " Surface or membrane site.").otherwise(" No surface or membrane site is annotated."),
+        ), url, part(subcellularLocations=t("subcellularLocations")),
     )
-    level = card(2, F.concat(t("id"), F.lit("#expression")), F.concat(symbol, F.lit(" baseline normal-tissue expression")), _expression_text(expr),
-                 F.concat(url, F.lit("?tab=expression")), null_raw)
+    level = card(F.concat(t("id"), F.lit("#expression")), F.concat(symbol, F.lit(" baseline normal-tissue expression")), _expression_text(expr, tissues),
+                 F.concat(url, F.lit("?tab=expression")), part(baselineExpression=t("baselineExpression")))
     reach = card(
-        3, F.concat(t("id"), F.lit("#tractability")), F.concat(symbol, F.lit(" tractability (antibody / ADC)")),
-        F.when(F.size(ab) > 0, F.concat(F.lit("Antibody/ADC-relevant tractability buckets achieved: "), F.array_join(ab, "; "), F.lit(".")))
-        .otherwise("No antibody/ADC tractability bucket is flagged as achieved - a developability risk for an antibody-based modality."),
-        F.concat(url, F.lit("?tab=tractability")), null_raw,
+        F.concat(t("id"), F.lit("#tractability")), F.concat(symbol, F.lit(" tractability (antibody / ADC)")),
+        F.when(F.size(ab) > 0, F.concat(F.lit("Buckets reached for antibodies: "), F.array_join(ab, "; "), F.lit(".")))
+        .otherwise("No bucket is reached for antibodies."),
+        F.concat(url, F.lit("?tab=tractability")), part(tractability=buckets),
     )
-    harm = card(4, F.concat(t("id"), F.lit("#safety")), F.concat(symbol, F.lit(" known safety liabilities")),
-                F.concat(F.lit("Curated safety liabilities: "), F.array_join(F.array_distinct(safety), "; "), F.lit(".")), F.concat(url, F.lit("?tab=safety")), null_raw)
+    harm = card(F.concat(t("id"), F.lit("#safety")), F.concat(symbol, F.lit(" known safety liabilities")),
+                F.concat(F.lit("Safety events: "), F.array_join(F.array_distinct(safety), "; "), F.lit(".")), F.concat(url, F.lit("?tab=safety")), part(safetyLiabilities=t("safetyLiabilities")))
     diseases = F.transform(
         F.coalesce(t("associatedDiseases.rows"), none("array<struct<score:double,disease:struct<id:string,name:string>>>")),
-        lambda r, i: F.struct(
-            (i + 1000).alias("pos"), r["disease"]["id"].alias("id"), F.lit("disease").alias("kind"), r["disease"]["name"].alias("title"),
-            F.concat(F.lit("association score "), F.call_function("format_number", r["score"], F.lit("0.00")), F.lit(" for "), symbol).alias("snippet"),
+        lambda r: F.struct(
+            r["disease"]["id"].alias("id"), F.lit("disease").alias("kind"), r["disease"]["name"].alias("title"),
+            F.concat(F.lit("association score "), fixed(r["score"], 2), F.lit(" for "), symbol).alias("snippet"),
             F.concat(F.lit("https://platform.opentargets.org/evidence/"), t("id"), F.lit("/"), r["disease"]["id"]).alias("url"), F.to_json(r).alias("raw")),
     )
     drugs = F.transform(
         F.filter(F.coalesce(t("drugAndClinicalCandidates.rows"), none("array<struct<maxClinicalStage:string,drug:struct<id:string,name:string>>>")),
                  lambda r: r["drug"].isNotNull()),
-        lambda r, i: F.struct(
-            (i + 500000).alias("pos"), r["drug"]["id"].alias("id"), F.lit("drug").alias("kind"), r["drug"]["name"].alias("title"),
+        lambda r: F.struct(
+            r["drug"]["id"].alias("id"), F.lit("drug").alias("kind"), r["drug"]["name"].alias("title"),
             F.concat(F.lit("clinical candidate for "), symbol,
                      F.when(F.length(r["maxClinicalStage"]) > 0, F.concat(F.lit(" — max clinical stage "), r["maxClinicalStage"])).otherwise("")).alias("snippet"),
             F.concat(F.lit("https://platform.opentargets.org/drug/"), r["drug"]["id"]).alias("url"), F.to_json(r).alias("raw")),
@@ -150,8 +152,8 @@ def target_cards(spark: SparkSession, path: str) -> DataFrame:
     cards = F.array_compact(F.array(
         base, F.when(F.size(places) > 0, where), F.when(F.size(expr) > 0, level), F.when(F.size(buckets) > 0, reach), F.when(F.size(safety) > 0, harm)
     ))
-    shape = "array<struct<pos:int,id:string,kind:string,title:string,snippet:string,url:string,raw:string>>"
-    out = rows.select("file", F.explode(F.concat(cards.cast(shape), diseases.cast(shape), drugs.cast(shape))).alias("c")).select("file", "c.*")
+    shape = "array<struct<id:string,kind:string,title:string,snippet:string,url:string,raw:string>>"
+    out = rows.select("file", F.posexplode(F.concat(cards.cast(shape), diseases.cast(shape), drugs.cast(shape))).alias("pos", "c")).select("file", "pos", "c.*")
     return evidence_columns(
         out, id=F.col("id"), kind=F.col("kind"), source=F.lit("Open Targets"), title=F.col("title"), snippet=F.col("snippet"), url=F.col("url"), raw=F.col("raw")
     )
@@ -190,8 +192,7 @@ def protein_cards(spark: SparkSession, path: str) -> DataFrame:
             F.when(F.size(places) > 0, F.concat(F.lit("Subcellular location: "), F.array_join(F.array_distinct(places), "; "), F.lit(". "))).otherwise(""),
             F.when(membrane > 0, F.concat(membrane.cast("string"), F.lit(" transmembrane region(s)"),
                                           F.when(outside, " with an extracellular domain").otherwise(""), F.lit(". "))).otherwise(""),
-            F.when(surface, "The extracellular/transmembrane topology supports an antibody- or ADC-accessible cell-surface epitope.")
-            .otherwise("No transmembrane or extracellular topology annotated - confirm surface accessibility before an antibody/ADC approach."),
+            F.when(surface, "Reachable at the cell surface.").otherwise("No part is annotated as outside the cell."),
         ).alias("snippet"),
     )
     parts = F.struct(
@@ -199,10 +200,10 @@ def protein_cards(spark: SparkSession, path: str) -> DataFrame:
         F.concat(F.lit("Annotated domains: "), F.array_join(F.array_distinct(domains), "; "), F.lit(".")).alias("snippet"),
     )
     cards = F.array_compact(F.array(F.when((F.size(places) > 0) | (membrane > 0), where), F.when(F.size(domains) > 0, parts)))
-    out = rows.select("file", e("primaryAccession").alias("acc"), F.explode(cards).alias("c")).select("file", "acc", "c.*")
+    out = rows.select("file", e("primaryAccession").alias("acc"), F.to_json("e").alias("raw"), F.explode(cards).alias("c")).select("file", "acc", "raw", "c.*")
     return evidence_columns(
         out, id=F.col("id"), kind=F.lit("target"), source=F.lit("UniProt"), title=F.col("title"), snippet=F.col("snippet"),
-        url=F.concat(F.lit("https://www.uniprot.org/uniprotkb/"), "acc", F.lit("/entry")),
+        url=F.concat(F.lit("https://www.uniprot.org/uniprotkb/"), "acc", F.lit("/entry")), raw=F.col("raw"),
     )
 
 
@@ -226,129 +227,104 @@ def trials(spark: SparkSession, path: str) -> DataFrame:
 
 # --- Patent search -----------------------------------------------------------------------
 
-HIT_DDL = "file string, pos bigint, country string, number string, kind string, date string, title string, applicants array<string>, classes array<string>, raw string"
-
-
-def _listed(x) -> list:
-    return [] if x is None else x if isinstance(x, list) else [x]
-
-
-def _every(node, key: str) -> Iterator:
-    """Values stored under a key anywhere in a record, in document order."""
-    if isinstance(node, list):
-        for item in node:
-            yield from _every(item, key)
-    elif isinstance(node, dict):
-        for k, v in node.items():
-            if k == key:
-                yield from _listed(v)
-            yield from _every(v, key)
-
-
-def _text(node) -> str:
-    if isinstance(node, dict):
-        for key in ("$", "name", "text", "value"):
-            found = _text(node[key]) if key in node and not isinstance(node[key], list) else ""
-            if found:
-                return found
-        return ""
-    return str(node).strip() if isinstance(node, (str, int, float)) and not isinstance(node, bool) else ""
-
-
-def _unique(values) -> list[str]:
-    return list(dict.fromkeys(v for v in values if v))
-
-
-def _classification(node) -> str:
-    text = _text(node) or (_text(node.get("classification-symbol")) if isinstance(node, dict) else "")
-    if not text and isinstance(node, dict):
-        text = "".join(_text(node.get(k)) for k in ("section", "class", "subclass", "main-group", "subgroup"))
-    return re.sub(r"\s+", " ", text)
-
-
-def _patent_hit(hit: dict) -> dict | None:
-    ids = [d for d in _listed(hit.get("document-id", hit.get("ops:document-id"))) if isinstance(d, dict)]
-    ids = ids or [d for d in _every(hit, "document-id") if isinstance(d, dict)]
-    kinds = [str(d.get("@document-id-type", "")).lower() for d in ids]
-    best = next((ids[kinds.index(k)] for k in ("docdb", "epodoc") if k in kinds), ids[0] if ids else None)
-    if best is None:
-        return None
-    keep = lambda key, chars: re.sub(f"[^{chars}]", "", _text(best.get(key)).upper())
-    country, number, kind = keep("country", "A-Z"), keep("doc-number", "A-Z0-9"), keep("kind", "A-Z0-9")
-    if not country and (m := re.match(r"([A-Z]{2})(.+)$", number)):
-        country, number = m.groups()
-    if country and number.startswith(country):
-        number = number[len(country):]
-    if not kind and (m := re.fullmatch(r"(\d+)([A-Z]\d?)", number)):
-        number, kind = m.groups()
-    if not country or not number:
-        return None
-    raw_date = _text(best.get("date")) or next((t for t in map(_text, _every(hit, "date")) if t), "")
-    date = None
-    if re.fullmatch(r"\d{8}", raw_date):
-        date = f"{raw_date[:4]}-{raw_date[4:6]}-{raw_date[6:]}"
-    elif re.fullmatch(r"\d{4}-\d{2}-\d{2}", raw_date):
-        date = raw_date
-    titles = [*_every(hit, "invention-title"), *_every(hit, "ops:invention-title")]
-    english = [n for n in titles if isinstance(n, dict) and str(n.get("@lang", "")).lower() == "en"]
-    title = next((t for t in map(_text, [*english[:1], *titles]) if t), None)
-    return {
-        "country": country, "number": number, "kind": kind or None, "date": date, "title": title,
-        "applicants": _unique(map(_text, [*_every(hit, "applicant-name"), *_every(hit, "ops:applicant-name")])),
-        "classes": _unique(map(_classification, [
-            *_every(hit, "classification-symbol"), *_every(hit, "patent-classification"), *_every(hit, "classification-ipc")]))[:5],
-        "raw": json.dumps(hit),
-    }
-
-
-def _search_hits(text: str) -> list[dict]:
-    try:
-        root = json.loads(text)["ops:world-patent-data"]["ops:biblio-search"]["ops:search-result"]
-    except (ValueError, KeyError, TypeError):
-        return []
-    if not isinstance(root, dict):
-        return []
-    if "exchange-documents" in root:
-        found = []
-        for entry in _listed(root["exchange-documents"]):
-            inner = entry.get("exchange-document") if isinstance(entry, dict) else None
-            found += _listed(inner) if inner is not None else [entry]
-        return found
-    return _listed(root.get("ops:publication-reference"))
-
-
-def patent_hits(spark: SparkSession, path: str, limit: int = 8) -> DataFrame:
-    """Patent search responses: distinct documents, at most ``limit`` per response.
-
-    Records nest at varying depth, so each is normalised in Arrow batches.
-    """
-    from attestra.operators.retrieve import top_n
+# Places of a bibliographic record, relative to the record.
+REFERENCES = '$["bibliographic-data"]["publication-reference"]["document-id"]'
+TITLES = '$["bibliographic-data"]["invention-title"]'
+APPLICANTS = '$["bibliographic-data"].parties.applicants.applicant'
+CLASSES = '$["bibliographic-data"]["patent-classifications"]["patent-classification"]'
+RECORDS = '$["ops:world-patent-data"]["ops:biblio-search"]["ops:search-result"]["exchange-documents"]'
+SYMBOL_PARTS = ("section", "class", "subclass", "main-group", "subgroup")
+
+
+def _many(node: Column, path: str) -> Column:
+    """What stands at a path as an array: its items, or the one value that stands there."""
+    at = F.try_variant_get(node, path, "variant")
+    empty = F.array().cast("array<variant>")
+    return F.when(at.isNull(), empty).otherwise(F.coalesce(F.try_variant_get(at, "$", "array<variant>"), F.array(at)))
+
+
+def _leaf(node: Column, path: str = "$") -> Column:
+    """Trimmed text at a path, given plainly or under the text key of an element; null if blank."""
+    below = F.try_variant_get(node, path + '["$"]', "string")
+    at = F.try_variant_get(node, path, "variant")
+    plain = F.when(F.schema_of_variant(at).rlike("^(OBJECT|ARRAY)"), F.lit(None)).otherwise(F.try_variant_get(node, path, "string"))
+    return F.nullif(F.trim(F.coalesce(below, plain)), F.lit(""))
+
+
+def _texts(nodes: Column, *paths: str) -> Column:
+    """Distinct texts of nodes, each from the first of the paths that has one."""
+    return F.array_distinct(F.array_compact(F.transform(nodes, lambda n: F.coalesce(*[_leaf(n, p) for p in paths]))))
 
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for file, text in zip(batch["file"], batch["text"]):
-                for pos, hit in enumerate(_search_hits(text)):
-                    record = _patent_hit(hit) if isinstance(hit, dict) else None
-                    if record:
-                        out.append({"file": file, "pos": pos, **record})
-            names = [c.split(" ")[0] for c in HIT_DDL.split(", ")]
-            yield pd.DataFrame(out, columns=names)
-
-    hits = files.mapInPandas(run, HIT_DDL).withColumn(
-        "id", F.concat(F.lit("PATENT:"), "country", "number", F.coalesce("kind", F.lit("")))
+def patent_records(responses: DataFrame) -> DataFrame:
+    """(file, pos, country, number, kind, date, title, applicants, classes, raw) of search responses
+    (file, text). Responses that are not JSON, and records without a country and a number, are
+    left out.
+
+    A record's identity comes from its docdb reference, else its epodoc one, else its first. A
+    country or kind written inside the number is taken out of it.
+    """
+    parsed = responses.select("file", F.try_parse_json("text").alias("v"))
+    records = parsed.select("file", F.posexplode(_many(F.col("v"), RECORDS)).alias("pos", "entry"))
+    inner = F.coalesce(F.try_variant_get("entry", '$["exchange-document"]', "variant"), F.col("entry"))
+    records = records.select("file", F.col("pos").cast("long").alias("pos"), inner.alias("r"))
+    refs = F.transform(
+        _many(F.col("r"), REFERENCES),
+        lambda d, i: F.struct(
+            F.coalesce(F.array_position(F.array(F.lit("docdb"), F.lit("epodoc")), F.lower(F.try_variant_get(d, '$["@document-id-type"]', "string"))), F.lit(0)).alias("at"),
+            i.alias("i"),
+            F.regexp_replace(F.upper(_leaf(d, "$.country")), "[^A-Z]", "").alias("country"),
+            F.regexp_replace(F.upper(_leaf(d, '$["doc-number"]')), "[^A-Z0-9]", "").alias("number"),
+            F.regexp_replace(F.upper(_leaf(d, "$.kind")), "[^A-Z0-9]", "").alias("kind"),
+            _leaf(d, "$.date").alias("date"),
+        ),
     )
-    first = hits.groupBy("file", "id").agg(F.min("pos").alias("pos"))
-    kept = top_n(first, ["file"], [F.col("pos")], limit).drop("rank")
-    rows = hits.join(kept, ["file", "id", "pos"], "left_semi")
-    number = F.concat("country", "number")
+    ranked = F.array_sort(F.transform(refs, lambda x: F.struct(F.when(x["at"] == 0, 3).otherwise(x["at"]).alias("rank"), x["i"].alias("i"), x.alias("x"))))
+    rows = records.withColumn("refs", ranked).withColumn("b", F.get("refs", F.lit(0))["x"]).where(F.col("b").isNotNull())
+    joined = F.concat(F.coalesce("b.country", F.lit("")), F.regexp_replace(F.coalesce("b.number", F.lit("")), F.concat(F.lit("^"), F.coalesce("b.country", F.lit(""))), F.lit("")))
+    number = F.regexp_extract(joined, "^[A-Z]{2}(.+)$", 1)
+    ending = F.regexp_extract(number, r"^\d+([A-Z]\d?)$", 1)
+    own_kind = F.nullif("b.kind", F.lit(""))
+    rows = rows.withColumn("country", F.regexp_extract(joined, "^([A-Z]{2}).+$", 1)).withColumn("kind", F.coalesce(own_kind, F.nullif(ending, F.lit(""))))
+    rows = rows.withColumn("number", F.when(own_kind.isNull() & (ending != ""), F.regexp_extract(number, r"^(\d+)", 1)).otherwise(number))
+    dates = F.filter(F.concat(F.array("b.date"), F.transform("refs", lambda x: x["x"]["date"])), lambda d: d.isNotNull())
+    day = F.get(dates, F.lit(0))
+    titles = _many(F.col("r"), TITLES)
+    english = F.filter(titles, lambda n: F.lower(F.try_variant_get(n, '$["@lang"]', "string")) == "en")
+    symbol = lambda n: F.coalesce(
+        _leaf(n), _leaf(n, '$["classification-symbol"]'), F.nullif(F.concat(*[F.coalesce(_leaf(n, f'$["{p}"]'), F.lit("")) for p in SYMBOL_PARTS]), F.lit(""))
+    )
+    return rows.where((F.col("country") != "") & (F.col("number") != "")).select(
+        "file", "pos", "country", "number", "kind",
+        F.when(day.rlike(r"^\d{8}$"), F.concat_ws("-", F.substring(day, 1, 4), F.substring(day, 5, 2), F.substring(day, 7, 2))).when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), day).alias("date"),
+        F.coalesce(F.get(_texts(english, "$"), F.lit(0)), F.get(_texts(titles, "$"), F.lit(0))).alias("title"),
+        _texts(_many(F.col("r"), APPLICANTS), '$["applicant-name"].name', '$["applicant-name"]').alias("applicants"),
+        F.array_distinct(F.array_compact(F.transform(_many(F.col("r"), CLASSES), lambda n: F.regexp_replace(symbol(n), r"\s+", " ")))).alias("classes"),
+        F.to_json("r").alias("raw"),
+    )
+
+
+def patent_evidence(records: DataFrame, limit: int | None = None) -> DataFrame:
+    """Distinct documents of each response as evidence, the first record of an id; at most ``limit``
+    of a response, if given."""
+    from attestra.operators.retrieve import top_n
+    from attestra.operators.store import first_rows
+
+    hits = records.withColumn("id", F.concat(F.lit("PATENT:"), "country", "number", F.coalesce("kind", F.lit(""))))
+    rows = first_rows(hits, ["file", "id"], "pos")
+    if limit is not None:
+        rows = top_n(rows, ["file"], [F.col("pos")], limit).drop("rank")
     return evidence_columns(
         rows, id=F.col("id"), kind=F.lit("patent"), source=F.lit("EPO Espacenet (OPS)"), title=F.coalesce("title", F.lit("(no title)")),
         snippet=F.concat_ws(
             " · ", F.nullif(F.array_join("applicants", ", "), F.lit("")), F.col("date"),
             F.when(F.size("classes") > 0, F.concat(F.lit("IPC "), F.array_join("classes", ", "))),
         ),
-        url=F.concat(F.lit("https://worldwide.espacenet.com/patent/search?q=pn%3D"), number), raw=F.col("raw"),
+        url=F.concat(F.lit("https://worldwide.espacenet.com/patent/search?q=pn%3D"), "country", "number"), raw=F.col("raw"),
     )
+
+
+def patent_hits(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Evidence of the patent search responses under a path, one response a file."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    return patent_evidence(patent_records(files), limit)

@@ -168,7 +168,7 @@ def histogram(t: Tables) -> DataFrame:
 # --- Bindings and replay: one computation per order, one series point per line number ------
 
 RESULT_SQL = """
-    res AS (SELECT 'c' || l_orderkey AS computation_id, 'order.total' AS result_key, NULL::VARCHAR AS group_key, 'scalar' AS type,
+    res AS MATERIALIZED (SELECT 'c' || l_orderkey AS computation_id, 'order.total' AS result_key, NULL::VARCHAR AS group_key, 'scalar' AS type,
                    CASE WHEN l_orderkey % 23 = 0 THEN NULL ELSE sum(CAST(l_quantity AS BIGINT))::DOUBLE END AS value, 'pieces' AS unit FROM lineitem GROUP BY l_orderkey
             UNION ALL SELECT 'c' || l_orderkey, 'order.lines', NULL, 'grouped-series', NULL, 'pieces' FROM lineitem GROUP BY l_orderkey
             UNION ALL SELECT 'c' || l_orderkey, 'order.lines', CAST(l_linenumber AS VARCHAR), 'scalar', sum(CAST(l_quantity AS BIGINT))::DOUBLE, 'pieces' FROM lineitem GROUP BY l_orderkey, l_linenumber)
@@ -202,9 +202,8 @@ def results(t: Tables) -> DataFrame:
 BINDING_SQL = """
     bind AS (SELECT 'c' || o_orderkey AS computation_id, CASE o_orderkey % 6 WHEN 0 THEN 'order.total' WHEN 1 THEN 'order.lines::1' WHEN 2 THEN 'order.lines::2'
              WHEN 3 THEN 'order.none' WHEN 4 THEN 'order.lines' ELSE 'order.lines::x::3' END AS binding FROM orders),
-    val AS (SELECT b.*, coalesce(d.value, g.value) AS value, coalesce(d.unit, g.unit) AS unit FROM bind b
-            LEFT JOIN res d ON d.computation_id = b.computation_id AND d.result_key = b.binding AND d.type = 'scalar' AND d.group_key IS NULL
-            LEFT JOIN res g ON g.computation_id = b.computation_id AND g.result_key || '::' || g.group_key = b.binding AND g.type = 'scalar')
+    named AS MATERIALIZED (SELECT computation_id, result_key || coalesce('::' || group_key, '') AS binding, value, unit FROM res WHERE type = 'scalar'),
+    val AS MATERIALIZED (SELECT b.*, n.value, n.unit FROM bind b LEFT JOIN named n USING (computation_id, binding))
 """
 
 
@@ -257,8 +256,10 @@ def bound_claims(t: Tables, stored: DataFrame) -> DataFrame:
 def computations(t: Tables) -> DataFrame:
     key = F.col("o_orderkey")
     names = F.array(*[F.lit(x) for x in ("order.total", "order.none", "order.lines", "order.lines::1", "order.lines::x::3")])
-    return t["orders"].select(
-        run_id().alias("computation_id"), F.concat(F.lit("run:"), run_id()).alias("evidence_id"), (key % 41 != 0).alias("valid"), names.alias("result_keys"),
+    # Every third computation has an earlier evidence row too, which no claim cites.
+    twice = t["orders"].withColumn("ord", F.explode(F.when(key % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
+    return twice.select(
+        "ord", run_id().alias("computation_id"), F.concat(F.when(F.col("ord") == 0, "old:").otherwise("run:"), run_id()).alias("evidence_id"), (key % 41 != 0).alias("valid"), names.alias("result_keys"),
         F.when(key % 43 == 0, 1).otherwise(0).alias("exit_code"), (key % 47 == 0).alias("timed_out"), F.lit(None).cast("string").alias("signal"),
         (key % 53 != 0).alias("primary_valid"), (key % 53 != 0).alias("results_valid"), (key % 59 != 0).alias("replay_valid"), (key % 61 != 0).alias("same_contract"),
     )

@@ -153,7 +153,7 @@ def m_figures(t: Tables) -> DataFrame:
 
 @check("""
     WITH c AS (SELECT run_id, section_id, ord, row_number() OVER (PARTITION BY run_id ORDER BY section_id, ord) AS rn FROM v_claims WHERE len(citations) > 0),
-    a AS (SELECT run_id, count(*) AS sampled, count(*) FILTER (status = 'supported') AS supported FROM c JOIN v_verdicts USING (section_id, ord) WHERE rn <= 20 GROUP BY 1)
+    a AS (SELECT run_id, count(*) AS sampled, count(*) FILTER (status = 'supported') AS supported FROM c JOIN v_verdicts USING (section_id, ord) GROUP BY 1)
     SELECT run_id, round(supported / sampled, 9) AS score, supported / sampled >= 0.9 AS pass, sampled, supported FROM a
 """)
 def m_faithful(t: Tables) -> DataFrame:

@@ -195,26 +195,38 @@ def deep_read_pick(t: Tables) -> DataFrame:
 
 
 @check("WITH " + FOUND + "," + PAGE + f""",
-    pick AS (SELECT DISTINCT pmcid FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rn FROM top
-        WHERE pmcid <> '' AND is_open_access AND {NAMED}) WHERE rn = 1)
-    SELECT id, ord FROM v_store WHERE id LIKE 'PMCID:%' AND pmcid IN (SELECT pmcid FROM pick) AND {GATE}
+    pick AS (SELECT query_id, pmcid FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rn FROM top
+        WHERE pmcid <> '' AND is_open_access AND {NAMED}) WHERE rn = 1),
+    term AS (SELECT query_id, target AS term FROM v_pinned WHERE query_id % 3 <> 0 UNION ALL SELECT query_id, 'tion' FROM v_pinned WHERE query_id % 3 = 1)
+    SELECT query_id, id, ord FROM pick JOIN v_store s USING (pmcid) WHERE id LIKE 'PMCID:%' AND (query_id % 3 = 0 OR EXISTS (SELECT 1 FROM term t
+        WHERE t.query_id = pick.query_id AND contains(lower(s.title || ' ' || coalesce(s.passage, '') || ' ' || s.snippet), t.term)))
 """)
 def gate_passages(t: Tables) -> DataFrame:
     store = V.v_store(t)
     hits = R.top_cited(R.pinned_search(store, V.v_pinned(t)), 25)
     picks = R.pick_deep_read(hits, R.mentions_any(F.lower("title"), ["a"]))
-    return R.gate_passages(picks, store.where(F.col("id").startswith("PMCID:")), TERMS).select("id", "ord")
+    pins = V.v_pinned(t)
+    terms = pins.where("query_id % 3 <> 0").select("query_id", F.col("target").alias("term")).unionByName(
+        pins.where("query_id % 3 = 1").select("query_id", F.lit("tion").alias("term"))
+    )
+    return R.gate_passages(picks, store.where(F.col("id").startswith("PMCID:")), terms).select("query_id", "id", "ord")
 
 
-@check(f"""
-    WITH e AS (SELECT *, row_number() OVER (PARTITION BY cited ORDER BY cited_by DESC, ord) AS rn FROM v_edges
-               WHERE (contains(lower(title), 'high') OR contains(lower(title), 'low')) AND cited IN (SELECT id FROM v_store WHERE is_review))
-    SELECT id, ord FROM v_store WHERE id IN (SELECT citing FROM e WHERE rn <= 3) AND (contains(lower(title || ' ' || coalesce(passage, '') || ' ' || snippet), 'high')
-        OR contains(lower(title || ' ' || coalesce(passage, '') || ' ' || snippet), 'low'))
+@check("""
+    WITH term AS (SELECT unnest(['A', 'A', 'B']) AS target, unnest(['high', 'low', 'a']) AS term),
+    seed AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'A' WHEN doc_id % 3 = 0 THEN 'C' ELSE 'B' END AS target, id FROM v_store WHERE is_review),
+    e AS (SELECT s.target, v.*, row_number() OVER (PARTITION BY s.target, cited ORDER BY cited_by DESC, ord) AS rn FROM v_edges v JOIN seed s ON s.id = v.cited
+          WHERE s.target = 'C' OR EXISTS (SELECT 1 FROM term t WHERE t.target = s.target AND contains(lower(v.title), t.term))),
+    c AS (SELECT DISTINCT target, citing AS id FROM e WHERE rn <= 3)
+    SELECT c.target, id, ord FROM c JOIN v_store s USING (id) WHERE c.target = 'C' OR EXISTS (SELECT 1 FROM term t
+        WHERE t.target = c.target AND contains(lower(s.title || ' ' || coalesce(s.passage, '') || ' ' || s.snippet), t.term))
 """)
 def snowball(t: Tables) -> DataFrame:
     store = V.v_store(t)
-    return R.snowball(store.where("is_review"), V.v_edges(t), store, ["high", "low"]).select("id", "ord")
+    target = F.when(F.col("doc_id") % 2 == 0, "A").when(F.col("doc_id") % 3 == 0, "C").otherwise("B")
+    seeds = store.where("is_review").select(target.alias("target"), "id")
+    terms = t.spark.sql("SELECT col1 AS target, col2 AS term FROM VALUES ('A', 'high'), ('A', 'low'), ('B', 'a')")
+    return R.snowball(seeds, V.v_edges(t), store, terms).select("target", "id", "ord")
 
 
 @check("""

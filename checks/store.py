@@ -131,12 +131,12 @@ def title_match(t: Tables) -> DataFrame:
     WITH q AS (SELECT DISTINCT conv_id AS question_id, run_id FROM v_claims),
     h AS (SELECT question_id, id, min(rank) AS pos FROM (SELECT conv_id AS question_id, turn * 10 + i AS rank, citations[i] AS id
           FROM v_claims, (SELECT unnest([1, 2]) AS i) WHERE len(citations) > 0) GROUP BY 1, 2)
-    SELECT q.question_id, 0 AS block, c.ord AS pos, c.id,
+    SELECT c.run_id, NULL AS question_id, 0 AS block, c.ord AS pos, c.id,
            md5('[' || c.id || '] ' || c.title || ' - ' || c.snippet) AS line_md5
-    FROM q JOIN v_cards c USING (run_id)
+    FROM v_cards c WHERE run_id IN (SELECT run_id FROM q)
     UNION ALL
-    SELECT h.question_id, 1, h.pos, e.id, md5('[' || e.id || ']' || CASE WHEN e.locator IS NULL THEN '' ELSE ' (' || e.locator || ')' END
-           || ' ' || e.title || ' - ' || coalesce(e.passage, e.snippet)) FROM h JOIN v_store e USING (id)
+    SELECT q.run_id, h.question_id, 1, h.pos, e.id, md5('[' || e.id || ']' || CASE WHEN e.locator IS NULL THEN '' ELSE ' (' || e.locator || ')' END
+           || ' ' || e.title || ' - ' || coalesce(e.passage, e.snippet)) FROM h JOIN q USING (question_id) JOIN v_store e USING (id)
 """)
 def evidence_context(t: Tables) -> DataFrame:
     claims = V.v_claims(t)
@@ -151,7 +151,7 @@ def evidence_context(t: Tables) -> DataFrame:
     papers = V.v_store(t).join(seen, "id").select(*cols)
     store = V.v_cards(t).select(*cols).unionByName(papers)
     lines = S.evidence_context(questions, store.join(runs, "run_id", "left_semi"), hits)
-    return lines.select("question_id", "block", "pos", "id", F.md5("line").alias("line_md5"))
+    return lines.select("run_id", "question_id", "block", "pos", "id", F.md5("line").alias("line_md5"))
 
 
 RESULTS2 = """

@@ -60,7 +60,7 @@ def test_references_of_structured_sources(spark):
             ("run:1", "computation", "c", "Run", "s", "u", "{}", 3), ("PMID:1", "publication", "e", "Paper", "", "u", "{}", 4)]
     ev = spark.createDataFrame(rows, "id string, kind string, source string, title string, snippet string, url string, raw string, ord long")
     got = {r.id: r for r in S.references(ev, ev.select("id")).collect()}
-    assert got["ENSG1"].title == "Open Targets - target record" and len(got["ENSG1"].snippet) == 600 and got["ENSG1"].raw == "{}"
+    assert got["ENSG1"].title == "Open Targets - target record" and len(got["ENSG1"].snippet) == 700 and got["ENSG1"].raw == "{}"
     assert got["PMID:1"].snippet is None and got["PMID:1"].raw is None and got["run:1"].snippet is None
 
 

@@ -5,10 +5,11 @@
 
 import __spark_entry__ as entry
 import pytest
+from checks import registry
 from compare import compare, duck
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = entry.queries(), registry.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +17,7 @@ def con():
     return duck(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_matches_sql(spark, con, name):
     assert name in ORACLES
     assert compare(spark, con, QUERIES[name], ORACLES[name], FOLDER, need_rows=False) is None

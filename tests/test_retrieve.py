@@ -1,5 +1,6 @@
 """Retrieval on literal rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from attestra.functions import text as T
@@ -47,27 +48,29 @@ def test_target_terms(spark):
     assert got == {"TROP2": {"trop2", "tacstd2", "egp-1", "ga733-1"}, "X": {"x"}}
 
 
-def test_term_paths_agree(spark, monkeypatch):
-    """Inline terms, the automaton and the n-gram join find the same pairs."""
+def test_term_hits(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(["trop2 and egfr", "ab", "her2neu", "nothing", None, "xabx"])], "id long, t string")
-    terms = spark.createDataFrame([("A", "TROP2"), ("A", "ab"), ("B", "her2"), ("B", "e"), ("C", "neu")], "target string, term string")
-    found = lambda: {tuple(r) for r in R.term_hits(rows, "id", F.col("t"), terms).collect()}
-    inline = found()
-    monkeypatch.setattr(R, "INLINE_TERMS", 0)
-    scan = found()
-    monkeypatch.setattr(R, "AUTOMATON_TERMS", 1)
-    assert inline == scan == found() and (5, "A") in inline and (2, "C") in inline and len(inline) == 6
+    terms = spark.createDataFrame([("A", "TROP2"), ("A", "ab"), ("B", "her2"), ("B", "e"), ("C", "neu"), ("C", "absent")], "target string, term string")
+    found = {tuple(r) for r in R.term_hits(rows, "id", F.col("t"), terms).collect()}
+    want = {(i, t) for i, x in enumerate(["trop2 and egfr", "ab", "her2neu", "nothing", "", "xabx"]) for t, w in (("A", "trop2"), ("A", "ab"), ("B", "her2"), ("B", "e"), ("C", "neu")) if w in x}
+    assert found == want
+    targets = spark.createDataFrame([("A",), ("D",)], "target string")
+    assert [r.target for r in R.open_targets(targets, terms).collect()] == ["D"]
 
 
-def test_search_paths_agree(spark, monkeypatch):
+def test_pinned_search(spark):
     pubs = spark.createDataFrame([("p1", "EGFR in lung", "drug resistance", "", False), ("p2", "Other", "egfr mutated; Drug-Resistance", "", True), ("p3", "EGFRvIII", "drug resistance", "", True)],
                                  "id string, title string, passage string, snippet string, is_review boolean")
-    queries = spark.createDataFrame([(1, "EGFR", "drug resistance"), (2, "EGFR", ""), (3, "lung", "cited")], "query_id int, target string, concept string")
+    queries = spark.createDataFrame([(1, "EGFR", "drug resistance"), (2, "EGFR", ""), (3, "lung", "cited"), (4, "in lung", ""), (5, "lung in", "")], "query_id int, target string, concept string")
     find = lambda **k: {(r.query_id, r.id) for r in R.pinned_search(pubs, queries, **k).collect()}
-    inline = find()
-    assert inline == {(1, "p1"), (1, "p2"), (2, "p1"), (2, "p2")} and find(review_only=True) == {(1, "p2"), (2, "p2")}
-    monkeypatch.setattr(R, "INLINE_TERMS", 0)
-    assert find() == inline
+    assert find() == {(1, "p1"), (1, "p2"), (2, "p1"), (2, "p2"), (4, "p1")} and find(review_only=True) == {(1, "p2"), (2, "p2")}
+
+
+def test_page_sizes_are_obeyed(spark):
+    hits = spark.createDataFrame([(1, f"p{i}", 500 - i, i) for i in range(300)], "query_id int, id string, cited_by long, ord long")
+    assert R.top_cited(hits, 150).count() == 150
+    with pytest.raises(ValueError):
+        R.top_cited(hits, 0)
 
 
 def test_titles(spark):
@@ -88,6 +91,6 @@ def test_scorer_hook(spark):
 
     assert [r.score for r in score_rows(df, ["id"], good, "score double").orderBy("id").collect()] == [2.0] * 6
     down = score_rows(df, ["id"], bad, "score double").collect()
-    assert sorted(r.id for r in down) == list(range(6)) and all(r.score is None for r in down)
+    assert sorted(r.id for r in down) == list(range(6)) and all(r.score is None and "service down" in r.error for r in down)
     short = score_rows(df, ["id"], lambda b: b.head(0).assign(score=[]), "score double")
     assert short.where("score is null").count() == 6

@@ -77,7 +77,7 @@ def test_page_sections_and_figures(spark, save, tmp_path):
     figs = L.figures(parsed).orderBy("ord").collect()
     assert [r["id"] for r in figs] == ["PMCID:PMC7#fig-0", "PMCID:PMC7#fig-2"]
     assert figs[0]["url"].endswith("/bin/f1.jpg") and figs[0]["metadata"]["imageRef"] == "f1.jpg" and figs[0]["title"] == "Figure 1"
-    assert figs[1]["title"] == "Figure 3" and len(figs[1]["snippet"]) == 200 and figs[1]["metadata"] is None
+    assert figs[1]["title"] == "Figure 3" and figs[1]["snippet"] == figs[1]["passage"] and figs[1]["metadata"] is None
 
 
 def test_web_page_sections(spark):
@@ -108,10 +108,10 @@ def test_target_cards(spark, save):
     assert [r["id"] for r in rows] == ["ENSG9", "ENSG9#localization", "ENSG9#expression", "ENSG9#tractability", "ENSG9#safety", "EFO_1", "D1"]
     text = {r["id"]: r["snippet"] for r in rows}
     assert text["ENSG9"] == "tractability: 3 modalities; safety liabilities: 3"
-    assert text["ENSG9#localization"].startswith("Subcellular location: Cell membrane; Cytoplasm. Consistent")
-    assert "skin (9, proteomics); liver (2, rna)." in text["ENSG9#expression"] and text["ENSG9#expression"].endswith("consideration: skin.")
-    assert text["ENSG9#tractability"].endswith("achieved: AB: Antibody high.")
-    assert text["ENSG9#safety"] == "Curated safety liabilities: rash."
+    assert text["ENSG9#localization"].startswith("Subcellular location: Cell membrane; Cytoplasm. Surface")
+    assert "skin (9, proteomics); liver (2, rna)." in text["ENSG9#expression"] and text["ENSG9#expression"].endswith("as protein: skin.")
+    assert text["ENSG9#tractability"].endswith("antibodies: AB: Antibody high.")
+    assert text["ENSG9#safety"] == "Safety events: rash."
     assert text["EFO_1"] == "association score 0.50 for ABC1" and text["D1"].endswith("max clinical stage 3")
     terms = target_terms(G.target_records(cards))
     assert {r.term for r in terms.collect()} == {"abc1", "abcx"}
@@ -124,7 +124,7 @@ def test_protein_cards(spark, save):
         "comments": [{"commentType": "FUNCTION"}, {"commentType": "SUBCELLULAR LOCATION", "subcellularLocations": [{"location": {"value": "Nucleus"}}]}], "features": feats}]}))
     rows = G.protein_cards(spark, path).orderBy("ord").collect()
     assert [r["id"] for r in rows] == ["UNIPROT:P1#localization", "UNIPROT:P1#domains"]
-    assert rows[0]["snippet"].startswith("Subcellular location: Nucleus. 1 transmembrane region(s) with an extracellular domain. The extracellular")
+    assert rows[0]["snippet"].startswith("Subcellular location: Nucleus. 1 transmembrane region(s) with an extracellular domain. Reachable")
     assert rows[1]["snippet"] == "Annotated domains: Ig."
 
 
@@ -147,7 +147,8 @@ def test_src_patent_hits(spark, save):
         {"exchange-document": {"bibliographic-data": {}}},
     ] + [exch([doc("docdb", "WO", str(i), "A1")]) for i in range(10)]
     path = save("s.json", json.dumps({"ops:world-patent-data": {"ops:biblio-search": {"ops:search-result": {"exchange-documents": hits}}}}))
-    rows = G.patent_hits(spark, path).orderBy("ord").collect()
+    assert G.patent_hits(spark, path).count() == 12
+    rows = G.patent_hits(spark, path, limit=8).orderBy("ord").collect()
     assert len(rows) == 8 and [r["id"] for r in rows[:3]] == ["PATENT:EP123A1", "PATENT:US777B2", "PATENT:WO0A1"]
     assert rows[0]["title"] == "Title" and rows[0]["snippet"] == "ACME · 2020-01-02 · IPC A61K"
     assert rows[1]["title"] == "(no title)"
