@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from attestra import constants as K
 from attestra.functions import text as T
 from attestra.functions import vectors as V
-from attestra.session import literal_array
+from attestra.session import cut_lineage, literal_array
 
 GRAM = 3  # texts and terms meet on n-grams of this length; shorter terms on themselves
 
@@ -74,9 +74,8 @@ def title_gate(evidence: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def _grams(text: Column, n: Column) -> Column:
-    last = F.length(text) - n + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, n)))
+    """The distinct n-grams of a text, by one pass of an empty match at every place."""
+    return F.array_distinct(F.regexp_extract_all(text, F.concat(F.lit("(?s)(?=(.{"), n.cast("string"), F.lit("}))")), F.lit(1)))
 
 
 def term_hits(rows: DataFrame, id_col: str, text: Column, terms: DataFrame) -> DataFrame:
@@ -90,7 +89,8 @@ def term_hits(rows: DataFrame, id_col: str, text: Column, terms: DataFrame) -> D
     base = rows.select(F.col(id_col), text.alias("_text"))
     keyed = lowered.select("term").distinct().withColumn("_gram", F.explode(_grams(F.col("term"), F.least(F.length("term"), F.lit(GRAM)))))
     sizes = F.concat(*[_grams(F.col("_text"), F.lit(n)) for n in range(1, GRAM + 1)])
-    held = base.select(id_col, F.explode(sizes).alias("_gram")).join(keyed.select("_gram").distinct(), "_gram", "left_semi")
+    # Ids by n-gram, of the terms' n-grams only: written once, used for the counts and the pairs.
+    held = cut_lineage(base.select(id_col, F.explode(sizes).alias("_gram")).join(keyed.select("_gram").distinct(), "_gram", "left_semi"))
     rare = held.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
     best = keyed.join(rare, "_gram").groupBy("term").agg(F.min(F.struct("_n", "_gram")).alias("_b"), F.count(F.lit(1)).alias("_held"))
     # A term with an n-gram that no text holds is in no text.

@@ -1,8 +1,9 @@
 """Run traces as streams: parsing, first registrations, verdict joins, counts and usage.
 
 Input is a folder of JSON-lines files, one event per line: run_id, seq, ts, type and the
-event's own fields. Watermarks bound the state; they are this library's addition, an event
-later than the watermark is dropped by the stateful jobs.
+event's own fields. Watermarks bound the state; they are this library's addition. Events that a
+watermark would drop are written to a side table (``start_late``), so that a batch job over it
+and the stream's output together give what one batch over all events gives.
 """
 
 from __future__ import annotations
@@ -36,6 +37,23 @@ def parse_trace(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parsed.where(good).drop("_bad"), parsed.where(~good).select("payload")
 
 
+def late_events(events: DataFrame, delay: str = "1 hour") -> tuple[DataFrame, DataFrame]:
+    """``(in time, late)`` by arrival: an event is late when it happened more than ``delay`` before
+    it was read. Both streams together are all events.
+
+    Stateful jobs take the first; their watermark on ``ts`` is then never passed by an event in
+    time, provided files are read within ``delay`` of being written.
+    """
+    stamped = events.withColumn("read_at", F.current_timestamp())
+    late = F.col("ts") < F.col("read_at") - F.expr(f"INTERVAL {delay}")
+    return stamped.where(~late).drop("read_at"), stamped.where(late)
+
+
+def start_late(events: DataFrame, path: str, checkpoint: str, delay: str = "1 hour", **trigger) -> StreamingQuery:
+    """Append late events, with the time they were read, to parquet files."""
+    return start_sink(late_events(events, delay)[1], path, checkpoint, **trigger)
+
+
 def first_registrations(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Distinct (run_id, id) of registered evidence, each once within the watermark.
 
@@ -70,9 +88,18 @@ def claim_verdicts(events: DataFrame, delay: str = "1 hour", wait: str = "30 min
     return claims.join(verdicts, same, "left").select("run_id", "section_id", "ord", "text", "drafted_at", "status", "judged_at")
 
 
-def event_counts(events: DataFrame) -> DataFrame:
-    """Events, tool results and errors per run and type; state is one row per pair."""
-    return events.groupBy("run_id", "type").agg(
+def event_counts(events: DataFrame, window: str | None = None, delay: str = "1 hour") -> DataFrame:
+    """Events, tool results and errors per run and type; state is one row per pair.
+
+    With ``window`` counts are per run, type and window of event time, and a window's state is
+    dropped ``delay`` after it ends; the sum over windows is the count of the whole run.
+    """
+    keys = ["run_id", "type"]
+    if window is not None:
+        if events.isStreaming:
+            events = events.withWatermark("ts", delay)
+        keys.append(F.window("ts", window).alias("window"))
+    return events.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("count", F.lit(0))).alias("results"), F.count_if(F.col("type") == "error").alias("errors")
     )
 
@@ -105,12 +132,12 @@ def start_sink(stream: DataFrame, path: str, checkpoint: str, **trigger) -> Stre
     )
 
 
-def start_counts(events: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Write changed (run, type) counts per batch; the latest batch of a pair is current."""
+def start_counts(events: DataFrame, path: str, checkpoint: str, window: str | None = "1 day", delay: str = "1 hour", **trigger) -> StreamingQuery:
+    """Write changed (run, type, window) counts per batch; the latest batch of a key is current."""
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return (
-        event_counts(events).writeStream.outputMode("update").foreachBatch(save)
+        event_counts(events, window, delay).writeStream.outputMode("update").foreachBatch(save)
         .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     )

@@ -143,11 +143,11 @@ def quartiles(t: Tables) -> DataFrame:
 
 
 @check(f"""
-    SELECT 'series' AS part, CAST(l_orderkey AS VARCHAR) AS key, measure AS value, NULL::BIGINT AS observed_n FROM v_measure WHERE l_linenumber = 1
-    UNION ALL SELECT 'maximum', NULL, max(measure), count(measure) FROM v_measure WHERE l_linenumber = 1
+    SELECT 'series' AS part, l_orderkey || '-' || l_linenumber AS key, measure AS value, NULL::BIGINT AS observed_n FROM v_measure
+    UNION ALL SELECT 'maximum', NULL, max(measure), count(measure) FROM v_measure
 """)
 def series_max(t: Tables) -> DataFrame:
-    rows = V.v_measure(t).where("l_linenumber = 1").select(F.col("l_orderkey").cast("string").alias("key"), "measure")
+    rows = V.v_measure(t).select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("key"), "measure")
     series, top = A.series_and_max(rows, "key", "measure")
     null = F.lit(None)
     return series.select(F.lit("series").alias("part"), "key", F.col("measure").alias("value"), null.cast("bigint").alias("observed_n")).unionByName(

@@ -197,13 +197,13 @@ def graph_edges(t: Tables) -> DataFrame:
 
 
 @check("""
-    WITH r AS (SELECT doc_id, sha256('blastp|nr|10|' || upper(regexp_replace(title, '[^A-Za-z]', '', 'g'))) AS key FROM (SELECT doc_id, substr(text, 1, 200) || ' ' || doc_id AS title FROM documents)),
-    q AS (SELECT doc_id, sha256('blastp|nr|10|' || upper(regexp_replace(substr(text, 1, 200), '[^A-Za-z]', '', 'g'))) AS key FROM documents),
+    WITH r AS (SELECT doc_id, sha256('blastp|nr|10|' || upper(regexp_replace(title, '[^A-Za-z]', '', 'g'))) AS key FROM (SELECT doc_id, text || ' ' || doc_id AS title FROM documents)),
+    q AS (SELECT doc_id, sha256('blastp|nr|10|' || upper(regexp_replace(text, '[^A-Za-z]', '', 'g'))) AS key FROM documents),
     c AS (SELECT key, min(doc_id) AS d FROM q WHERE doc_id % 3 <> 0 GROUP BY 1)
     SELECT q.doc_id, q.key, coalesce(c.d % 40 <= 30 AND c.d % 40 <> 7, FALSE) AS hit FROM q LEFT JOIN c ON c.key = q.key
 """)
 def cache_lookup(t: Tables) -> DataFrame:
-    docs = t["documents"].select("doc_id", F.lit("blastp").alias("program"), F.lit("nr").alias("database"), F.lit(10).alias("expect"), F.substring("text", 1, 200).alias("residues"))
+    docs = t["documents"].select("doc_id", F.lit("blastp").alias("program"), F.lit("nr").alias("database"), F.lit(10).alias("expect"), F.col("text").alias("residues"))
     requests = docs.select("doc_id", P.cache_key(["program", "database", "expect"], "residues").alias("key"))
     now = F.to_timestamp(F.lit("2026-03-01 00:00:00"))
     cache = requests.where("doc_id % 3 <> 0").groupBy("key").agg(F.min("doc_id").alias("d")).select(

@@ -45,9 +45,10 @@ def relevance_gate_many(t: Tables) -> DataFrame:
     return R.relevance_gate_many(V.v_store(t), terms).select("id", "target")
 
 
-@check(f"SELECT id, ord FROM v_store WHERE {TITLE}")
+@check(f"SELECT id, ord FROM (SELECT id, ord, title || ' ' || coalesce(passage, '') AS title FROM v_store) WHERE {TITLE}")
 def title_gate(t: Tables) -> DataFrame:
-    return R.title_gate(V.v_store(t), TERMS).select("id", "ord")
+    whole = V.v_store(t).withColumn("title", F.concat("title", F.lit(" "), F.coalesce("passage", F.lit(""))))
+    return R.title_gate(whole, TERMS).select("id", "ord")
 
 
 FOUND = """

@@ -78,7 +78,7 @@ CITED = """
 
 @check("WITH " + CITED + """
     SELECT base AS id, kind, source, CASE WHEN base LIKE 'PMCID:%' THEN 'PubMed Central full text' ELSE title END AS title,
-           split_part(url, '#', 1) AS url, substr(snippet, 1, 600) AS snippet
+           split_part(url, '#', 1) AS url, snippet
     FROM (SELECT *, split_part(id, '#', 1) AS base, row_number() OVER (PARTITION BY split_part(id, '#', 1) ORDER BY ord) AS rn
           FROM v_store WHERE id IN (SELECT id FROM cited)) WHERE rn = 1
 """)

@@ -222,14 +222,14 @@ def v_contra(t: Tables) -> DataFrame:
 
 
 @view("""
-    SELECT 'PMID:' || doc_id AS id, substr(text, 1, 80) AS title, 'J' || doc_id % 9 AS journal, '2001' AS year,
+    SELECT 'PMID:' || doc_id AS id, text AS title, 'J' || doc_id % 9 AS journal, '2001' AS year,
            CASE WHEN doc_id % 9 = 0 THEN NULL ELSE '10.1/' || doc_id END AS doi, doc_id, doc_id AS ord
     FROM documents
 """)
 def v_with_doi(t: Tables) -> DataFrame:
     key = F.col("doc_id")
     return t["documents"].select(
-        pmid(key).alias("id"), F.substring("text", 1, 80).alias("title"),
+        pmid(key).alias("id"), F.col("text").alias("title"),
         F.concat(F.lit("J"), (key % 9).cast("string")).alias("journal"), F.lit("2001").alias("year"),
         F.when(key % 9 != 0, F.concat(F.lit("10.1/"), key.cast("string"))).alias("doi"), "doc_id", key.alias("ord"),
     )
@@ -237,8 +237,8 @@ def v_with_doi(t: Tables) -> DataFrame:
 
 @view("""
     SELECT '10.1/' || doc_id AS doi,
-           CASE WHEN doc_id % 4 = 0 THEN 'Another paper ' || doc_id WHEN doc_id % 4 = 1 THEN '*** ' || substr(text, 1, 60)
-                ELSE substr(text, 1, 80) || ' (reprint)' END AS reg_title,
+           CASE WHEN doc_id % 4 = 0 THEN 'Another paper ' || doc_id WHEN doc_id % 4 = 1 THEN '*** ' || text
+                ELSE text || ' (reprint)' END AS reg_title,
            CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'R' || doc_id % 3 END AS reg_journal, '20' || (10 + doc_id % 10) AS reg_year
     FROM documents WHERE doc_id % 7 <> 0
 """)
@@ -247,8 +247,8 @@ def v_registry(t: Tables) -> DataFrame:
     return t["documents"].where(key % 7 != 0).select(
         F.concat(F.lit("10.1/"), key.cast("string")).alias("doi"),
         F.when(key % 4 == 0, F.concat(F.lit("Another paper "), key.cast("string")))
-        .when(key % 4 == 1, F.concat(F.lit("*** "), F.substring("text", 1, 60)))
-        .otherwise(F.concat(F.substring("text", 1, 80), F.lit(" (reprint)"))).alias("reg_title"),
+        .when(key % 4 == 1, F.concat(F.lit("*** "), F.col("text")))
+        .otherwise(F.concat(F.col("text"), F.lit(" (reprint)"))).alias("reg_title"),
         F.when(key % 5 != 0, F.concat(F.lit("R"), (key % 3).cast("string"))).alias("reg_journal"),
         F.concat(F.lit("20"), (10 + key % 10).cast("string")).alias("reg_year"),
     )

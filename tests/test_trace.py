@@ -1,6 +1,7 @@
 """Streaming jobs against their batch twins, with restarts."""
 
 import json
+import os
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ def line(i, kind, run="r1", minutes=None, **extra):
 def write(folder, name, lines):
     folder.mkdir(parents=True, exist_ok=True)
     (folder / name).write_text("\n".join(lines) + "\n")
+    at = 1_700_000_000 + 10 * ord(name[0])  # files are read in the order of their times
+    os.utime(folder / name, (at, at))
 
 
 def run(query):
@@ -73,3 +76,14 @@ def test_counts_and_usage_match_batch(spark, tmp_path):
     usage = spark.read.parquet(str(tmp_path / "usage"))
     last = usage.where(F.col("batch") == usage.agg(F.max("batch")).scalar())
     assert {r.model: (r.calls, r.tokens_in, r.cost_usd) for r in last.collect()} == {"claude-haiku-4-5": (2, 15, 15 / 1e6 + 3 / 1e6 * 5), "who": (1, 1, None)}
+
+
+def test_late_events_are_kept_aside(spark, tmp_path):
+    source = tmp_path / "in"
+    now = (datetime.now() - START).total_seconds() / 60
+    write(source, "a.json", [line(1, "plan"), line(2, "plan", minutes=int(now) + 1500)])
+    events = TR.parse_trace(TR.read_trace(spark, str(source)))[0]
+    run(TR.start_late(events, str(tmp_path / "late"), str(tmp_path / "state")))
+    assert [r.seq for r in spark.read.parquet(str(tmp_path / "late")).collect()] == [1]
+    timely, late = TR.late_events(TR.parse_trace(spark.read.text(str(source)))[0])
+    assert [r.seq for r in timely.collect()] == [2] and late.count() == 1
