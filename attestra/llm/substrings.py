@@ -267,7 +267,10 @@ def _counted_spans(rows: DataFrame, size: int) -> DataFrame:
 
 def spans(docs: DataFrame, size: int, largest: int = 4096) -> DataFrame:
     """(doc_id, mark, begin, end): bytes of repeated strings, for rows (doc_id, mark, text)."""
-    listed = cut_lineage(_listed(docs, size))
+    every = cut_lineage(_listed(docs, size))
+    # Most anchors are alone: only those that share their key go further.
+    shared = every.groupBy("key").count().where(F.col("count") > 1).select("key")
+    listed = cut_lineage(every.join(shared, "key", "left_semi"))
     classes = listed.groupBy(*CLASS).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "mark", "place")).alias("head"))
     classes = cut_lineage(classes)
     keys = classes.groupBy("key").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("kinds"), F.sum((F.col("n") == 1).cast("int")).alias("alone"))
