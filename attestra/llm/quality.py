@@ -124,6 +124,7 @@ def rules() -> dict[str, Column]:
         out[name] = _rule(value, value < bad, value >= good)
 
     over("symbols", _share("n_symbols", "n_words"), 0.02, 0.1)
+    over("marks", _share("n_symbols", "word_chars"), 0.004, 0.05)
     over("dup_lines", _share("n_dup_lines", "n_lines"), 0.0, 0.3)
     over("repeats", _share("n_repeat_words", "n_words"), 0.05, 0.2)
     size = _share("word_chars", "n_words")

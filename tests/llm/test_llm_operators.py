@@ -135,6 +135,14 @@ def test_jaccard_random_groups(spark):
     assert found == brute.jaccard_components(texts, 3, 75)
 
 
+def test_jaccard_unites_rows_of_one_id(spark):
+    rng = random.Random(4)
+    a, b = _prose(rng, 40), _prose(rng, 40)
+    df = spark.createDataFrame([(5, a), (7, a), (7, b), (9, b), (3, "x"), (8, None)], "doc_id bigint, text string")
+    found = {(r["doc_id"], r["component_id"]) for r in jaccard.similar(df).collect()}
+    assert found == {(5, 5), (7, 5), (9, 5), (3, 3), (8, 8)}
+
+
 def test_jaccard_empty_and_representatives(docs, empty):
     assert jaccard.similar(empty).count() == 0
     kept = jaccard.representatives(docs)
