@@ -9,7 +9,8 @@ for every pair that met, each fragment's overlap is counted by itself, and the c
 
 Only components are wanted of the links, so a pair whose documents are known to be connected needs
 no count. First, equal sets are one node. Then, in ``chains`` rounds, each n-gram's documents are
-put in a random order and each is compared with its next few; links found are contracted. Last,
+put in an order (first one order for all n-grams, then a random one for each) and each is compared
+with its next one, later its next few; links found are contracted. Last,
 every remaining pair of different components that meets on an n-gram is compared: documents outside
 an n-gram's largest component against all of its documents. So a large group of near copies is
 connected by few comparisons and never multiplied out, and no link between components is lost.
@@ -34,6 +35,7 @@ CELLS = 1 << 20
 SLICES = 32
 FILTER_BITS = 1 << 23
 NEXT = 3
+SEEN = 100_000
 
 
 def shingles(block: B.Block, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,14 +52,11 @@ def shingles(block: B.Block, k: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.searchsorted(owner, np.arange(block.rows + 1))
 
 
-def _digest(keys: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit digests of each set."""
-    out = []
-    for salt in (0x1F3D5B79, 0x2468ACE1):
-        total = np.zeros(len(keys) + 1, np.uint64)
-        np.cumsum(B.mix(keys ^ np.uint64(salt)), out=total[1:])
-        out.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
-    return out[0], out[1]
+def _digest(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of each set."""
+    total = np.zeros(len(keys) + 1, np.uint64)
+    np.cumsum(B.mix(keys ^ np.uint64(0x1F3D5B79)), out=total[1:])
+    return B.mix((total[bounds[1:]] - total[bounds[:-1]]) ^ B.mix(np.diff(bounds).astype(np.uint64))).view(np.int64)
 
 
 def _cell(keys: np.ndarray) -> np.ndarray:
@@ -65,16 +64,19 @@ def _cell(keys: np.ndarray) -> np.ndarray:
 
 
 def sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2) of every row."""
+    """(doc_id, n_shingles, node, check) of every row; equal sets have equal nodes. ``check`` is a
+    second digest, by which a collision of the first would show."""
 
     def work(batches):
         for batch in batches:
             for block in B.blocks(batch):
                 keys, bounds = shingles(block, k)
-                d1, d2 = _digest(keys, bounds)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.lo, block.rows), pa.array(np.diff(bounds)), pa.array(d1), pa.array(d2)], ["doc_id", "n_shingles", "d1", "d2"])
+                check = _digest(B.mix(keys), bounds)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(block.lo, block.rows), pa.array(np.diff(bounds)), pa.array(_digest(keys, bounds)), pa.array(check)], ["doc_id", "n_shingles", "node", "check"]
+                )
 
-    return docs.mapInArrow(work, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint")
+    return docs.mapInArrow(work, "doc_id bigint, n_shingles bigint, node bigint, check bigint")
 
 
 def cell_counts(docs: DataFrame, k: int) -> np.ndarray:
@@ -126,76 +128,90 @@ def pivots(cells: np.ndarray, fragments: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, cells: np.ndarray, k: int, percent: int) -> DataFrame:
-    """(key, d1, d2, at, n): the shingles of each set's necessary prefix, their place and the set's size."""
+    """(key, node, at, n): the shingles of each set's necessary prefix, their place and the set's
+    size. A task sends a set it has seen lately once only; copies of other tasks are left to distinct."""
 
     def work(batches):
+        seen: set[int] = set()
         for batch in batches:
             for block in B.blocks(batch):
                 keys, bounds = shingles(block, k)
                 n = np.diff(bounds)
                 owner = np.repeat(np.arange(block.rows), n)
                 order = np.lexsort((keys, _rank(keys, cells), owner))
+                node = _digest(keys, bounds)
+                fresh = np.zeros(block.rows, bool)
+                for i, d in enumerate(node.tolist()):
+                    if d not in seen:
+                        fresh[i] = True
+                        seen.add(d)
+                if len(seen) > SEEN:
+                    seen.clear()
                 keys = keys[order]
                 at = np.arange(len(keys)) - np.repeat(bounds[:-1], n)
                 size = n[owner]
-                take = at < size + (-percent * size) // 100 + 1
-                d1, d2 = _digest(keys, bounds)
-                own = owner[take]
+                take = (at < size + (-percent * size) // 100 + 1) & fresh[owner]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (keys[take].view(np.int64), d1[own], d2[own], at[take].astype(np.int32), size[take].astype(np.int32))], ["key", "d1", "d2", "at", "n"]
+                    [pa.array(x) for x in (keys[take].view(np.int64), node[owner[take]], at[take].astype(np.int32), size[take].astype(np.int32))], ["key", "node", "at", "n"]
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(work, "key bigint, d1 bigint, d2 bigint, at int, n int")
+    return docs.select("text").mapInArrow(work, "key bigint, node bigint, at int, n int")
 
 
-def _filter(nodes: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size over node ids; at most FILTER_BITS / 64 rows reach the driver."""
-    bit = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
-    rows = (
-        nodes.select(F.shiftright(bit, 6).alias("at"), F.pmod(bit, F.lit(64)).cast("int").alias("b")).groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits")).toPandas()
-    )
+def _bit(node: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    h = B.mix(node.view(np.uint64) ^ B.mix(doc.astype(np.int64).view(np.uint64)))
+    return (h & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def _filter(heads: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size over (node, doc_id); at most FILTER_BITS / 64 rows reach the driver."""
+
+    def work(batches):
+        for batch in batches:
+            bit = _bit(batch.column("node").to_numpy(), batch.column("doc_id").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(bit >> 6), pa.array((bit & 63).astype(np.int32))], ["at", "b"])
+
+    rows = heads.select("node", "doc_id").mapInArrow(work, "at bigint, b int").groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits")).toPandas()
     out = np.zeros(FILTER_BITS >> 6, np.int64)
     out[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
     return out.view(np.uint8)
 
 
-def _segments(docs: DataFrame, nodes: DataFrame, cells: np.ndarray, cuts: np.ndarray, k: int) -> DataFrame:
-    """(node, fragment, grams) of the given nodes (node, d1, d2)."""
-    bits = _filter(nodes)
+def _segments(docs: DataFrame, heads: DataFrame, cells: np.ndarray, cuts: np.ndarray, k: int) -> DataFrame:
+    """(node, fragment, grams) of the given heads (node, doc_id), and of a few others that the
+    bitmap lets through. A row that is repeated gives its segments again."""
+    bits = _filter(heads)
+    parts = len(cuts) + 1
 
     def work(batches):
         for batch in batches:
-            bit = batch.column("bit").to_numpy()
-            keep = (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
-            wanted = batch.filter(pa.array(keep.astype(bool)))
-            for block in B.blocks(wanted):
+            for block in B.blocks(batch):
                 keys, bounds = shingles(block, k)
-                d1, d2 = _digest(keys, bounds)
+                node = _digest(keys, bounds)
+                bit = _bit(node, batch.column("doc_id").slice(block.lo, block.rows).to_numpy())
+                wanted = (bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
                 owner = np.repeat(np.arange(block.rows), np.diff(bounds))
-                part = owner * (len(cuts) + 1) + np.searchsorted(cuts, _rank(keys, cells), "right")
+                keys, owner = keys[wanted[owner]], owner[wanted[owner]]
+                part = owner * parts + np.searchsorted(cuts, _rank(keys, cells), "right")
                 order = np.argsort(part, kind="stable")
                 ids, first = np.unique(part[order], return_index=True)
                 grams = pa.ListArray.from_arrays(pa.array(np.append(first, len(part)).astype(np.int32)), pa.array(keys[order].view(np.int64)))
-                doc = ids // (len(cuts) + 1)
-                yield pa.RecordBatch.from_arrays(
-                    [wanted.column("doc_id").slice(block.lo, block.rows).take(pa.array(doc)), pa.array(d1[doc]), pa.array(d2[doc]), pa.array((ids % (len(cuts) + 1)).astype(np.int32)), grams],
-                    ["node", "d1", "d2", "fragment", "grams"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(node[ids // parts]), pa.array((ids % parts).astype(np.int32)), grams], ["node", "fragment", "grams"])
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit"))
-    found = rows.mapInArrow(work, "node bigint, d1 bigint, d2 bigint, fragment int, grams array<bigint>")
-    found = found.join(nodes, ["node", "d1", "d2"], "left_semi")
-    return found.dropDuplicates(["node", "fragment"]).select("node", "fragment", "grams")
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(work, "node bigint, fragment int, grams array<bigint>")
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, cells: np.ndarray, cuts: np.ndarray, k: int, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb) that link: overlaps of each fragment, summed for each pair."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    parts = cut_lineage(_segments(docs, cut_lineage(classes.join(ends, "node", "left_semi")), cells, cuts, k))
-    left = parts.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("ga"))
-    right = parts.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("gb"))
-    counted = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("n"))
-    total = counted.groupBy("a", "b", "na", "nb").agg(F.sum("n").alias("n"))
+    parts = cut_lineage(_segments(docs, classes.join(ends, "node", "left_semi"), cells, cuts, k))
+    # Both joins are on the node alone, so that one dealing of the segments serves them both.
+    dealt = parts.repartition("node")
+    left = dealt.select(F.col("node").alias("a"), F.col("fragment").alias("fa"), F.col("grams").alias("ga"))
+    right = dealt.select(F.col("node").alias("b"), F.col("fragment").alias("fb"), F.col("grams").alias("gb"))
+    counted = pairs.join(left, "a").join(right, "b").where("fa - fb = 0").select("a", "b", "na", "nb", "fa", F.size(F.array_intersect("ga", "gb")).alias("n"))
+    each = counted.groupBy("a", "b", "na", "nb", "fa").agg(F.max("n").alias("n"))  # repeated rows count once
+    total = each.groupBy("a", "b", "na", "nb").agg(F.sum("n").alias("n"))
     return total.where(100 * F.col("n") >= percent * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b")
 
 
@@ -216,57 +232,69 @@ def _ordered(meetings: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def similar(docs: DataFrame, k: int = 5, percent: int = 80, fragments: int = 8, chains: int = 2) -> DataFrame:
+def similar(docs: DataFrame, k: int = 5, percent: int = 80, fragments: int = 4, chains: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``: documents link when their sets'
     Jaccard similarity is at least ``percent`` / 100."""
     B.arrow_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     base = cut_lineage(sets(docs, k))
     full = base.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = cut_lineage(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")))
+    digested = full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("check").alias("lo"), F.max("check").alias("hi"))
+    sure = F.when(F.col("lo") == F.col("hi"), F.col("node")).otherwise(F.raise_error(F.lit("two sets of one digest")).cast("bigint"))
+    classes = cut_lineage(digested.select(sure.alias("node"), "doc_id"))
     cells = cell_counts(docs, k)
     cuts = pivots(cells, fragments)
 
-    met = prefixes(docs.where(F.col("doc_id").isNotNull()), cells, k, percent).distinct()
-    met = met.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("key"))).where(F.col("met") > 1).drop("met")
-    met = cut_lineage(met.join(classes, ["d1", "d2"]).select("key", "node", "at", "n"))
-    links = None
+    # Dealt by key once: distinct and the count of each key's sets work in that partitioning.
+    met = prefixes(docs.where(F.col("doc_id").isNotNull()), cells, k, percent).repartition("key").distinct()
+    by_key = Window.partitionBy("key")
+    met = cut_lineage(met.withColumn("met", F.count(F.lit(1)).over(by_key)).where(F.col("met") > 1).drop("met"))
+    roots = None
 
     def rooted(rows: DataFrame) -> DataFrame:
         """Rows of n-grams whose documents are of more than one component so far."""
-        if links is None:
+        if roots is None:
             return rows.withColumn("root", F.col("node"))
-        roots = components(links)
         rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-        return cut_lineage(rows.join(mixed, "key", "left_semi"))
+        ends = rows.withColumn("lo", F.min("root").over(by_key)).withColumn("hi", F.max("root").over(by_key))
+        return ends.where(F.col("lo") != F.col("hi")).drop("lo", "hi")
+
+    compared: list[DataFrame] = []
 
     def extend(pairs: DataFrame) -> DataFrame:
-        fresh = _linked(docs, cut_lineage(pairs), classes, cells, cuts, k, percent)
-        return cut_lineage(fresh if links is None else fresh.unionByName(links))
+        """Components with the links among pairs that were not compared before."""
+        for earlier in compared:
+            pairs = pairs.join(earlier.select("a", "b"), ["a", "b"], "left_anti")
+        compared.append(cut_lineage(pairs))
+        fresh = _linked(docs, compared[-1], classes, cells, cuts, k, percent)
+        return components(cut_lineage(fresh), roots)
 
     for i in range(chains):
-        rows = rooted(met)
-        order = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(i), "key", "node"), "node")
-        other = F.array(*[F.struct(F.lead("node", j).over(order).alias("b"), F.lead("root", j).over(order).alias("rb"), F.lead("at", j).over(order).alias("pb"), F.lead("n", j).over(order).alias("nb")) for j in range(1, NEXT + 1)])
-        near = rows.withColumn("next", other).select(F.col("node").alias("a"), F.col("root").alias("ra"), F.col("at").alias("pa"), F.col("n").alias("na"), F.explode("next").alias("x"))
+        by = [F.xxhash64("node")] if i == 0 else [F.xxhash64(F.lit(i), "key", "node")]
+        order = by_key.orderBy(*by, "node")
+        fields = {"b": "node", "rb": "root", "pb": "at", "nb": "n"}
+        ahead = [F.struct(*[F.lead(c, j).over(order).alias(a) for a, c in fields.items()]) for j in range(1, 2 if i == 0 else NEXT + 1)]
+        near = rooted(met).withColumn("next", F.array(*ahead))
+        near = near.select(F.col("node").alias("a"), F.col("root").alias("ra"), F.col("at").alias("pa"), F.col("n").alias("na"), F.explode("next").alias("x"))
         near = near.select("a", "ra", "pa", "na", "x.*").where(F.col("b").isNotNull() & (F.col("ra") != F.col("rb")))
-        links = extend(_ordered(near, percent))
+        roots = extend(_ordered(near, percent))
 
-    rows = rooted(met)
+    rows = cut_lineage(rooted(met))
     largest = rows.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("major"))
     minor = rows.join(largest, "key").where(F.col("root") != F.col("major"))
     minor = minor.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("at").alias("pa"), F.col("n").alias("na"))
     every = rows.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("at").alias("pb"), F.col("n").alias("nb"))
-    links = extend(_ordered(minor.join(every, "key").where((F.col("ra") != F.col("rb")) & _reachable(percent)), percent))
-
-    # rows of one doc_id are one document: its sets are linked
-    same = full.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("x"), F.max(F.struct("d1", "d2")).alias("y")).where(F.col("x") != F.col("y")).select("doc_id")
-    own = full.join(same, "doc_id", "left_semi").join(classes, ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    roots = components(links.unionByName(own))
-    named = classes.join(roots, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("root"))
-    out = base.join(named, ["d1", "d2"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))).alias("component_id"))
+    roots = extend(_ordered(minor.join(every, "key").where((F.col("ra") != F.col("rb")) & _reachable(percent)), percent))
+
+    # Rows of one doc_id are one document: its sets are linked.
+    own = full.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where(F.col("a") != F.col("z"))
+    own = full.join(own, "doc_id").select("a", F.col("node").alias("b")).where(F.col("a") != F.col("b")).distinct()
+    named = classes.join(components(own, roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component"))
+    named = named.join(least, "root").select("node", "component")
+    out = base.join(named, "node", "left")
+    alone = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), alone).alias("component_id"))
 
 
 def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
