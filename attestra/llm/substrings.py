@@ -269,7 +269,8 @@ def spans(docs: DataFrame, size: int, largest: int = 4096) -> DataFrame:
     """(doc_id, mark, begin, end): bytes of repeated strings, for rows (doc_id, mark, text)."""
     every = cut_lineage(_listed(docs, size))
     # Most anchors are alone: only those that share their key go further.
-    shared = every.groupBy("key").count().where(F.col("count") > 1).select("key")
+    # (Written down, so that the join below is free to split a key of very many anchors.)
+    shared = cut_lineage(every.groupBy("key").count().where(F.col("count") > 1).select("key"))
     listed = cut_lineage(every.join(shared, "key", "left_semi"))
     classes = listed.groupBy(*CLASS).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "mark", "place")).alias("head"))
     classes = cut_lineage(classes)
