@@ -232,7 +232,7 @@ def _ordered(meetings: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def similar(docs: DataFrame, k: int = 5, percent: int = 80, fragments: int = 4, chains: int = 2) -> DataFrame:
+def similar(docs: DataFrame, k: int = 5, percent: int = 80, fragments: int = 4, chains: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``: documents link when their sets'
     Jaccard similarity is at least ``percent`` / 100."""
     B.arrow_batches(docs.sparkSession)
