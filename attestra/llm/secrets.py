@@ -2,16 +2,18 @@
 
 The base kinds are regular expressions, leftmost and non-overlapping for each kind; an assignment
 whose value is short is dropped after matching. (Of the other two kinds only a maximal run can
-match, so their least length stands in the pattern.) Beside them every run of token characters of ``MIN_RUN`` or more is a
-candidate. Its encoding is inferred from its characters (hex, base32, base36, base64), and three
+match, so their least length stands in the pattern.) Beside them every run of token characters of
+``MIN_RUN`` or more is a candidate. Its encoding is inferred from its characters (hex, base32, base36, base62, base64), and three
 tests compare it with a uniform draw from that alphabet: chi-squared of its character counts, the
 number of runs above and below the middle of the alphabet, and the lag-1 serial correlation of its
 characters. A candidate that any of the three rejects is no random string. For the others the
-evidence is how unlikely so even a spread of characters is for ordinary words of the same length
-and alphabet: under word-like text the chi-squared statistic is centred where the corpus's own
-character frequencies put it. Those p-values go through Benjamini-Hochberg in each (encoding,
-length) stratum, over all candidates of the corpus, so the share of false finds is held at ``fdr``
-among short and among long ones alike.
+evidence is the likelihood ratio of a uniform draw to word-like text, in which a character depends
+on the class (lower, upper, digit, other) of the one before it and has its class's word shares. A
+candidate has to beat two word models, a fixed one and the one of the corpus's own rejected
+candidates. Under either, a ratio of L or more has a probability of 1 / L at most, at every length,
+so 1 / L is the p-value. Those go through Benjamini-Hochberg in each (encoding, length) stratum,
+over all candidates of the corpus, so the share of false finds is held at ``fdr`` among short and
+among long ones alike.
 
 p-values are counted in ``BINS`` logarithmic bins a stratum; the threshold of a stratum is the
 largest bin edge that passes, which is never laxer than the exact rule. Bins times strata is all
@@ -24,6 +26,8 @@ they are.
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,18 +41,24 @@ KINDS = {
 MIN_RUN = 20
 RANDOM = "random"
 RUN_PATTERN = f"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}"
-BINS = 64
+BINS = 512
+BINS_A_DECADE = 16
 _CHUNK = 256
 
 ALPHABETS = {
     "hex": ("^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
     "base32": ("^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     "base36": ("^(?:[a-z0-9]+|[A-Z0-9]+)$", "0123456789abcdefghijklmnopqrstuvwxyz"),
+    "base62": ("^[A-Za-z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
     "base64": ("^[A-Za-z0-9+/_=-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 }
-# Sum of squared character shares of words, used until the corpus shows LEAST_LETTERS of them.
-WORD_LIKENESS = {"hex": 0.12, "base32": 0.065, "base36": 0.065, "base64": 0.06}
-LEAST_LETTERS = 2000
+# Word-like text: shares of letters (per mille, a to z), and for each class of character the next one's (lower, upper, digit, other).
+LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
+NEXT_CLASS = ((0.80, 0.05, 0.03, 0.12), (0.30, 0.60, 0.05, 0.05), (0.08, 0.05, 0.75, 0.12), (0.60, 0.15, 0.15, 0.10))
+FLOOR = 0.05  # of each share is uniform
+LEAST_LETTERS = 2000  # the corpus has a word model of an encoding from so many letters on
+_START = 4
+_WIDTH = 64
 
 
 def _cumulated(items: Column) -> Column:
@@ -136,6 +146,26 @@ def _letters(token: Column, kind: Column) -> Column:
     return F.filter(F.transform(F.split(folded, ""), lambda c: F.instr(alphabet, c) - 1), lambda i: i >= 0)
 
 
+def _class_of(letter: str) -> int:
+    return 0 if letter.islower() else 1 if letter.isupper() else 2 if letter.isdigit() else 3
+
+
+CLASSES = {name: [_class_of(c) for c in letters] for name, (_, letters) in ALPHABETS.items()}
+
+
+def _code(kind: Column) -> Column:
+    out = F.lit(-1)
+    for i, name in enumerate(ALPHABETS):
+        out = F.when(kind == name, i).otherwise(out)
+    return out
+
+
+def _classes(x: Column) -> Column:
+    """The classes of a candidate's letters, with _START before them."""
+    table = F.array(*[F.lit(c) for classes in CLASSES.values() for c in classes + [3] * (_WIDTH - len(classes))])
+    return F.concat(F.array(F.lit(_START)), F.transform(x["at"], lambda a: F.get(table, x["code"] * _WIDTH + a)))
+
+
 def _pairs(x: Column) -> Column:
     return F.arrays_zip(F.slice(x, F.lit(1), F.size(x) - 1).alias("a"), F.slice(x, F.lit(2), F.size(x) - 1).alias("b"))
 
@@ -147,8 +177,8 @@ def _total(x: Column) -> Column:
 def battery(docs: DataFrame, column: str) -> DataFrame:
     """Replaces an array of struct<start, end, value> by the same with the tests' results.
 
-    Fields added: encoding, n and k (letters of token and alphabet), evenness (the chi-squared
-    statistic), p_uniform, p_runs, p_serial. Each step adds fields to the struct, so that no
+    Fields added: encoding, its code, at (places of the letters), n and k (letters of token and
+    alphabet), evenness (the chi-squared statistic), p_uniform, p_runs, p_serial. Each step adds fields to the struct, so that no
     statistic is worked out twice.
     """
     fields = ["start", "end", "value"]
@@ -162,7 +192,7 @@ def battery(docs: DataFrame, column: str) -> DataFrame:
         return rows
 
     rows = add(docs, encoding=lambda x: encoding(x["value"]))
-    rows = add(rows, at=lambda x: _letters(x["value"], x["encoding"]), k=lambda x: F.char_length(_alphabet(x["encoding"])).cast("double"))
+    rows = add(rows, at=lambda x: _letters(x["value"], x["encoding"]), code=lambda x: _code(x["encoding"]), k=lambda x: F.char_length(_alphabet(x["encoding"])).cast("double"))
     rows = add(
         rows,
         n=lambda x: F.size(x["at"]).cast("double"),
@@ -191,7 +221,7 @@ def battery(docs: DataFrame, column: str) -> DataFrame:
         / F.sqrt(F.nullif(F.greatest((x["expected"] - 1) * (x["expected"] - 2) / (x["n"] - 1), F.lit(0.0)), F.lit(0.0))),
         serial_z=lambda x: F.abs(x["serial"] + 1 / x["n"]) * F.sqrt(x["n"]),
     )
-    fields_out = ("start", "end", "value", "encoding", "n", "k", "evenness")
+    fields_out = ("start", "end", "value", "encoding", "code", "at", "n", "k", "evenness")
     return rows.withColumn(
         column,
         F.transform(
@@ -211,15 +241,67 @@ def _rejected(x: Column, alpha: float) -> Column:
     return F.coalesce(F.least(x["p_uniform"], x["p_runs"], x["p_serial"]) < alpha / 3, F.lit(True))
 
 
-def _p_words(x: Column, likeness: dict[str, float], alpha: float) -> Column:
-    """p-value of an evenness this low under word-like text of the same length; 1 if rejected."""
-    s = F.lit(float(likeness["base64"]))
-    for name, value in likeness.items():
-        s = F.when(x["encoding"] == name, float(value)).otherwise(s)
-    ratio = s * x["k"]
-    centre = x["k"] - ratio + x["n"] * (ratio - 1)
-    spread = F.sqrt(2 * (x["k"] - 1) + 4 * x["n"] * ratio * (ratio - 1))
-    return F.when(_rejected(x, alpha), 1.0).otherwise(_normal_tail((centre - x["evenness"]) / spread))
+def _normal(weights: list[float]) -> list[float]:
+    return [w / sum(weights) for w in weights]
+
+
+def _model(name: str, counts: dict[tuple[int, int], int]) -> tuple[list[float], list[list[float]]]:
+    """Word-like text of an alphabet: each letter's share in its class, and the classes' next ones.
+
+    ``counts`` are of (class before, place of the letter); classes and rows without any keep the
+    fixed shares.
+    """
+    letters, classes = ALPHABETS[name][1], CLASSES[name]
+    present = sorted(set(classes))
+    share = [0.0] * len(letters)
+    for c in present:
+        places = [i for i in range(len(letters)) if classes[i] == c]
+        fixed = [LETTERS[ord(letters[i].lower()) - 97] if c < 2 else 1.0 for i in places]
+        seen = [float(sum(n for (_, at), n in counts.items() if at == i)) for i in places]
+        for i, w in zip(places, _normal(seen if sum(seen) >= LEAST_LETTERS else fixed), strict=True):
+            share[i] = (1 - FLOOR) * w + FLOOR / len(places)
+    following = []
+    for a in range(4):
+        seen = [float(sum(n for (before, at), n in counts.items() if before == a and classes[at] == c)) for c in present]
+        row = _normal(seen if sum(seen) >= LEAST_LETTERS else [NEXT_CLASS[a][c] for c in present])
+        row = {c: (1 - FLOOR) * w + FLOOR / len(present) for c, w in zip(present, row, strict=True)}
+        following.append([row.get(c, 1.0) for c in range(4)])
+    # The first letter's class is no evidence.
+    following.append([max(classes.count(c), 1) / len(letters) for c in range(4)])
+    return share, following
+
+
+def word_models(tested: DataFrame, alpha: float) -> list[dict]:
+    """The fixed word model, and the one of the candidates that the battery rejects. Those with a
+    separator inside are left out, as their parts may be random."""
+    x = F.col("x")
+    words = tested.where(_rejected(x, alpha) & ~x["value"].rlike("[=/_-]"))
+    steps = words.select("x.encoding", F.explode(F.arrays_zip(F.slice(_classes(x), F.lit(1), F.size("x.at")).alias("a"), x["at"].alias("b"))).alias("y"))
+    rows = steps.groupBy("encoding", "y.a", "y.b").count().collect()  # 5 encodings, 5 classes, 64 letters at most
+    counts = {name: {(r["a"], r["b"]): r["count"] for r in rows if r["encoding"] == name} for name in ALPHABETS}
+    return [{name: _model(name, {}) for name in ALPHABETS}, {name: _model(name, counts[name]) for name in ALPHABETS}]
+
+
+def _log_ratio(x: Column, model: dict) -> Column:
+    weight, step = [], []
+    for share, following in model.values():
+        k = len(share)
+        weight += [-log(k * w) for w in share] + [0.0] * (_WIDTH - k)
+        step += [-log(w) for row in following for w in row]
+    weights, steps = F.array(*[F.lit(w) for w in weight]), F.array(*[F.lit(w) for w in step])
+    letters = F.transform(x["at"], lambda a: F.get(weights, x["code"] * _WIDTH + a))
+    classes = F.transform(_pairs(_classes(x)), lambda p: F.get(steps, x["code"] * 20 + p["a"] * 4 + p["b"]))
+    return _total(letters) + _total(classes)
+
+
+def _evidence(x: Column, models: list[dict]) -> Column:
+    """Log of the likelihood ratio of a uniform draw to the likelier of the word models."""
+    return F.least(*[_log_ratio(x, model) for model in models])
+
+
+def _p_words(x: Column, models: list[dict], alpha: float) -> Column:
+    """p-value of a likelihood ratio this high under word-like text; 1 if the battery rejects."""
+    return F.when(_rejected(x, alpha), 1.0).otherwise(F.least(F.exp(-_evidence(x, models)), F.lit(1.0)))
 
 
 def _stratum(x: Column) -> Column:
@@ -227,33 +309,21 @@ def _stratum(x: Column) -> Column:
 
 
 def _bin(p: Column) -> Column:
-    """Bins of half a power of ten: bin b holds p in (10^-((b + 1) / 2), 10^-(b / 2)]."""
-    return F.least(F.floor(-2 * F.log10(F.greatest(p, F.lit(1e-40)))), F.lit(BINS - 1)).cast("int")
-
-
-def word_likeness(tested: DataFrame, alpha: float) -> dict[str, float]:
-    """For each encoding the sum of squared letter shares of the candidates that the battery rejects."""
-    words = tested.where(_rejected(F.col("x"), alpha)).select("x.encoding", F.explode(_letters(F.col("x.value"), F.col("x.encoding"))).alias("at"))
-    rows = words.groupBy("encoding", "at").count().collect()  # 4 encodings of 64 letters at most
-    out = dict(WORD_LIKENESS)
-    for name in out:
-        counts = [r["count"] for r in rows if r["encoding"] == name]
-        if sum(counts) >= LEAST_LETTERS:
-            out[name] = max(sum((c / sum(counts)) ** 2 for c in counts), 1.5 / len(ALPHABETS[name][1]))
-    return out
+    """Bin b holds p in (10^-((b + 1) / BINS_A_DECADE), 10^-(b / BINS_A_DECADE)]."""
+    return F.least(F.floor(-BINS_A_DECADE * F.log10(F.greatest(p, F.lit(1e-40)))), F.lit(BINS - 1)).cast("int")
 
 
-def thresholds(tested: DataFrame, likeness: dict[str, float], fdr: float, alpha: float) -> dict[str, int]:
+def thresholds(tested: DataFrame, models: list[dict], fdr: float, alpha: float) -> dict[str, int]:
     """For each stratum the lowest bin whose p-values all pass Benjamini-Hochberg."""
     x = F.col("x")
-    rows = tested.groupBy(_stratum(x).alias("stratum"), _bin(_p_words(x, likeness, alpha)).alias("bin")).count().collect()  # strata times BINS at most
+    rows = tested.groupBy(_stratum(x).alias("stratum"), _bin(_p_words(x, models, alpha)).alias("bin")).count().collect()  # strata times BINS at most
     out = {}
     for name in {r["stratum"] for r in rows}:
         bins = sorted(((r["bin"], r["count"]) for r in rows if r["stratum"] == name), reverse=True)
         total, seen = sum(n for _, n in bins), 0
         for b, n in bins:
             seen += n
-            if 10.0 ** (-b / 2) <= fdr * seen / total:
+            if 10.0 ** (-b / BINS_A_DECADE) <= fdr * seen / total:
                 out[name] = b
     return out
 
@@ -269,14 +339,14 @@ def scan(docs: DataFrame, fdr: float = 0.05, alpha: float = 0.001) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     runs = battery(docs.select(text.alias("text")).where(F.col("text").rlike(RUN_PATTERN)).select(matches(F.col("text"), RUN_PATTERN).alias("runs")), "runs")
     tested = cut_lineage(runs.select(F.explode("runs").alias("x")))
-    likeness = word_likeness(tested, alpha)
-    limits = thresholds(tested, likeness, fdr, alpha)
+    models = word_models(tested, alpha)
+    limits = thresholds(tested, models, fdr, alpha)
 
     def random(x: Column) -> Column:
         limit = F.lit(BINS)
         for name, b in sorted(limits.items()):
             limit = F.when(_stratum(x) == name, b).otherwise(limit)
-        return _bin(_p_words(x, likeness, alpha)) >= limit
+        return _bin(_p_words(x, models, alpha)) >= limit
 
     base = F.array_sort(F.concat(*[spans(matches(text, *rule), i, kind) for i, (kind, rule) in enumerate(KINDS.items())]))
     rows = battery(docs.withColumn("_runs", matches(text, RUN_PATTERN)), "_runs").withColumn("base", F.coalesce(base, none))
