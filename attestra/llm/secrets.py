@@ -3,7 +3,9 @@
 The base kinds are regular expressions, leftmost and non-overlapping for each kind; an assignment
 whose value is short is dropped after matching. (Of the other two kinds only a maximal run can
 match, so their least length stands in the pattern.) Beside them every run of token characters of
-``MIN_RUN`` or more is a candidate. Its encoding is inferred from its characters (hex, base32, base36, base62, base64), and three
+``MIN_RUN`` or more is a candidate, and so are its parts of that length between the separators of
+``CUTS``: a name, path or URL may be glued to a token. The encoding of each is inferred from its
+characters (hex, base32, base36, base62, base64), and three
 tests compare it with a uniform draw from that alphabet: chi-squared of its character counts, the
 number of runs above and below the middle of the alphabet, and the lag-1 serial correlation of its
 characters. A candidate that any of the three rejects is no random string. For the others the
@@ -41,6 +43,8 @@ KINDS = {
 MIN_RUN = 20
 RANDOM = "random"
 RUN_PATTERN = f"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}"
+# Parts of a run: cut at '=', and at none, one or both of the separators that base64 and base64url have as letters.
+CUTS = [f"[A-Za-z0-9+{letters}]{{{MIN_RUN},}}(?:=+$)?" for letters in ("/_-", "_-", "/", "")]
 BINS = 512
 BINS_A_DECADE = 16
 _CHUNK = 256
@@ -328,16 +332,64 @@ def thresholds(tested: DataFrame, models: list[dict], fdr: float, alpha: float)
     return out
 
 
+def candidates(text: Column) -> Column:
+    """array<struct<start, end, value>> of the runs and of their parts, in order, each once."""
+
+    def shifted(run: Column, pattern: str) -> Column:
+        return F.transform(
+            matches(run["value"], pattern), lambda x: F.struct((run["start"] + x["start"]).alias("start"), (run["start"] + x["end"]).alias("end"), x["value"].alias("value"))
+        )
+
+    def split(run: Column) -> Column:
+        return F.when(run["value"].rlike("[=/_-]"), F.concat(F.array(run), *[shifted(run, p) for p in CUTS])).otherwise(F.array(run))
+
+    found = F.array_sort(F.flatten(F.transform(matches(text, RUN_PATTERN), split)))
+    before = F.concat(F.array(F.lit(None).cast("struct<start:bigint,end:bigint,value:string>")), found)
+    again = F.zip_with(found, before, lambda x, y: F.when(y.isNull() | (x["start"] != y["start"]) | (x["end"] != y["end"]), x))
+    return F.filter(again, lambda x: x.isNotNull())
+
+
+def outermost(spans: Column) -> Column:
+    """The spans (start, back, rank, end, kind), sorted, without the random ones that lie inside an
+    earlier one; ``back`` is minus the end, so that the wider of two comes first. In chunks, so that
+    long lists stay linear."""
+
+    def chunk(first: Column) -> Column:
+        return F.slice(spans, first * _CHUNK + 1, F.lit(_CHUNK))
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(spans) - 1, F.lit(0))) / _CHUNK).cast("int")), chunk)
+    none = F.lit(-1).cast("bigint")
+    tops = F.transform(chunks, lambda c: F.coalesce(F.array_max(F.transform(c, lambda x: x["end"])), none))
+    reached = F.aggregate(tops, F.array(none), lambda s, x: F.concat(s, F.array(F.greatest(F.element_at(s, -1), x))))
+
+    def keep(part: Column, start: Column) -> Column:
+        empty = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")
+        done = F.aggregate(
+            part,
+            F.struct(start.alias("top"), empty.alias("kept")),
+            lambda s, x: F.struct(
+                F.greatest(s["top"], x["end"]).alias("top"),
+                F.when((x["kind"] == RANDOM) & (x["end"] <= s["top"]), s["kept"])
+                .otherwise(F.concat(s["kept"], F.array(F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")))))
+                .alias("kept"),
+            ),
+        )
+        return done["kept"]
+
+    return F.flatten(F.zip_with(chunks, F.slice(reached, F.lit(1), F.size(chunks)), keep))
+
+
 def scan(docs: DataFrame, fdr: float = 0.05, alpha: float = 0.001) -> DataFrame:
     """``docs`` with ``base`` and ``secrets``: array<struct<start, rank, end, kind>> of the base spans
-    and of all spans, in order of start and rank. A random span inside a base one is not repeated."""
+    and of all spans, in order of start and rank. A random span inside a base one, or inside a wider
+    random one, is not repeated."""
     none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")
 
     def spans(found: Column, rank: int, kind: str) -> Column:
         return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
     text = F.coalesce("text", F.lit(""))
-    runs = battery(docs.select(text.alias("text")).where(F.col("text").rlike(RUN_PATTERN)).select(matches(F.col("text"), RUN_PATTERN).alias("runs")), "runs")
+    runs = battery(docs.select(text.alias("text")).where(F.col("text").rlike(RUN_PATTERN)).select(candidates(F.col("text")).alias("runs")), "runs")
     tested = cut_lineage(runs.select(F.explode("runs").alias("x")))
     models = word_models(tested, alpha)
     limits = thresholds(tested, models, fdr, alpha)
@@ -349,9 +401,11 @@ def scan(docs: DataFrame, fdr: float = 0.05, alpha: float = 0.001) -> DataFrame:
         return _bin(_p_words(x, models, alpha)) >= limit
 
     base = F.array_sort(F.concat(*[spans(matches(text, *rule), i, kind) for i, (kind, rule) in enumerate(KINDS.items())]))
-    rows = battery(docs.withColumn("_runs", matches(text, RUN_PATTERN)), "_runs").withColumn("base", F.coalesce(base, none))
-    fresh = F.filter("_runs", lambda x: random(x) & ~F.exists("base", lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"])))
-    return rows.withColumn("secrets", F.array_sort(F.concat("base", spans(fresh, len(KINDS), RANDOM)))).drop("_runs")
+    rows = battery(docs.withColumn("_runs", candidates(text)), "_runs").withColumn("base", F.coalesce(base, none))
+    found = F.concat("base", spans(F.filter("_runs", random), len(KINDS), RANDOM))
+    wide = F.array_sort(F.transform(found, lambda s: F.struct(s["start"], (-s["end"]).alias("back"), s["rank"], s["end"], s["kind"])))
+    rows = rows.withColumn("_found", wide)
+    return rows.withColumn("secrets", F.array_sort(outermost(F.col("_found")))).drop("_runs", "_found")
 
 
 def redact(text: Column, secrets: Column, mark: str = "[SECRET]") -> Column:

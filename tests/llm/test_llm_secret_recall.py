@@ -1,4 +1,4 @@
-"""Recall of the random tokens of each encoding and length among words."""
+"""Recall of the random tokens of each encoding and length among words, and behind names and paths."""
 
 from __future__ import annotations
 
@@ -73,3 +73,38 @@ def test_tokens_of_every_length_are_found_at_a_share_of_one_percent(found, encod
 def test_words_stay(found):
     hits, words = (sum(h[i] for h in found.values()) for i in (0, 1))
     assert words <= 0.05 * (hits + words), (hits, words)
+
+
+@pytest.mark.parametrize("prefix", ["sig=", "session=", "files/v2/", "user-id_", "https/host-name/path_to/x="])
+def test_tokens_behind_names_and_paths_are_found(spark, prefix):
+    rng = random.Random(4)
+    kinds = [("HEX", 64), ("hex", 31), ("base32", 52), ("base36", 50), ("base62", 43)]
+    tokens = [(_token(rng, e, n), e) for e, n in kinds for _ in range(20)]
+    data = [(i, f"see {prefix}{t} here") for i, (t, _) in enumerate(tokens)]
+    data += [(len(tokens) + i, f"see {prefix}{_words(rng, 'base36', 40)} here") for i in range(400)]
+    spans = _random_spans(spark, data)
+    for encoding, _ in kinds:
+        mine = [i for i, (_, e) in enumerate(tokens) if e == encoding]
+        whole = [i for i in mine if any(a <= 4 + len(prefix) and b == 4 + len(prefix + tokens[i][0]) for a, b in spans[i])]
+        assert len(whole) >= 0.9 * len(mine), (encoding, len(whole))
+    assert sum(bool(spans[i]) for i in range(len(tokens), len(data))) <= 5
+
+
+def test_parts_are_distinct_and_in_order(spark):
+    a, b, c = "A" * 20, "b" * 25, "C" * 21
+    row = spark.createDataFrame([(f"x {a}/{b}-k={c}== {a} short=1 {a}",)], "text string")
+    got = [(s["start"], s["value"]) for s in row.select(secrets.candidates(F.col("text")).alias("c")).collect()[0]["c"]]
+    assert got == [(2, a), (2, f"{a}/{b}"), (2, f"{a}/{b}-k"), (2, f"{a}/{b}-k={c}=="), (23, b), (23, f"{b}-k"), (51, f"{c}=="), (75, a), (104, a)]
+
+
+def test_many_spans_keep_the_widest(spark):
+    spans = [(i, i + 5, "random") for i in range(0, 6000, 5)] + [(0, 3000, "random"), (3, 9, "assign"), (2990, 3010, "hex")]
+    items = sorted((a, -b, 3 if kind == "random" else 0, b, kind) for a, b, kind in spans)
+    row = spark.createDataFrame([(items,), ([],)], "s array<struct<start:bigint,back:bigint,rank:int,end:bigint,kind:string>>")
+    got = [[(s["start"], s["end"], s["kind"]) for s in r["o"]] for r in row.select(secrets.outermost(F.col("s")).alias("o")).collect()]
+    want, top = [], -1
+    for a, _, _, b, kind in items:
+        if kind != "random" or b > top:
+            want.append((a, b, kind))
+        top = max(top, b)
+    assert sorted(got, key=len) == [[], want]
