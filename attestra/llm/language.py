@@ -206,7 +206,10 @@ def predict(docs: DataFrame, model: Model | None, carry: tuple[str, ...] = ("doc
 
 
 def spoken(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of ``docs`` whose language is known and not ambiguous, all their columns as they were."""
+    """The rows of ``docs`` whose language is known and not ambiguous, all their columns as they were.
+    Without a model no language can be told, and every row whose text has a letter stays."""
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     marks = ("lang_pred", "score", "ambiguous")
     kept = {f"__{i}": c for i, c in enumerate(docs.columns)}
     renamed = docs.select(*[F.col(f"`{c}`").alias(a) for a, c in kept.items()], F.col("text"))
