@@ -298,11 +298,11 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, fragments: int = 4,
 
 
 def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each component, its smallest doc_id (ties: the smallest text); rows without an id
+    """One row of each component, its smallest doc_id (ties: the smallest text, null and empty ones last); rows without an id
     stay. All columns as they were."""
     found = similar(docs, k, percent)
     heads = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
     kept = docs.join(heads, F.col("doc_id").cast("bigint") == F.col("__id"))
-    first = Window.partitionBy("__id").orderBy(F.col("text").asc_nulls_first())
+    first = Window.partitionBy("__id").orderBy(F.coalesce(F.length("text"), F.lit(0)) == 0, F.col("text").asc_nulls_last())
     kept = kept.withColumn("__n", F.row_number().over(first)).where(F.col("__n") == 1)
     return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
