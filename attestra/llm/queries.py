@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import chat, decontaminate, jaccard, language, packing, quality, secrets, sharding, substrings, tokens
+from attestra.llm import chat, decontaminate, idfiles, jaccard, language, lexical, packing, quality, secrets, sharding, substrings, tokens, whitening, wordids
+from attestra.session import checkpoint_dir
 
 TOKENIZERS = "/opt/tokenizers"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,3 +151,36 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("removed").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query(
+    r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+qt AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY ALL),
+g AS (SELECT count(*) FILTER (len(ts) > 0) AS n_docs, sum(len(ts))::BIGINT AS total FROM d),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM d) SEMI JOIN (SELECT DISTINCT term FROM qt) USING (term) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, g GROUP BY term),
+s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // total))))::BIGINT AS score
+      FROM qt JOIN tf USING (term) JOIN w USING (term), g GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+)
+def op11_lemp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"), k=10)
+
+
+@query()
+def op12_id_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    folder = f"{checkpoint_dir(spark)}/ids-{uuid.uuid4().hex}"
+    wordids.write_ids(docs, folder, "word_bpe_49k.json", end=2)
+    idfiles.index(spark, folder)
+    read = idfiles.fetch(idfiles.look_up(idfiles.every_key(docs), folder), folder)
+    return read.select("doc_id", "start", F.col("length").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@query()
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", count=32)
