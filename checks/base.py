@@ -82,6 +82,8 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not parts:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {parts},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {parts},\n{body[5:]}"
     return f"WITH {parts}\n{body}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.operators import claims as C
@@ -217,7 +217,7 @@ def clamp(t: Tables) -> DataFrame:
 
 
 WORDS = """
-    c AS (SELECT *, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS tk, citations[1] AS ck,
+    c AS (SELECT *, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS tk, array_to_string(list_sort(citations), '|') AS ck,
           list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> ''))) AS w FROM v_dup_claims),
     k AS (SELECT sha256(tk || chr(1) || ck || chr(1) || array_to_string(w, ' ')) AS class_id, any_value(tk) AS tk, any_value(ck) AS ck, any_value(w) AS w,
           min(ord) AS first_ord FROM c WHERE tk <> '' GROUP BY 1)
@@ -226,7 +226,7 @@ WORDS = """
 
 @check("WITH " + WORDS + """,
     tok AS (SELECT class_id, ck, len(w) AS n, unnest(w) AS word FROM k),
-    pairs AS (SELECT a.class_id AS a, b.class_id AS b FROM tok a JOIN tok b ON a.ck = b.ck AND a.word = b.word AND a.class_id < b.class_id
+    pairs AS (SELECT a.class_id AS a, b.class_id AS b FROM tok a JOIN tok b ON a.ck = b.ck AND a.ck <> '' AND a.word = b.word AND a.class_id < b.class_id
               GROUP BY 1, 2 HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.5),
     hubs AS (SELECT tk, arg_min(class_id, first_ord) AS hub FROM k GROUP BY 1),
     stars AS (SELECT least(hub, class_id) AS a, greatest(hub, class_id) AS b FROM k JOIN hubs USING (tk) WHERE hub <> class_id)
@@ -249,6 +249,29 @@ def consolidate_text(t: Tables) -> DataFrame:
     return kept.select("ord", "section_id", "text", "merged")
 
 
+@check("WITH RECURSIVE " + WORDS + """,
+    tok AS (SELECT class_id, ck, len(w) AS n, unnest(w) AS word FROM k WHERE ck <> ''),
+    near AS (SELECT a.class_id AS a, b.class_id AS b FROM tok a JOIN tok b ON a.ck = b.ck AND a.word = b.word
+             GROUP BY 1, 2 HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.5),
+    alike AS (SELECT a, b FROM near UNION SELECT x.class_id, y.class_id FROM k x JOIN k y USING (tk)),
+    item AS (SELECT ord, sha256(tk || chr(1) || ck || chr(1) || array_to_string(w, ' ')) AS class_id FROM c WHERE tk <> ''),
+    e AS (SELECT y.ord AS late, x.ord AS early FROM alike JOIN item x ON x.class_id = a JOIN item y ON y.class_id = b WHERE y.ord > x.ord),
+    reach(ord, g) AS (SELECT ord, ord FROM item UNION SELECT late, g FROM reach JOIN e ON early = reach.ord),
+    grp AS (SELECT ord, min(g) AS g FROM reach GROUP BY 1 UNION ALL SELECT ord, ord FROM c WHERE tk = ''),
+    r AS (SELECT c.*, g, row_number() OVER (PARTITION BY g ORDER BY len(citations) DESC, confidence DESC, length(text) DESC, c.ord) AS rn,
+                 count(*) OVER (PARTITION BY g) AS n FROM c JOIN grp USING (ord)),
+    u AS (SELECT g, id, min((ord, p)) AS f FROM (SELECT g, ord, unnest(citations) AS id, generate_subscripts(citations, 1) AS p FROM r) GROUP BY 1, 2)
+    SELECT ord, section_id, text, CAST(n - 1 AS BIGINT) AS merged, u.id, CASE WHEN u.id IS NOT NULL THEN row_number() OVER (PARTITION BY r.g ORDER BY f) END::INTEGER AS place
+    FROM r LEFT JOIN u ON u.g = r.g WHERE rn = 1
+""")
+def consolidate(t: Tables) -> DataFrame:
+    """Kept claims, how many each replaces, and the united citations of its group in order of arrival."""
+    kept, cites = X.consolidate(cut_lineage(V.v_dup_claims(t)))
+    place = F.row_number().over(Window.partitionBy("ord").orderBy("first_ord", "first_pos"))
+    united = cites.select("ord", "id", place.alias("place"))
+    return kept.select("ord", "section_id", "text", "merged").join(united, "ord", "left")
+
+
 @check("""
     WITH f AS (SELECT DISTINCT doc_id % 4 AS target, pmcid FROM v_store WHERE id LIKE 'PMCID:%' AND pmcid <> ''),
     p AS (SELECT s.doc_id % 4 AS target, last_author, affiliation, CASE WHEN f.pmcid IS NOT NULL THEN 3 ELSE 1 END AS w

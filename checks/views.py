@@ -119,18 +119,20 @@ def v_shipped(t: Tables) -> DataFrame:
 
 
 @view("""
-    SELECT doc_id * 1000000 + i AS ord, source AS section_id, trim(line) AS text, [source] AS citations, (doc_id % 10) / 10.0 AS confidence
-    FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+    SELECT doc_id * 1000000 + i AS ord, source AS section_id, trim(line) AS text, (doc_id % 10) / 10.0 AS confidence,
+           CASE WHEN doc_id % 7 = 0 THEN []::VARCHAR[] WHEN doc_id % 3 = 0 THEN [source, coalesce(lang, 'und')] ELSE [source] END AS citations
+    FROM (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS line,
                  generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
-    WHERE length(line) > 20
 """)
 def v_dup_claims(t: Tables) -> DataFrame:
-    lines = t.text("documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    return lines.where(F.length("line") > 20).select(
+    """Every line of every document as a claim."""
+    lines = t.text("documents").select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    both = F.array("source", F.coalesce("lang", F.lit("und")))
+    return lines.select(
         (F.col("doc_id") * 1000000 + F.col("i") + 1).alias("ord"),
         F.col("source").alias("section_id"),
         F.trim("line").alias("text"),
-        F.array("source").alias("citations"),
+        F.when(F.col("doc_id") % 7 == 0, F.array().cast("array<string>")).when(F.col("doc_id") % 3 == 0, both).otherwise(F.array("source")).alias("citations"),
         ((F.col("doc_id") % 10) / 10).alias("confidence"),
     )
 
