@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from attestra import constants as K
 from attestra.functions import text as T
 from attestra.functions import vectors as V
+from attestra.operators import postings as P
 from attestra.session import cut_lineage, literal_array
 
 GRAM = 3  # texts and terms meet on n-grams of this length; shorter terms on themselves
@@ -78,27 +79,41 @@ def _grams(text: Column, n: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.concat(F.lit("(?s)(?=(.{"), n.cast("string"), F.lit("}))")), F.lit(1)))
 
 
-def term_hits(rows: DataFrame, id_col: str, text: Column, terms: DataFrame) -> DataFrame:
+def term_hits(rows: DataFrame, id_col: str, text: Column, terms: DataFrame, index: P.TextIndex | None = None) -> DataFrame:
     """``(id, target)`` pairs where the text contains any term of the target.
 
-    Texts and terms meet on n-grams, ids only: of each term the n-gram that the fewest texts
-    hold, so a common one brings no candidates where a rare one would do. Candidates then fetch
-    their text and are checked against it.
+    A term of letters and digits lies within one word, so the words that contain it are found in the
+    vocabulary and their postings name the rows; no text is read. A term of several words is looked up by
+    its longest, and only the rows that hold it fetch their text. A term without letters or digits is
+    looked for in n-grams of the texts. ``index`` is an index of ``text``; without one it is built here.
     """
-    lowered = terms.select("target", F.lower("term").alias("term")).where(F.length("term") > 0).distinct()
+    lowered = cut_lineage(terms.select("target", F.lower("term").alias("term")).where(F.length("term") > 0).distinct())
+    parts = P.words_of(F.col("term"))
+    longest = F.aggregate(parts, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+    shaped = lowered.withColumn("part", longest).withColumn("_one", F.col("part") == F.col("term"))
     base = rows.select(F.col(id_col), text.alias("_text"))
-    keyed = lowered.select("term").distinct().withColumn("_gram", F.explode(_grams(F.col("term"), F.least(F.length("term"), F.lit(GRAM)))))
-    sizes = F.concat(*[_grams(F.col("_text"), F.lit(n)) for n in range(1, GRAM + 1)])
-    # Ids by n-gram, of the terms' n-grams only: written once, used for the counts and the pairs.
-    held = cut_lineage(base.select(id_col, F.explode(sizes).alias("_gram")).join(keyed.select("_gram").distinct(), "_gram", "left_semi"))
-    rare = held.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
-    best = keyed.join(rare, "_gram").groupBy("term").agg(F.min(F.struct("_n", "_gram")).alias("_b"), F.count(F.lit(1)).alias("_held"))
-    # A term with an n-gram that no text holds is in no text.
-    whole = keyed.groupBy("term").agg(F.count(F.lit(1)).alias("_all"))
-    wanted = best.join(whole, "term").where(F.col("_held") == F.col("_all")).select("term", F.col("_b._gram").alias("_gram"))
-    pairs = held.join(wanted, "_gram").select(id_col, "term")
-    found = pairs.join(base, id_col).where(F.contains("_text", F.col("term"))).select(id_col, "term")
-    return found.join(lowered, "term").select(id_col, "target").distinct()
+    worded = shaped.where(F.length("part") > 0)
+    index = index or P.build(base, id_col, [F.col("_text")])
+    held = P.rows_with(index, worded.select("part").distinct())
+    direct = held.join(worded.where("_one").select("part", "target").distinct(), "part").select("target", "segment", "rows")
+    hits = index.named(direct, id_col).select(id_col, "target")
+    kinds = {(r[0], r[1]) for r in shaped.select("_one", F.length("part") > 0).distinct().collect()}
+    if (False, True) in kinds:
+        several = index.named(held.join(worded.where(~F.col("_one")), "part").select("term", "segment", "rows"), id_col).distinct()
+        found = several.join(base, id_col).where(F.contains("_text", F.col("term"))).select(id_col, "term")
+        hits = hits.unionByName(found.join(lowered, "term").select(id_col, "target"))
+    if (False, False) in kinds:
+        marks = shaped.where(F.length("part") == 0).select("target", "term")
+        hits = hits.unionByName(_mark_hits(base, id_col, marks))
+    return hits.distinct()
+
+
+def _mark_hits(base: DataFrame, id_col: str, terms: DataFrame) -> DataFrame:
+    """Texts that contain a term without letters and digits: they meet on the term's first characters."""
+    keyed = terms.withColumn("_gram", F.substring("term", 1, GRAM))
+    held = F.concat(*[_grams(F.col("_text"), F.lit(n)) for n in range(1, GRAM + 1)])
+    pairs = base.select(id_col, F.explode(held).alias("_gram")).join(keyed, "_gram").select(id_col, "target", "term").distinct()
+    return pairs.join(base, id_col).where(F.contains("_text", F.col("term"))).select(id_col, "target")
 
 
 def own_terms(terms: DataFrame, key: str) -> DataFrame:
@@ -111,13 +126,13 @@ def mentions_own(text: Column) -> Column:
     return F.coalesce(F.exists("_terms", lambda t: F.contains(text, t)), F.lit(True))
 
 
-def relevance_gate_many(evidence: DataFrame, terms: DataFrame) -> DataFrame:
+def relevance_gate_many(evidence: DataFrame, terms: DataFrame, index: P.TextIndex | None = None) -> DataFrame:
     """``(target, evidence row)`` for every target whose terms the row mentions.
 
     A target without terms passes every row; ``open_targets`` names those, and the evidence itself
     is their result, so it is not multiplied here.
     """
-    return evidence.join(term_hits(evidence, "id", gate_text(), terms), "id")
+    return evidence.join(term_hits(evidence, "id", gate_text(), terms, index), "id")
 
 
 def open_targets(targets: DataFrame, terms: DataFrame) -> DataFrame:
@@ -129,35 +144,31 @@ def open_targets(targets: DataFrame, terms: DataFrame) -> DataFrame:
 # --- Search ------------------------------------------------------------------------------
 
 
-def pinned_pairs(publications: DataFrame, queries: DataFrame, review_only: bool = False) -> DataFrame:
+def publication_index(publications: DataFrame, folder: str | None = None, buckets: int | None = None) -> P.TextIndex:
+    """The index that pinned search asks: title and passage are one region, the snippet the next."""
+    return P.build(publications, "id", [F.concat_ws(" ", "title", "passage"), F.col("snippet")], folder, buckets)
+
+
+def pinned_pairs(publications: DataFrame, queries: DataFrame, review_only: bool = False, index: P.TextIndex | None = None) -> DataFrame:
     """``(query_id, id, cited_by, ord)`` of the publications a (query_id, target, concept) finds.
 
     The target phrase must occur in title or abstract as whole words; the concept phrase anywhere in
-    the record, and an empty concept matches. Ids of queries and publications meet on the target's
-    word that the fewest publications hold; only those pairs fetch their text, once each.
+    the record, and an empty concept matches. Phrases are found at their words' places in the index
+    (``publication_index``, built here if none is given); texts are not read again.
     """
     pubs = publications.where(F.col("is_review")) if review_only else publications
-    wanted = queries.select(
-        "query_id",
-        T.phrase(F.col("target")).alias("_target"),
-        F.when(F.length(F.trim("concept")) > 0, T.phrase(F.col("concept"))).alias("_concept"),
-    )
-    pinned = T.phrase_text(F.concat_ws(" ", "title", "passage"))
-    words = pubs.select("id", F.explode(F.array_distinct(F.split(F.trim(pinned), " "))).alias("_word"))
-    asked = wanted.select("_target").distinct().withColumn("_word", F.explode(F.array_distinct(F.split(F.trim("_target"), " "))))
-    held = words.join(asked.select("_word").distinct(), "_word", "left_semi")
-    counts = held.groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
-    best = asked.join(counts, "_word").groupBy("_target").agg(F.min(F.struct("_n", "_word"))["_word"].alias("_word"))
-    pairs = held.join(best, "_word").select("id", "_target").join(wanted, "_target")
-    cited = [c for c in ("cited_by", "ord") if c in pubs.columns]
-    texts = pubs.select("id", *cited, pinned.alias("_pinned"), F.concat(pinned, T.phrase_text(F.col("snippet"))).alias("_anywhere"))
-    hit = F.contains("_pinned", F.col("_target")) & (F.col("_concept").isNull() | F.contains("_anywhere", F.col("_concept")))
-    return pairs.join(texts, "id").where(hit).select("query_id", "id", *cited)
-
-
-def pinned_search(publications: DataFrame, queries: DataFrame, review_only: bool = False) -> DataFrame:
+    index = index or publication_index(pubs)
+    target = F.struct(F.lit(0).alias("part"), P.words_of(F.col("target")).alias("words"), F.lit(1).alias("regions"))
+    concept = F.struct(F.lit(1).alias("part"), P.words_of(F.col("concept")).alias("words"), F.lit(2).alias("regions"))
+    parts = queries.where(F.size(P.words_of(F.col("target"))) > 0).select(F.col("query_id").alias("query"), F.explode(F.array(target, concept)).alias("p"))
+    hits = P.phrase_rows(index, parts.select("query", "p.*").where(F.size("words") > 0))
+    found = index.named(hits.withColumnRenamed("query", "query_id"), "id").distinct()
+    return found.join(pubs.select("id", *[c for c in ("cited_by", "ord") if c in pubs.columns]), "id").select("query_id", "id", *[c for c in ("cited_by", "ord") if c in pubs.columns])
+
+
+def pinned_search(publications: DataFrame, queries: DataFrame, review_only: bool = False, index: P.TextIndex | None = None) -> DataFrame:
     """The publications each query finds, whole rows. Publication ids must be unique."""
-    pairs = pinned_pairs(publications, queries, review_only)
+    pairs = pinned_pairs(publications, queries, review_only, index)
     return pairs.select("query_id", "id").join(publications, "id")
 
 
