@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestra.functions import vectors as VX
+from attestra.operators import nearest as N
 from attestra.operators import retrieve as R
 from attestra.plans import hybrid as H
 from checks import views as V
@@ -123,14 +123,16 @@ COSINE = """CASE WHEN len({a}) <> len({b}) OR list_inner_product({a}::DOUBLE[],
 
 
 @check("""
-    SELECT vec_id, round(sim, 6) AS similarity FROM (SELECT vec_id, """ + COSINE.format(a="q", b="embedding") + """ AS sim
-        FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)) ORDER BY sim DESC, vec_id LIMIT 50
+    WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, """ + COSINE.format(a="q.embedding", b="e.embedding") + """ AS sim
+               FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q)
+    SELECT query_id, vec_id, round(sim, 6) AS similarity, CAST(rank AS INTEGER) AS rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, vec_id) AS rank FROM s) WHERE rank <= 50
 """)
 def cosine_topk(t: Tables) -> DataFrame:
-    vectors = t["embeddings"]
-    query = vectors.where("vec_id = 0").select("embedding").scalar()
-    scored = vectors.withColumn("_q", query).select("vec_id", VX.cosine(F.col("_q"), F.col("embedding")).alias("sim"))
-    return scored.orderBy(F.col("sim").desc(), "vec_id").limit(50).select("vec_id", F.round("sim", 6).alias("similarity"))
+    """The 50 nearest of all vectors for every vector whose id is divisible by 100."""
+    vectors = t["embeddings"].select("vec_id", F.col("embedding").alias("vector"))
+    queries = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+    return N.top_k(queries, vectors, 50, key="vec_id").select("query_id", "vec_id", F.round("value", 6).alias("similarity"), "rank")
 
 
 @check("""
