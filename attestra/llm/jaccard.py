@@ -6,6 +6,8 @@ share a cell, which changes the order and never a result. Two sets of similarity
 among the first |A| - ceil(t |A|) + 1 of either, so documents meet on those, under the length bound
 and the positional bound. The order is then cut at pivots into ``fragments`` of about equal weight;
 for every pair that met, each fragment's overlap is counted by itself, and the counts are summed.
+Before sets are fetched for that, a pair goes if the two sets' parity bitmaps show that they differ in
+more members than linked sets can.
 
 Only components are wanted of the links, so a pair whose documents are known to be connected needs
 no count. First, equal sets are one node. Then, in ``chains`` rounds, each n-gram's documents are
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +37,7 @@ from attestra.session import cut_lineage
 CELLS = 1 << 20
 SLICES = 32
 FILTER_BITS = 1 << 23
+SIGN = 16  # 64-bit words of a set's signature
 NEXT = 3
 SEEN = 100_000
 
@@ -63,8 +67,17 @@ def _cell(keys: np.ndarray) -> np.ndarray:
     return (B.mix(keys ^ np.uint64(0x5851F42D)) & np.uint64(CELLS - 1)).astype(np.int64)
 
 
+def _signature(keys: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A parity bitmap of each set: two sets differ in at least as many members as their bitmaps do in bits."""
+    h = B.mix(keys ^ np.uint64(0x2545F491))
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    bits = np.bincount(owner * (64 * SIGN) + (h & np.uint64(64 * SIGN - 1)).astype(np.int64), minlength=(len(bounds) - 1) * 64 * SIGN) & 1
+    words = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+    return pa.FixedSizeListArray.from_arrays(pa.array(words), SIGN).cast(pa.list_(pa.int64()))
+
+
 def sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, node, check) of every row; equal sets have equal nodes. ``check`` is a
+    """(doc_id, n_shingles, node, check, sign) of every row; equal sets have equal nodes. ``check`` is a
     second digest, by which a collision of the first would show."""
 
     def work(batches):
@@ -72,11 +85,10 @@ def sets(docs: DataFrame, k: int) -> DataFrame:
             for block in B.blocks(batch):
                 keys, bounds = shingles(block, k)
                 check = _digest(B.mix(keys), bounds)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(block.lo, block.rows), pa.array(np.diff(bounds)), pa.array(_digest(keys, bounds)), pa.array(check)], ["doc_id", "n_shingles", "node", "check"]
-                )
+                columns = [batch.column("doc_id").slice(block.lo, block.rows), pa.array(np.diff(bounds)), pa.array(_digest(keys, bounds)), pa.array(check), _signature(keys, bounds)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "node", "check", "sign"])
 
-    return docs.mapInArrow(work, "doc_id bigint, n_shingles bigint, node bigint, check bigint")
+    return docs.mapInArrow(work, "doc_id bigint, n_shingles bigint, node bigint, check bigint, sign array<bigint>")
 
 
 def cell_counts(docs: DataFrame, k: int) -> np.ndarray:
@@ -127,18 +139,19 @@ def pivots(cells: np.ndarray, fragments: int) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def prefixes(docs: DataFrame, cells: np.ndarray, k: int, percent: int) -> DataFrame:
+def prefixes(docs: DataFrame, cells: Broadcast, k: int, percent: int) -> DataFrame:
     """(key, node, at, n): the shingles of each set's necessary prefix, their place and the set's
     size. A task sends a set it has seen lately once only; copies of other tasks are left to distinct."""
 
     def work(batches):
         seen: set[int] = set()
+        ranks = cells.value
         for batch in batches:
             for block in B.blocks(batch):
                 keys, bounds = shingles(block, k)
                 n = np.diff(bounds)
                 owner = np.repeat(np.arange(block.rows), n)
-                order = np.lexsort((keys, _rank(keys, cells), owner))
+                order = np.lexsort((keys, _rank(keys, ranks), owner))
                 node = _digest(keys, bounds)
                 fresh = np.zeros(block.rows, bool)
                 for i, d in enumerate(node.tolist()):
@@ -177,42 +190,56 @@ def _filter(heads: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def _segments(docs: DataFrame, heads: DataFrame, cells: np.ndarray, cuts: np.ndarray, k: int) -> DataFrame:
-    """(node, fragment, grams) of the given heads (node, doc_id), and of a few others that the
-    bitmap lets through. A row that is repeated gives its segments again."""
-    bits = _filter(heads)
+def _segments(docs: DataFrame, heads: DataFrame, cells: Broadcast, cuts: np.ndarray, k: int) -> DataFrame:
+    """(node, parts) of the given heads (node, doc_id), and of a few others that the bitmap lets
+    through: a set's n-grams, fragment by fragment. A row that is repeated gives its set again."""
+    bits = docs.sparkSession.sparkContext.broadcast(_filter(heads))
     parts = len(cuts) + 1
 
     def work(batches):
+        known, ranks = bits.value, cells.value
         for batch in batches:
             for block in B.blocks(batch):
                 keys, bounds = shingles(block, k)
                 node = _digest(keys, bounds)
                 bit = _bit(node, batch.column("doc_id").slice(block.lo, block.rows).to_numpy())
-                wanted = (bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
-                owner = np.repeat(np.arange(block.rows), np.diff(bounds))
-                keys, owner = keys[wanted[owner]], owner[wanted[owner]]
-                part = owner * parts + np.searchsorted(cuts, _rank(keys, cells), "right")
+                wanted = (known[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool) & (np.diff(bounds) > 0)
+                owner = np.repeat(np.cumsum(wanted) - 1, np.diff(bounds))
+                mine = np.repeat(wanted, np.diff(bounds))
+                keys, owner = keys[mine], owner[mine]
+                part = owner * parts + np.searchsorted(cuts, _rank(keys, ranks), "right")
                 order = np.argsort(part, kind="stable")
-                ids, first = np.unique(part[order], return_index=True)
-                grams = pa.ListArray.from_arrays(pa.array(np.append(first, len(part)).astype(np.int32)), pa.array(keys[order].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(node[ids // parts]), pa.array((ids % parts).astype(np.int32)), grams], ["node", "fragment", "grams"])
+                rows = int(wanted.sum())
+                inner = np.searchsorted(part[order], np.arange(rows * parts + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(inner), pa.array(keys[order].view(np.int64)))
+                outer = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * parts), lists)
+                yield pa.RecordBatch.from_arrays([pa.array(node[wanted]), outer], ["node", "parts"])
+
+    done = cut_lineage(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(work, "node bigint, parts array<array<bigint>>"))
+    bits.destroy()
+    return done
+
 
-    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(work, "node bigint, fragment int, grams array<bigint>")
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose signatures leave room for a link: sets of similarity p / 100 differ in at most
+    (100 - p) / (100 + p) of the sum of their sizes."""
+    for side in "ab":
+        pairs = pairs.join(classes.select(F.col("node").alias(side), F.col("sign").alias(f"s{side}")), side)
+    apart = sum((F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(SIGN)), F.lit(0))
+    return pairs.where(apart * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, cells: np.ndarray, cuts: np.ndarray, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) that link: overlaps of each fragment, summed for each pair."""
+def _linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, cells: Broadcast, cuts: np.ndarray, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link: the overlap of every fragment is counted by itself, and summed for each pair."""
+    pairs = cut_lineage(_likely(pairs, classes, percent))
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    parts = cut_lineage(_segments(docs, classes.join(ends, "node", "left_semi"), cells, cuts, k))
-    # Both joins are on the node alone, so that one dealing of the segments serves them both.
-    dealt = parts.repartition("node")
-    left = dealt.select(F.col("node").alias("a"), F.col("fragment").alias("fa"), F.col("grams").alias("ga"))
-    right = dealt.select(F.col("node").alias("b"), F.col("fragment").alias("fb"), F.col("grams").alias("gb"))
-    counted = pairs.join(left, "a").join(right, "b").where("fa - fb = 0").select("a", "b", "na", "nb", "fa", F.size(F.array_intersect("ga", "gb")).alias("n"))
-    each = counted.groupBy("a", "b", "na", "nb", "fa").agg(F.max("n").alias("n"))  # repeated rows count once
-    total = each.groupBy("a", "b", "na", "nb").agg(F.sum("n").alias("n"))
-    return total.where(100 * F.col("n") >= percent * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b")
+    # Both joins are on the node alone, so that one dealing of the sets serves them both.
+    dealt = _segments(docs, classes.select("node", "doc_id").join(ends, "node", "left_semi"), cells, cuts, k).repartition("node")
+    left = dealt.select(F.col("node").alias("a"), F.col("parts").alias("pa"))
+    right = dealt.select(F.col("node").alias("b"), F.col("parts").alias("pb"))
+    counts = [F.size(F.array_intersect(F.get("pa", F.lit(i)), F.get("pb", F.lit(i)))) for i in range(len(cuts) + 1)]
+    total = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", sum(counts[1:], counts[0]).alias("n"))
+    return total.where(100 * F.col("n") >= percent * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b").distinct()
 
 
 def _reachable(percent: int):
@@ -239,11 +266,12 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, fragments: int = 4,
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     base = cut_lineage(sets(docs, k))
     full = base.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    digested = full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("check").alias("lo"), F.max("check").alias("hi"))
+    digested = full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("check").alias("lo"), F.max("check").alias("hi"), *[F.min(F.get("sign", F.lit(i))).alias(f"s{i}") for i in range(SIGN)])
     sure = F.when(F.col("lo") == F.col("hi"), F.col("node")).otherwise(F.raise_error(F.lit("two sets of one digest")).cast("bigint"))
-    classes = cut_lineage(digested.select(sure.alias("node"), "doc_id"))
-    cells = cell_counts(docs, k)
-    cuts = pivots(cells, fragments)
+    classes = cut_lineage(digested.select(sure.alias("node"), "doc_id", F.array(*[f"s{i}" for i in range(SIGN)]).alias("sign")))
+    counts = cell_counts(docs, k)
+    cuts = pivots(counts, fragments)
+    cells = docs.sparkSession.sparkContext.broadcast(counts)
 
     # Dealt by key once: distinct and the count of each key's sets work in that partitioning.
     met = prefixes(docs.where(F.col("doc_id").isNotNull()), cells, k, percent).repartition("key").distinct()
@@ -289,10 +317,10 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, fragments: int = 4,
     # Rows of one doc_id are one document: its sets are linked.
     own = full.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where(F.col("a") != F.col("z"))
     own = full.join(own, "doc_id").select("a", F.col("node").alias("b")).where(F.col("a") != F.col("b")).distinct()
-    named = classes.join(components(own, roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = classes.select("node", "doc_id").join(components(own, roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component"))
     named = named.join(least, "root").select("node", "component")
-    out = base.join(named, "node", "left")
+    out = base.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     alone = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), alone).alias("component_id"))
 
