@@ -150,6 +150,8 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         removed.alias("n_removed"),
         F.size("removed").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        (F.col("n_bytes") - removed).alias("n_kept"),
+        (removed > 0).alias("changed"),
     )
 
 
