@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.functions import text as T
 from attestra.operators import patents as P
 from attestra.operators import store as S
+from attestra.session import checkpoint_dir, cut_lineage
+from attestra.streaming import upsert as U
 from checks import views as V
 from checks.base import Tables, check
 
@@ -45,6 +49,23 @@ def evidence_last(t: Tables) -> DataFrame:
     return merged.select("id", "title", F.md5("passage").alias("passage_md5"), "ord")
 
 
+@check("""
+    SELECT 'first' AS rule, id, title, md5(passage) AS passage_md5, ord FROM v_store
+    UNION ALL SELECT 'last', id, title, md5(passage), ord FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord DESC) AS rn FROM v_evidence) WHERE rn = 1
+""")
+def evidence_upserts(t: Tables) -> DataFrame:
+    """The evidence in five batches, upserted into two keyed tables."""
+    rows = cut_lineage(V.v_evidence(t).select("id", "title", "passage", "ord"))
+    folder = f"{checkpoint_dir(t.spark)}/upserts-{uuid.uuid4().hex}"
+    out = []
+    for rule in (U.FIRST, U.LAST):
+        table = U.KeyedTable(t.spark, f"{folder}/{rule}", rule=rule, buckets=8)
+        for n in range(5):
+            table.apply(rows.where(F.pmod("ord", F.lit(5)) == n), n)
+        out.append(table.read().select(F.lit(rule).alias("rule"), "id", "title", F.md5("passage").alias("passage_md5"), "ord"))
+    return out[0].unionByName(out[1])
+
+
 IDENTITY = """
     SELECT i.id, CASE WHEN e.id IS NULL THEN split_part(i.id, '#', 1)
                       ELSE coalesce(p.parent, split_part(i.id, '#', 1)) END AS source_identity
