@@ -171,20 +171,19 @@ def prefixes(docs: DataFrame, cells: Broadcast, k: int, percent: int) -> DataFra
     return docs.select("text").mapInArrow(work, "key bigint, node bigint, at int, n int")
 
 
-def _bit(node: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    h = B.mix(node.view(np.uint64) ^ B.mix(doc.astype(np.int64).view(np.uint64)))
-    return (h & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+def _bit(doc: np.ndarray) -> np.ndarray:
+    return (B.mix(doc.astype(np.int64).view(np.uint64) + B.STEP) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
 
 def _filter(heads: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size over (node, doc_id); at most FILTER_BITS / 64 rows reach the driver."""
+    """A bitmap of fixed size over doc_id; at most FILTER_BITS / 64 rows reach the driver."""
 
     def work(batches):
         for batch in batches:
-            bit = _bit(batch.column("node").to_numpy(), batch.column("doc_id").to_numpy())
+            bit = _bit(batch.column("doc_id").to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(bit >> 6), pa.array((bit & 63).astype(np.int32))], ["at", "b"])
 
-    rows = heads.select("node", "doc_id").mapInArrow(work, "at bigint, b int").groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits")).toPandas()
+    rows = heads.select("doc_id").mapInArrow(work, "at bigint, b int").groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits")).toPandas()
     out = np.zeros(FILTER_BITS >> 6, np.int64)
     out[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
     return out.view(np.uint8)
@@ -199,11 +198,11 @@ def _segments(docs: DataFrame, heads: DataFrame, cells: Broadcast, cuts: np.ndar
     def work(batches):
         known, ranks = bits.value, cells.value
         for batch in batches:
+            bit = _bit(batch.column("doc_id").to_numpy())
+            batch = batch.filter(pa.array((known[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)))  # the others are not even cut into shingles
             for block in B.blocks(batch):
                 keys, bounds = shingles(block, k)
-                node = _digest(keys, bounds)
-                bit = _bit(node, batch.column("doc_id").slice(block.lo, block.rows).to_numpy())
-                wanted = (known[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool) & (np.diff(bounds) > 0)
+                node, wanted = _digest(keys, bounds), np.diff(bounds) > 0
                 owner = np.repeat(np.cumsum(wanted) - 1, np.diff(bounds))
                 mine = np.repeat(wanted, np.diff(bounds))
                 keys, owner = keys[mine], owner[mine]
