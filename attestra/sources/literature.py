@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.functions.text import collapse_space
+from attestra.sources import records as R
 
 EVIDENCE_DDL = (
     "id string, kind string, source string, title string, snippet string, passage string, locator string, url string, "
@@ -22,9 +23,14 @@ COLUMNS = [part.split(" ")[0] for part in (
     "id,kind,source,title,snippet,passage,locator,url,raw,metadata,pmcid,cited_by,is_review,is_open_access,ord").split(",")]
 
 
-def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One row per JSON document with ``file``, for files that hold one response each."""
-    return spark.read.schema(schema).option("multiLine", True).json(path).select("*", F.col("_metadata.file_path").alias("file"))
+def json_records(spark: SparkSession, path: str | DataFrame, schema: str) -> DataFrame:
+    """One row a JSON document with ``record``, its number by arrival.
+
+    ``path`` names files of one response each, or is a table of landed records (``records.land``), for
+    files of many. Documents that can't be read are left out here; ``records.parsed`` gives them.
+    """
+    landed = path if isinstance(path, DataFrame) else R.land(spark, path)
+    return R.parsed(landed, schema)[0]
 
 
 def blank_metadata() -> Column:
@@ -35,16 +41,14 @@ def blank_metadata() -> Column:
 
 
 def evidence_columns(df: DataFrame, **values: Column) -> DataFrame:
-    """Select the evidence columns; those not given are null. ``ord`` is file order, then pos."""
+    """Select the evidence columns; those not given are null. ``ord`` is the record's arrival, then ``pos``."""
     defaults = {
         "passage": F.lit(None).cast("string"), "locator": F.lit(None).cast("string"), "raw": F.lit(None).cast("string"),
         "metadata": blank_metadata(), "pmcid": F.lit(None).cast("string"), "cited_by": F.lit(None).cast("bigint"),
         "is_review": F.lit(None).cast("boolean"), "is_open_access": F.lit(None).cast("boolean"),
     }
     cols = {**defaults, **values}
-    # Stable between runs and packings: one block of a million places per file.
-    order = F.xxhash64("file").bitwiseAND(F.lit(0x7FFFFFFFFFF)) * 1000000 + F.col("pos").cast("bigint")
-    cols["ord"] = values.get("ord", order)
+    cols["ord"] = values.get("ord", R.place(F.col("record"), F.col("pos")))
     return df.select(*[cols[c].alias(c) for c in COLUMNS])
 
 
@@ -57,7 +61,7 @@ authorAffiliationDetailsList: STRUCT<authorAffiliation: ARRAY<STRUCT<affiliation
 
 def publications(spark: SparkSession, path: str) -> DataFrame:
     """Publication search responses; hits without a PubMed id are dropped."""
-    hits = json_records(spark, path, PUBLICATION).select("file", F.posexplode("resultList.result").alias("pos", "h"))
+    hits = json_records(spark, path, PUBLICATION).select("record", F.posexplode("resultList.result").alias("pos", "h"))
     h = lambda f: F.col(f"h.{f}")
     filled = lambda c: F.nullif(c, F.lit(""))
 
@@ -103,7 +107,7 @@ def citations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     The cited paper is the request id of each response.
     """
     rows = json_records(spark, path, CITATIONS).select(
-        "file", F.concat(F.lit("PMID:"), "request.id").alias("cited"), F.posexplode("citationList.citation").alias("pos", "c")
+        "record", F.concat(F.lit("PMID:"), "request.id").alias("cited"), F.posexplode("citationList.citation").alias("pos", "c")
     )
     rows = rows.where((F.length("c.id") > 0) & (F.col("c.source") == "MED"))
     citing = F.concat(F.lit("PMID:"), F.col("c.id"))
@@ -125,7 +129,7 @@ SUMMARY = "uid STRING, title STRING, source STRING, pubdate STRING"
 
 def pubmed(spark: SparkSession, id_path: str, summary_path: str) -> DataFrame:
     """PubMed rows in id-list order; an id without a summary is kept as ``(no title)``."""
-    ids = json_records(spark, id_path, PUBMED_IDS).select("file", F.posexplode("esearchresult.idlist").alias("pos", "uid"))
+    ids = json_records(spark, id_path, PUBMED_IDS).select("record", F.posexplode("esearchresult.idlist").alias("pos", "uid"))
     found = (
         json_records(spark, summary_path, PUBMED_SUMMARY)
         .select(F.explode("result").alias("uid", "text"))
@@ -165,16 +169,20 @@ ARTICLE_DDL = (
 )
 
 
+# Figures of an article come after its sections: a text of at most 2 GiB holds fewer than 2^30 of either.
+FIGURES = 1 << 30
+
+
 def _flat(node) -> str:
     return re.sub(r"\s+", " ", " ".join(t for t in node.itertext())).strip()
 
 
-def _article(xml: str) -> tuple[list[dict], list[dict]]:
-    """Own paragraphs of every section in document order, and all captioned figures."""
+def _article(xml: str | None) -> tuple[list[dict], list[dict], str | None]:
+    """Own paragraphs of every section in document order, all captioned figures, and what is wrong with the text."""
     try:
         root = ElementTree.fromstring(xml)
-    except (ElementTree.ParseError, ValueError, TypeError):
-        return [], []
+    except (ElementTree.ParseError, ValueError, TypeError) as error:
+        return [], [], f"not XML: {error}"
     article = root if root.tag == "article" else next(root.iter("article"), root)
     body = article.find("body")
     sections, figures = [], []
@@ -203,47 +211,63 @@ def _article(xml: str) -> tuple[list[dict], list[dict]]:
         figures.append(
             {"number": number, "label": ("" if label is None else _flat(label)) or f"Figure {number + 1}", "caption": text, "href": href}
         )
-    return sections, figures
+    return sections, figures, None
 
 
 def parse_articles(articles: DataFrame) -> DataFrame:
-    """Articles (pmcid, xml) with their sections and figures, parsed in Arrow batches.
+    """Articles (record, pmcid, xml) with their sections, figures and ``error``, parsed in Arrow batches.
 
-    Spark's XML reader loses the order of mixed content, so each article is walked once.
+    Spark's XML reader loses the order of mixed content, so each article is walked once. An article that
+    is no XML has an ``error`` and nothing else; ``rejected_articles`` names those.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             parsed = [_article(x) for x in batch["xml"]]
             yield pd.DataFrame({
-                "pmcid": batch["pmcid"], "ord": batch["ord"],
-                "sections": [p[0] for p in parsed], "figures": [p[1] for p in parsed],
+                "pmcid": batch["pmcid"], "record": batch["record"],
+                "sections": [p[0] for p in parsed], "figures": [p[1] for p in parsed], "error": [p[2] for p in parsed],
             })
 
-    return articles.select("pmcid", "ord", "xml").mapInPandas(run, f"pmcid string, ord bigint, {ARTICLE_DDL}")
+    return articles.select("pmcid", "record", "xml").mapInPandas(run, f"pmcid string, record bigint, {ARTICLE_DDL}, error string")
 
 
-def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    """Article files named ``<pmcid>.xml`` as (pmcid, xml, ord)."""
-    files = spark.read.text(path, wholetext=True).select(
-        F.col("value").alias("xml"), F.regexp_extract("_metadata.file_name", r"^(.*)\.xml$", 1).alias("pmcid")
-    )
-    return files.withColumn("ord", F.xxhash64("pmcid").bitwiseAND(F.lit(0x7FFFFFFFFFF)))
+def rejected_articles(parsed: DataFrame) -> DataFrame:
+    """(record, pmcid, reason) of the articles that could not be read."""
+    return parsed.where(F.col("error").isNotNull()).select("record", "pmcid", F.col("error").alias("reason"))
+
+
+def read_articles(spark: SparkSession, path: str, received: DataFrame | None = None) -> DataFrame:
+    """Article files named ``<pmcid>.xml`` as (record, pmcid, xml)."""
+    landed = R.land(spark, path, received=received)
+    return landed.select("record", F.regexp_extract("file", r"([^/]*)\.xml$", 1).alias("pmcid"), F.col("value").alias("xml"))
+
+
+def split_articles(spark: SparkSession, path: str, received: DataFrame | None = None) -> DataFrame:
+    """Files of many ``<article>`` elements as (record, pmcid, xml), split by byte ranges.
+
+    What stands before an element (a prolog, a set's start tag) goes; the id is the article's own.
+    """
+    end = "</article>"
+    landed = R.land(spark, path, separator=end, received=received)
+    xml = F.concat(F.regexp_extract("value", r"(?s)<article[\s>].*", 0), F.lit(end))
+    own = F.regexp_extract("value", r"""<article-id[^>]*pub-id-type=["']pmc(?:id)?["'][^>]*>\s*(?:PMC)?([^<\s]+)""", 1)
+    found = landed.where(F.col("value").rlike(r"<article[\s>]"))
+    return found.select("record", F.when(own != "", F.concat(F.lit("PMC"), own)).otherwise("").alias("pmcid"), xml.alias("xml"))
 
 
 def fulltext(parsed: DataFrame) -> DataFrame:
     """Section passages as evidence; numbered over the sections that have text."""
-    rows = parsed.select("pmcid", F.col("ord").alias("_o"), F.posexplode("sections").alias("pos", "s")).withColumn("file", F.col("pmcid"))
+    rows = parsed.select("pmcid", "record", F.posexplode("sections").alias("pos", "s"))
     return evidence_columns(
         rows, id=F.concat(F.lit("PMCID:"), "pmcid", F.lit("#sec-"), F.col("pos").cast("string")), kind=F.lit("publication"),
         source=F.lit("PMC full text"), title=F.col("s.title"), snippet=F.col("s.title"), passage=F.col("s.passage"), locator=F.col("s.title"),
         url=F.concat(F.lit("https://www.ncbi.nlm.nih.gov/pmc/articles/"), "pmcid", F.lit("/")), pmcid=F.col("pmcid"),
-        ord=F.col("_o") * 1000000 + F.col("pos"),
     )
 
 
 def figures(parsed: DataFrame) -> DataFrame:
     """Figure captions as evidence; the id counts all figures, captioned or not."""
-    rows = parsed.select("pmcid", F.col("ord").alias("_o"), F.posexplode("figures").alias("pos", "f")).withColumn("file", F.col("pmcid"))
+    rows = parsed.select("pmcid", "record", F.posexplode("figures").alias("pos", "f"))
     number = F.col("f.number").cast("string")
     base = F.concat(F.lit("https://www.ncbi.nlm.nih.gov/pmc/articles/"), "pmcid", F.lit("/"))
     null = F.lit(None)
@@ -255,7 +279,7 @@ def figures(parsed: DataFrame) -> DataFrame:
         rows, id=F.concat(F.lit("PMCID:"), "pmcid", F.lit("#fig-"), number), kind=F.lit("figure"), source=F.lit("pmc"), title=F.col("f.label"),
         snippet=F.col("f.caption"), passage=F.col("f.caption"), locator=F.concat(F.lit("fig-"), number),
         url=F.when(F.col("f.href").isNotNull(), F.concat(base, F.lit("bin/"), "f.href")).otherwise(base),
-        metadata=F.when(F.col("f.href").isNotNull(), image), pmcid=F.col("pmcid"), ord=F.col("_o") * 1000000 + F.lit(500000) + F.col("f.number"),
+        metadata=F.when(F.col("f.href").isNotNull(), image), pmcid=F.col("pmcid"), ord=R.place(F.col("record"), F.col("f.number") + F.lit(FIGURES)),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions.numbers import fixed
 from attestra.sources.literature import evidence_columns, json_records
+from attestra.sources.records import land
 
 SURFACE = "(?i)cell membrane|plasma membrane|cell surface|extracellular"
 
@@ -15,9 +16,9 @@ TARGET_HITS = "query STRING, data STRUCT<search: STRUCT<hits: ARRAY<STRUCT<id: S
 
 def resolve_target(spark: SparkSession, path: str) -> DataFrame:
     """Per response, the first hit that is a target with an Ensembl gene id."""
-    rows = json_records(spark, path, TARGET_HITS).select("file", F.posexplode("data.search.hits").alias("pos", "h"))
+    rows = json_records(spark, path, TARGET_HITS).select("record", F.posexplode("data.search.hits").alias("pos", "h"))
     good = rows.where((F.col("h.entity") == "target") & F.col("h.id").startswith("ENSG"))
-    first = good.groupBy("file").agg(F.min(F.struct("pos", "h")).alias("m")).select("file", "m.pos", "m.h")
+    first = good.groupBy("record").agg(F.min(F.struct("pos", "h")).alias("m")).select("record", "m.pos", "m.h")
     return evidence_columns(
         first, id=F.col("h.id"), kind=F.lit("target"), source=F.lit("Open Targets"), title=F.col("h.name"),
         snippet=F.coalesce("h.description", F.lit("")), url=F.concat(F.lit("https://platform.opentargets.org/target/"), "h.id"), raw=F.to_json("h"),
@@ -86,7 +87,7 @@ def target_rows(records: DataFrame, tissues: int | None = None) -> DataFrame:
     tissues the expression text names."""
     t = lambda f: F.col(f"t.{f}")
     none = lambda kind: F.array().cast(kind)
-    rows = records.where(F.col("data.target").isNotNull()).select("file", F.col("data.target").alias("t"))
+    rows = records.where(F.col("data.target").isNotNull()).select("record", F.col("data.target").alias("t"))
     buckets = F.coalesce(t("tractability"), none("array<struct<modality:string,label:string,value:boolean>>"))
     safety = F.filter(F.transform(F.coalesce(t("safetyLiabilities"), none("array<struct<event:string>>")), lambda s: s["event"]), lambda e: F.length(e) > 0)
     places = F.filter(
@@ -153,7 +154,7 @@ def target_rows(records: DataFrame, tissues: int | None = None) -> DataFrame:
         base, F.when(F.size(places) > 0, where), F.when(F.size(expr) > 0, level), F.when(F.size(buckets) > 0, reach), F.when(F.size(safety) > 0, harm)
     ))
     shape = "array<struct<id:string,kind:string,title:string,snippet:string,url:string,raw:string>>"
-    out = rows.select("file", F.posexplode(F.concat(cards.cast(shape), diseases.cast(shape), drugs.cast(shape))).alias("pos", "c")).select("file", "pos", "c.*")
+    out = rows.select("record", F.posexplode(F.concat(cards.cast(shape), diseases.cast(shape), drugs.cast(shape))).alias("pos", "c")).select("record", "pos", "c.*")
     return evidence_columns(
         out, id=F.col("id"), kind=F.col("kind"), source=F.lit("Open Targets"), title=F.col("title"), snippet=F.col("snippet"), url=F.col("url"), raw=F.col("raw")
     )
@@ -175,7 +176,7 @@ features: ARRAY<STRUCT<type: STRING, description: STRING>>>>"""
 def protein_cards(spark: SparkSession, path: str) -> DataFrame:
     """Localisation and domain cards of the first protein entry per response."""
     e = lambda f: F.col(f"e.{f}")
-    rows = json_records(spark, path, PROTEIN).select("file", "symbol", F.get("results", F.lit(0)).alias("e")).where(F.length("e.primaryAccession") > 0)
+    rows = json_records(spark, path, PROTEIN).select("record", "symbol", F.get("results", F.lit(0)).alias("e")).where(F.length("e.primaryAccession") > 0)
     comment = F.get(F.filter(e("comments"), lambda c: c["commentType"] == "SUBCELLULAR LOCATION"), F.lit(0))
     spots = F.coalesce(comment["subcellularLocations"], F.array().cast("array<struct<location:struct<value:string>,topology:struct<value:string>>>"))
     places = F.filter(F.transform(spots, lambda s: s["location"]["value"]), lambda v: F.length(v) > 0)
@@ -200,7 +201,7 @@ def protein_cards(spark: SparkSession, path: str) -> DataFrame:
         F.concat(F.lit("Annotated domains: "), F.array_join(F.array_distinct(domains), "; "), F.lit(".")).alias("snippet"),
     )
     cards = F.array_compact(F.array(F.when((F.size(places) > 0) | (membrane > 0), where), F.when(F.size(domains) > 0, parts)))
-    out = rows.select("file", e("primaryAccession").alias("acc"), F.to_json("e").alias("raw"), F.explode(cards).alias("c")).select("file", "acc", "raw", "c.*")
+    out = rows.select("record", e("primaryAccession").alias("acc"), F.to_json("e").alias("raw"), F.explode(cards).alias("c")).select("record", "acc", "raw", "c.*")
     return evidence_columns(
         out, id=F.col("id"), kind=F.lit("target"), source=F.lit("UniProt"), title=F.col("title"), snippet=F.col("snippet"),
         url=F.concat(F.lit("https://www.uniprot.org/uniprotkb/"), "acc", F.lit("/entry")), raw=F.col("raw"),
@@ -213,7 +214,7 @@ statusModule: STRUCT<overallStatus: STRING>, designModule: STRUCT<phases: ARRAY<
 
 def trials(spark: SparkSession, path: str) -> DataFrame:
     """Registered trials; studies without an NCT id are dropped."""
-    rows = json_records(spark, path, TRIALS).select("file", F.posexplode("studies").alias("pos", "s"))
+    rows = json_records(spark, path, TRIALS).select("record", F.posexplode("studies").alias("pos", "s"))
     p = lambda f: F.col(f"s.protocolSection.{f}")
     id_ = p("identificationModule.nctId")
     phases = F.array_join(F.coalesce(p("designModule.phases"), F.array().cast("array<string>")), "/")
@@ -257,17 +258,17 @@ def _texts(nodes: Column, *paths: str) -> Column:
 
 
 def patent_records(responses: DataFrame) -> DataFrame:
-    """(file, pos, country, number, kind, date, title, applicants, classes, raw) of search responses
-    (file, text). Responses that are not JSON, and records without a country and a number, are
+    """(record, pos, country, number, kind, date, title, applicants, classes, raw) of search responses
+    (record, text). Responses that are not JSON, and records without a country and a number, are
     left out.
 
     A record's identity comes from its docdb reference, else its epodoc one, else its first. A
     country or kind written inside the number is taken out of it.
     """
-    parsed = responses.select("file", F.try_parse_json("text").alias("v"))
-    records = parsed.select("file", F.posexplode(_many(F.col("v"), RECORDS)).alias("pos", "entry"))
+    parsed = responses.select("record", F.try_parse_json("text").alias("v"))
+    records = parsed.select("record", F.posexplode(_many(F.col("v"), RECORDS)).alias("pos", "entry"))
     inner = F.coalesce(F.try_variant_get("entry", '$["exchange-document"]', "variant"), F.col("entry"))
-    records = records.select("file", F.col("pos").cast("long").alias("pos"), inner.alias("r"))
+    records = records.select("record", F.col("pos").cast("long").alias("pos"), inner.alias("r"))
     refs = F.transform(
         _many(F.col("r"), REFERENCES),
         lambda d, i: F.struct(
@@ -280,7 +281,18 @@ def patent_records(responses: DataFrame) -> DataFrame:
         ),
     )
     ranked = F.array_sort(F.transform(refs, lambda x: F.struct(F.when(x["at"] == 0, 3).otherwise(x["at"]).alias("rank"), x["i"].alias("i"), x.alias("x"))))
-    rows = records.withColumn("refs", ranked).withColumn("b", F.get("refs", F.lit(0))["x"]).where(F.col("b").isNotNull())
+    titles = F.transform(_many(F.col("r"), TITLES), lambda n: F.struct((F.lower(F.try_variant_get(n, '$["@lang"]', "string")) == "en").alias("english"), _leaf(n).alias("text")))
+    symbol = lambda n: F.coalesce(
+        _leaf(n), _leaf(n, '$["classification-symbol"]'), F.nullif(F.concat(*[F.coalesce(_leaf(n, f'$["{p}"]'), F.lit("")) for p in SYMBOL_PARTS]), F.lit(""))
+    )
+    classes = F.transform(_many(F.col("r"), CLASSES), lambda n: F.regexp_replace(symbol(n), r"\s+", " "))
+    # Each leaf is read once here; the explode keeps the plain columns below from being worked out again per use.
+    read = F.struct(
+        ranked.alias("refs"), titles.alias("titles"), _texts(_many(F.col("r"), APPLICANTS), '$["applicant-name"].name', '$["applicant-name"]').alias("applicants"),
+        F.array_distinct(F.array_compact(classes)).alias("classes"), F.to_json("r").alias("raw"),
+    )
+    rows = records.select("record", "pos", F.explode(F.array(read)).alias("p")).select("record", "pos", "p.*")
+    rows = rows.withColumn("b", F.get("refs", F.lit(0))["x"]).where(F.col("b").isNotNull())
     joined = F.concat(F.coalesce("b.country", F.lit("")), F.regexp_replace(F.coalesce("b.number", F.lit("")), F.concat(F.lit("^"), F.coalesce("b.country", F.lit(""))), F.lit("")))
     number = F.regexp_extract(joined, "^[A-Z]{2}(.+)$", 1)
     ending = F.regexp_extract(number, r"^\d+([A-Z]\d?)$", 1)
@@ -289,18 +301,11 @@ def patent_records(responses: DataFrame) -> DataFrame:
     rows = rows.withColumn("number", F.when(own_kind.isNull() & (ending != ""), F.regexp_extract(number, r"^(\d+)", 1)).otherwise(number))
     dates = F.filter(F.concat(F.array("b.date"), F.transform("refs", lambda x: x["x"]["date"])), lambda d: d.isNotNull())
     day = F.get(dates, F.lit(0))
-    titles = _many(F.col("r"), TITLES)
-    english = F.filter(titles, lambda n: F.lower(F.try_variant_get(n, '$["@lang"]', "string")) == "en")
-    symbol = lambda n: F.coalesce(
-        _leaf(n), _leaf(n, '$["classification-symbol"]'), F.nullif(F.concat(*[F.coalesce(_leaf(n, f'$["{p}"]'), F.lit("")) for p in SYMBOL_PARTS]), F.lit(""))
-    )
+    named = lambda keep: F.get(F.filter(F.transform(F.filter("titles", keep), lambda n: n["text"]), lambda x: x.isNotNull()), F.lit(0))
     return rows.where((F.col("country") != "") & (F.col("number") != "")).select(
-        "file", "pos", "country", "number", "kind",
+        "record", "pos", "country", "number", "kind",
         F.when(day.rlike(r"^\d{8}$"), F.concat_ws("-", F.substring(day, 1, 4), F.substring(day, 5, 2), F.substring(day, 7, 2))).when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), day).alias("date"),
-        F.coalesce(F.get(_texts(english, "$"), F.lit(0)), F.get(_texts(titles, "$"), F.lit(0))).alias("title"),
-        _texts(_many(F.col("r"), APPLICANTS), '$["applicant-name"].name', '$["applicant-name"]').alias("applicants"),
-        F.array_distinct(F.array_compact(F.transform(_many(F.col("r"), CLASSES), lambda n: F.regexp_replace(symbol(n), r"\s+", " ")))).alias("classes"),
-        F.to_json("r").alias("raw"),
+        F.coalesce(named(lambda n: n["english"]), named(lambda n: F.lit(True))).alias("title"), "applicants", "classes", "raw",
     )
 
 
@@ -311,9 +316,9 @@ def patent_evidence(records: DataFrame, limit: int | None = None) -> DataFrame:
     from attestra.operators.store import first_rows
 
     hits = records.withColumn("id", F.concat(F.lit("PATENT:"), "country", "number", F.coalesce("kind", F.lit(""))))
-    rows = first_rows(hits, ["file", "id"], "pos")
+    rows = first_rows(hits, ["record", "id"], "pos")
     if limit is not None:
-        rows = top_n(rows, ["file"], [F.col("pos")], limit).drop("rank")
+        rows = top_n(rows, ["record"], [F.col("pos")], limit).drop("rank")
     return evidence_columns(
         rows, id=F.col("id"), kind=F.lit("patent"), source=F.lit("EPO Espacenet (OPS)"), title=F.coalesce("title", F.lit("(no title)")),
         snippet=F.concat_ws(
@@ -326,5 +331,4 @@ def patent_evidence(records: DataFrame, limit: int | None = None) -> DataFrame:
 
 def patent_hits(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Evidence of the patent search responses under a path, one response a file."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    return patent_evidence(patent_records(files), limit)
+    return patent_evidence(patent_records(land(spark, path).withColumnRenamed("value", "text")), limit)

@@ -97,8 +97,5 @@ def src_patent_hits(t: Tables) -> DataFrame:
     # A customer has a few orders: one response each.
     found = t["orders"].groupBy("o_custkey").agg(F.array_sort(F.collect_list(entry)).alias("docs"))
     nested = F.struct(F.struct(F.struct(F.col("docs").alias("exchange-documents")).alias("ops:search-result")).alias("ops:biblio-search")).alias("ops:world-patent-data")
-    responses = found.select(F.col("o_custkey").alias("file"), F.to_json(F.struct(nested)).alias("text"))
-    records = G.patent_records(responses)
-    return G.patent_evidence(records.withColumn("file", F.col("file").cast("string"))).select(
-        F.col("ord"), "id", "title", "snippet"
-    ).drop("ord")
+    responses = found.select(F.col("o_custkey").alias("record"), F.to_json(F.struct(nested)).alias("text"))
+    return G.patent_evidence(G.patent_records(responses)).select("id", "title", "snippet")
