@@ -156,7 +156,7 @@ def risks(t: Tables) -> DataFrame:
                   UNION SELECT 1000 + conv_id, 'go' FROM v_claims),
     c AS (SELECT run_id, count(*) AS n FROM (SELECT run_id, section_id, ord FROM v_shipped UNION ALL SELECT 1000 + conv_id, section_id, ord FROM v_shipped)
           JOIN v_verdicts USING (section_id, ord) WHERE status = 'supported' GROUP BY 1),
-    s AS (SELECT DISTINCT run_id FROM v_risks WHERE severity = 'severe' AND run_id % 3 = 0)
+    s AS (SELECT DISTINCT run_id FROM v_risks WHERE severity = 'severe')
     SELECT r.run_id, r.proposed, coalesce(c.n, 0) AS n_supported, CASE WHEN coalesce(c.n, 0) < 2 THEN 'insufficient-evidence'
            WHEN s.run_id IS NOT NULL THEN 'no-go' ELSE proposed END AS verdict
     FROM runs r LEFT JOIN c ON c.run_id = r.run_id LEFT JOIN s ON s.run_id = r.run_id
@@ -169,7 +169,7 @@ def posture(t: Tables) -> DataFrame:
     )
     good = C.supported(V.v_shipped(t), V.v_verdicts(t))
     both = good.select("run_id").unionByName(good.select((F.col("conv_id") + 1000).alias("run_id")))
-    return C.posture(runs, both, V.v_risks(t).where("run_id % 3 = 0"))
+    return C.posture(runs, both, V.v_risks(t))
 
 
 @check(f"""

@@ -69,7 +69,7 @@ def recall_lift(t: Tables) -> DataFrame:
 @check("""
     WITH labs AS (SELECT target, lower(last_author) AS n FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY w DESC, last_author) AS rank FROM
             (SELECT doc_id % 4 AS target, last_author, count(*) AS w FROM v_store WHERE last_author IS NOT NULL GROUP BY 1, 2)) WHERE rank <= 3),
-    e AS (SELECT l_suppkey % 4 AS target, ' SRC' || l_suppkey % 20 AS investigator, l_suppkey % 7 = 0 AS must FROM (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_suppkey % 4 <> 3)),
+    e AS (SELECT l_suppkey % 3 AS target, ' SRC' || l_suppkey % 20 AS investigator, l_suppkey % 7 = 0 AS must FROM (SELECT DISTINCT l_suppkey FROM lineitem)),
     m AS (SELECT e.*, EXISTS (SELECT 1 FROM labs l WHERE l.target = e.target AND (contains(l.n, lower(trim(e.investigator))) OR contains(lower(trim(e.investigator)), l.n))) AS hit FROM e)
     SELECT t.target, CASE WHEN count(m.hit) = 0 THEN 0.0::DOUBLE ELSE round(count(*) FILTER (m.hit) / count(m.hit), 9) END AS score, count(*) FILTER (must AND NOT hit) = 0 AS pass,
            count(m.hit) AS expected, count(*) FILTER (m.hit) AS matched, count(*) FILTER (must AND NOT hit) AS missed_must
@@ -82,8 +82,8 @@ def m_labs(t: Tables) -> DataFrame:
     counts = store.groupBy("target", F.col("last_author").alias("investigator")).agg(F.count(F.lit(1)).alias("w"))
     labs = top_n(counts, ["target"], [F.col("w").desc(), F.col("investigator")], 3)
     key = F.col("l_suppkey")
-    expected = t["lineitem"].where("l_suppkey % 4 <> 3").select("l_suppkey").distinct().select(
-        (key % 4).alias("target"), F.concat(F.lit(" SRC"), (key % 20).cast("string")).alias("investigator"), (key % 7 == 0).alias("must_appear")
+    expected = t["lineitem"].select("l_suppkey").distinct().select(
+        (key % 3).alias("target"), F.concat(F.lit(" SRC"), (key % 20).cast("string")).alias("investigator"), (key % 7 == 0).alias("must_appear")
     )
     return short(Q.lab_match(expected, labs, store.select("target"), ["target"]))
 

@@ -23,12 +23,12 @@ def citation_edges(t: Tables) -> DataFrame:
 
 @check("""
     SELECT doc_id, length(regexp_replace(text, '\\s', '', 'g')) >= 50 AS readable FROM
-        (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id + 1000000, substr(text, 1, 60) FROM documents)
+        (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id + 1000000, regexp_replace(text, '[a-z]', '', 'g') FROM documents)
 """)
 def readable_docs(t: Tables) -> DataFrame:
     docs = t.text("documents").select("doc_id", "text")
-    short = docs.select((F.col("doc_id") + 1000000).alias("doc_id"), F.substring("text", 1, 60).alias("text"))
-    good, bad = P.readable_docs(docs.unionByName(short))
+    bare = docs.select((F.col("doc_id") + 1000000).alias("doc_id"), F.regexp_replace("text", "[a-z]", "").alias("text"))
+    good, bad = P.readable_docs(docs.unionByName(bare))
     return good.select("doc_id", F.lit(True).alias("readable")).unionByName(bad.select("doc_id", F.lit(False).alias("readable")))
 
 
