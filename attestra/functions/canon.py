@@ -1,78 +1,88 @@
-"""Canonical JSON (RFC 8785) as an Arrow-batched function, for small manifests."""
+"""Canonical JSON (RFC 8785) as column expressions.
 
-from __future__ import annotations
+A parsed variant keeps the keys of every object in the order of their UTF-16 code units, and of repeated
+keys the last, so writing it out again sorts a document at every depth. What is left are numbers and
+escapes: the text is cut into tokens, numbers are written the way ECMAScript prints the double they
+stand for, and control characters are escaped in lower case.
+
+Null or malformed text gives null; a number beyond the range of doubles is an error, as canonical JSON
+has no infinity.
+"""
 
-import json
-import math
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from attestra.session import active
 
-def number_text(x: float) -> str:
-    """A number the way ECMAScript prints it."""
-    if isinstance(x, int):
-        x = float(x)
-    if not math.isfinite(x):
-        raise ValueError("canonical JSON has no non-finite numbers")
-    if x == 0:
-        return "0"
-    sign, digits = ("-", repr(-x)) if x < 0 else ("", repr(x))
-    mantissa, _, exp = digits.partition("e")
-    whole, _, frac = mantissa.partition(".")
-    frac = "" if frac == "0" else frac
-    point = len(whole) + int(exp or 0)
-    body = (whole + frac).lstrip("0")
-    point -= len(whole + frac) - len((whole + frac).lstrip("0"))
-    body = body.rstrip("0")
-    n = len(body)
-    if n <= point <= 21:
-        return sign + body + "0" * (point - n)
-    if 0 < point <= 21:
-        return sign + body[:point] + "." + body[point:]
-    if -6 < point <= 0:
-        return sign + "0." + "0" * -point + body
-    e = point - 1
-    tail = "." + body[1:] if n > 1 else ""
-    return f"{sign}{body[0]}{tail}e{'+' if e >= 0 else '-'}{abs(e)}"
-
-
-def canonical(value) -> str:
-    if isinstance(value, bool) or value is None or isinstance(value, str):
-        return json.dumps(value, ensure_ascii=False)
-    if isinstance(value, (int, float)):
-        return number_text(value)
-    if isinstance(value, list):
-        return "[" + ",".join(canonical(v) for v in value) + "]"
-    # Keys sort by UTF-16 code units.
-    keys = sorted(value, key=lambda k: k.encode("utf-16-be"))
-    return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical(value[k])}" for k in keys) + "}"
-
-
-def manifest(value: dict) -> dict:
-    """A computation manifest with its datasets in canonical order."""
-    order = lambda d: (d["datasetId"], d["logicalSourceId"], d["contentSha256"])
-    return {**value, "datasets": sorted(value["datasets"], key=order)}
-
-
-def _each(text: pd.Series, change) -> pd.Series:
-    return text.map(lambda t: None if t is None else canonical(change(json.loads(t))))
+# A string, a number, or what stands between them.
+TOKEN = r'"(?:[^"\\]|\\.)*"|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|[^"\d-]+'
+SUBNORMAL = 2.2250738585072014e-308
 
 
-def canonical_json(text: Column) -> Column:
-    """Canonical form of a JSON text."""
+def _parse(text: Column) -> Column:
+    active().conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return F.try_parse_json(text)
 
-    def run(batch: pd.Series) -> pd.Series:
-        return _each(batch, lambda v: v)
 
-    return F.pandas_udf(run, "string")(text)
+def _shortest(d: Column) -> Column:
+    """The fewest digits that give the double again, in scientific form."""
 
+    def tried(p: int) -> Column:
+        text = F.format_string(f"%.{p}e", d)
+        return F.when(text.cast("double") == d, text)
+
+    few = F.coalesce(*[tried(p) for p in (14, 15, 16)])
+    return F.when(d < SUBNORMAL, F.coalesce(*[tried(p) for p in range(17)])).otherwise(few)
+
+
+def _written(digits: Column, point: Column) -> Column:
+    """Digits with the decimal point after ``point`` of them, as ECMAScript writes numbers."""
+    n, e = F.length(digits), point - 1
+    fraction = F.when(n > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise("")
+    science = F.concat(F.substr(digits, F.lit(1), F.lit(1)), fraction, F.lit("e"), F.when(e >= 0, "+").otherwise("-"), F.abs(e).cast("string"))
+    return (
+        F.when((n <= point) & (point <= 21), F.concat(digits, F.repeat(F.lit("0"), point - n)))
+        .when((point > 0) & (point <= 21), F.concat(F.substr(digits, F.lit(1), point), F.lit("."), F.substr(digits, point + 1)))
+        .when((point > -6) & (point <= 0), F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .otherwise(science)
+    )
 
-def computation_id(manifest_json: Column) -> Column:
-    """SHA-256 of the canonical manifest."""
 
-    def run(batch: pd.Series) -> pd.Series:
-        return _each(batch, manifest)
+def _numbers(tokens: Column) -> Column:
+    """Tokens with their numbers rewritten."""
+    value = lambda t: F.when(~F.startswith(t, F.lit('"')), t.try_cast("double"))
+    read = F.transform(tokens, lambda t: F.struct(t.alias("t"), value(t).alias("d")))
+    read = F.transform(read, lambda x: F.struct(x["t"].alias("t"), x["d"].alias("d"), F.when(x["d"] != 0, _shortest(F.abs(x["d"]))).alias("s")))
+    digits = lambda s: F.regexp_replace(F.regexp_replace(s, "(e.*$)|\\.", ""), "0+$", "")
+    read = F.transform(read, lambda x: F.struct(x["t"].alias("t"), x["d"].alias("d"), digits(x["s"]).alias("digits"), (F.regexp_extract(x["s"], "e(.*)$", 1).try_cast("int") + 1).alias("point")))
+    number = lambda x: F.when(x["d"] == 0, "0").otherwise(F.concat(F.when(x["d"] < 0, "-").otherwise(""), _written(x["digits"], x["point"])))
+    return F.transform(read, lambda x: F.when(x["d"].isNull(), x["t"]).otherwise(number(x)))
 
-    return F.sha2(F.pandas_udf(run, "string")(manifest_json), 256)
+
+def _escapes(text: Column) -> Column:
+    """Escapes of control characters in lower case; an escaped backslash before them is none."""
+    for digit in "ABCDEF":
+        text = F.regexp_replace(text, r"(?<!\\)((?:\\\\)*)\\u00([01])" + digit, r"$1\\u00$2" + digit.lower())
+    return text
+
+
+def canonical_json(text: Column) -> Column:
+    """Canonical form of a JSON text."""
+    beyond = F.exists(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: ~F.startswith(t, F.lit('"')) & (F.abs(t.try_cast("double")) == float("inf")))
+    sorted_ = F.to_json(_parse(text))
+    done = _escapes(F.array_join(_numbers(F.regexp_extract_all(sorted_, F.lit(TOKEN), F.lit(0))), ""))
+    return F.when(beyond & sorted_.isNotNull(), F.raise_error(F.lit("canonical JSON has no non-finite numbers"))).otherwise(done)
+
+
+def computation_id(manifest_json: Column) -> Column:
+    """SHA-256 of the canonical manifest, its datasets in the order of id, source and content hash."""
+    parts = F.try_variant_get(_parse(manifest_json), "$", "map<string,variant>")
+    order = lambda d: F.struct(*[F.try_variant_get(d, f"$.{k}", "string").alias(k) for k in ("datasetId", "logicalSourceId", "contentSha256")], F.to_json(d).alias("json"))
+    datasets = F.array_sort(F.transform(F.try_variant_get(parts["datasets"], "$", "array<variant>"), order))
+    listed = F.concat(F.lit("["), F.array_join(F.transform(datasets, lambda d: d["json"]), ","), F.lit("]"))
+    name = lambda k: F.regexp_replace(F.to_json(F.array(k)), r"^\[|\]$", "")
+    entry = lambda e: F.concat(name(e["key"]), F.lit(":"), F.when((e["key"] == "datasets") & listed.isNotNull(), listed).otherwise(F.to_json(e["value"])))
+    whole = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(parts), entry), ","), F.lit("}"))
+    return F.sha2(canonical_json(whole), 256)

@@ -32,6 +32,14 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     )
 
 
+def active() -> SparkSession:
+    """The session expressions are built for."""
+    found = SparkSession.getActiveSession()
+    if found is None:
+        raise RuntimeError("no active session")
+    return found
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the session.
 

@@ -342,3 +342,22 @@ def usage_report(t: Tables) -> DataFrame:
     per = A.priced(A.usage_by_model(calls), A.price_table(t.spark))
     total = A.usage_total(per).select(F.lit("total").alias("model"), "calls", "tokens_in", "tokens_out", "cost_usd")
     return per.select("model", "calls", "tokens_in", "tokens_out", "cost_usd").unionByName(total).withColumn("cost_usd", F.round("cost_usd", 6))
+
+
+@check("""
+    SELECT o_orderkey AS k, sha256('{"datasets":[{"contentSha256":"c' || o_custkey || '","datasetId":"a","logicalSourceId":"s"},{"contentSha256":"' || o_orderkey || '","datasetId":"b","logicalSourceId":"s:'
+        || o_orderstatus || '"}],"params":{"n":' || CASE WHEN o_orderkey % 3 = 0 THEN '0.' || o_custkey % 9 + 1 ELSE CAST(o_custkey AS VARCHAR) END || ',"q":[1,"x\\u001f",{"a":null,"b":true}]},"seed":' || o_orderkey || '}') AS computation_id
+    FROM orders
+""")
+def computation_id(t: Tables) -> DataFrame:
+    """Ids of manifests with unsorted, nested and repeated keys and numbers in several spellings."""
+    from attestra.functions import canon
+
+    key, customer = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    tenth = F.concat(F.lit("0."), (F.col("o_custkey") % 9 + 1).cast("string"), F.lit("0"))
+    text = F.concat(
+        F.lit('{"seed": 7, "params": {"q": [1.0, "x\\u001F", {"b": true, "a": null}], "n": '), F.when(F.col("o_orderkey") % 3 == 0, tenth).otherwise(F.concat(customer, F.lit(".0e0"))),
+        F.lit('},\n "datasets": [{"logicalSourceId": "s:'), "o_orderstatus", F.lit('", "datasetId": "b", "contentSha256": "'), key,
+        F.lit('"}, {"datasetId": "a", "contentSha256": "c'), customer, F.lit('", "logicalSourceId": "s"}], "seed": '), key, F.lit("}"),
+    )
+    return t["orders"].select(F.col("o_orderkey").alias("k"), canon.computation_id(text).alias("computation_id"))
