@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestra import constants as K
 from attestra.operators import analysis as A
+from attestra.sources.hashes import file_hashes, listed
 
 DEPMAP = ["model_id", "cell_line_name", "lineage", "primary_disease", "gene_effect"]
 GTEX = ["tissue_id", "tissue_name", "median_tpm"]
@@ -109,11 +110,11 @@ def logical_source(source: Column, ids: Column, dataset_id: Column) -> Column:
 def verify_datasets(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     """Manifest entries (id, source, source_ids map, sha256) with the file's hash.
 
-    Files are named ``<id>.csv``; ``matches`` is false for a missing or changed file.
+    Files are named ``<id>.csv``; ``matches`` is false for a missing or changed file. Files may be of any
+    size: they are streamed, each by one task.
     """
-    files = spark.read.format("binaryFile").load(path).select(
-        F.regexp_extract("path", r"([^/]+)\.csv$", 1).alias("id"), F.sha2("content", 256).alias("actual_sha256")
-    )
+    hashed = file_hashes(listed(spark, path))
+    files = hashed.select(F.regexp_extract("path", r"([^/]+)\.csv$", 1).alias("id"), F.col("sha256").alias("actual_sha256"))
     return manifest.join(files, "id", "left").select(
         "id", logical_source(F.col("source"), F.col("source_ids"), F.col("id")).alias("logical_source_id"), "sha256", "actual_sha256",
         F.coalesce(F.col("sha256") == F.col("actual_sha256"), F.lit(False)).alias("matches"),

@@ -11,6 +11,7 @@ from attestra.functions import text as T
 from attestra.operators import patents as P
 from attestra.operators import store as S
 from attestra.session import checkpoint_dir, cut_lineage
+from attestra.sources import hashes as H
 from attestra.streaming import upsert as U
 from checks import views as V
 from checks.base import Tables, check
@@ -238,3 +239,16 @@ def result_contract(t: Tables) -> DataFrame:
     checked = S.check_results(result_rows(t))
     by_reason = checked.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
     return by_reason.unionByName(checked.agg(F.count(F.lit(1)).alias("n")).select(F.lit("rows").alias("reason"), "n"))
+
+
+@check("""
+    SELECT source, sum(octet_length(encode(text)) + 1)::BIGINT AS bytes, sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS sha256
+    FROM documents WHERE text IS NOT NULL GROUP BY source
+""")
+def dataset_hash(t: Tables) -> DataFrame:
+    """One file for each source, of its texts by id; the files are then hashed."""
+    folder = f"{checkpoint_dir(t.spark)}/texts-{uuid.uuid4().hex}"
+    texts = t["documents"].where(F.col("text").isNotNull()).repartition("source").sortWithinPartitions("source", "doc_id")
+    texts.select("source", "text").write.partitionBy("source").text(folder)
+    hashed = H.file_hashes(H.listed(t.spark, folder))
+    return hashed.select(F.url_decode(F.regexp_extract("path", "/source=([^/]*)/", 1)).alias("source"), "bytes", "sha256")

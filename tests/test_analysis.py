@@ -1,18 +1,19 @@
 """Frozen-table analysis, replay gate, canonical JSON and sinks."""
 
+import hashlib
 import json
 import statistics
 
 import pytest
+from canonical import canonical, number_text
 from pyspark.sql import functions as F
 
 from attestra import constants as K
 from attestra.functions import canon
-from canonical import canonical, number_text
 from attestra.functions.aggregates import percentiles
 from attestra.operators import analysis as A
-from attestra.plans.locked import run_locked
-from attestra.sources import sinks, tables
+from attestra.plans.locked import locked_job, run_locked
+from attestra.sources import hashes, sinks, tables
 from attestra.operators.store import check_results
 
 DEPMAP = "model_id,cell_line_name,lineage,primary_disease,gene_effect\n" + "".join(
@@ -80,6 +81,40 @@ def test_locked_inputs_are_fixed(spark, save):
             run_locked(spark, template, datasets, params, "r")
 
 
+REVIEWED = "id string, source string, source_ids map<string,string>, sha256 string, retrieved_at string"
+
+
+def test_locked_job_checks_contents_version_and_seed(spark, save, tmp_path):
+    texts = {"depmap.crispr_gene_effect": DEPMAP, "gtex.median_tpm": GTEX, "expr.tumor": TUMOR}
+    for name, text in texts.items():
+        save(f"all/{name}.csv", text)
+    entries = [(n, "src", {"release": "r1"}, hashlib.sha256(t.encode()).hexdigest(), "2026-07-17") for n, t in texts.items()]
+    go = lambda rows=entries, **more: locked_job(spark, K.ANALYSIS_TEMPLATE, str(tmp_path / "all"), spark.createDataFrame(rows, REVIEWED), PARAMS, **more)
+    one, two = go(), go(list(reversed(entries)))
+    assert one.computation_id == two.computation_id == hashlib.sha256(canonical(one.manifest).encode()).hexdigest()
+    assert {r.computation_id for r in one.results.select("computation_id").distinct().collect()} == {one.computation_id}
+    assert {d["logicalSourceId"] for d in one.manifest["datasets"]} == {"src:r1"} and one.manifest["seed"] == 1729
+    for bad in (dict(version="2.0.0"), dict(seed=1), dict(rows=entries[:2]), dict(rows=[*entries[:2], (*entries[2][:3], "0" * 64, "x")])):
+        with pytest.raises(A.ContractError):
+            go(**bad)
+
+
+def test_hash_of_a_file_beyond_two_gib(spark, tmp_path):
+    """A sparse file of 2 GiB and a few bytes, beside small ones."""
+    large, size = tmp_path / "files" / "large.bin", (2 << 30) + 5
+    large.parent.mkdir()
+    with open(large, "wb") as f:
+        f.truncate(size)
+    (large.parent / "small.bin").write_bytes(b"abc")
+    (large.parent / "none.bin").write_bytes(b"")
+    state, zeros = hashlib.sha256(), bytes(1 << 20)
+    for _ in range(size >> 20):
+        state.update(zeros)
+    state.update(bytes(size & ((1 << 20) - 1)))
+    got = {r.path.rsplit("/", 1)[1]: (r.bytes, r.sha256) for r in hashes.file_hashes(hashes.listed(spark, str(large.parent))).collect()}
+    assert got == {"large.bin": (size, state.hexdigest()), "small.bin": (3, hashlib.sha256(b"abc").hexdigest()), "none.bin": (0, hashlib.sha256(b"").hexdigest())}
+
+
 def test_normalisers(spark):
     effects = spark.createDataFrame([("M1", "-0.5")], "`ModelID` string, `TACSTD2 (4070)` string")
     models = spark.createDataFrame([("M2", "b"), ("M1", "a")], "`ModelID` string, `CellLineName` string")
