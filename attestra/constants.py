@@ -149,3 +149,20 @@ REGRESSION_TOLERANCE = [
 ]
 ABSOLUTE_FLOORS = [("figure_grounding", 0.5), ("computation_grounding", 1.0)]
 MUST_PASS = ["grounding_integrity", "computation_grounding"]
+
+# Reasons a claim bound to a computation is dropped for.
+DROP_REASONS = {
+    "unbound": "claim cites computation evidence without a structured binding",
+    "no_evidence": "missing valid computation evidence",
+    "not_cited": "claim does not cite its computation evidence",
+    "no_key": "result key is absent from computation evidence",
+    "failed": "computation did not exit successfully",
+    "invalid": "primary results failed schema, identity, or hash validation",
+    "no_value": "bound result is missing or null",
+    "unit": "asserted unit does not match typed result",
+    "value": "asserted value does not match typed result",
+    "replay_invalid": "replay results failed schema validation",
+    "replay_contract": "replay run contract does not match the primary run",
+    "replay_value": "replay output mismatched beyond the declared tolerance",
+    "origin": "cached computation lacks verified signed origin",
+}

@@ -44,15 +44,15 @@ def test_locked_job(spark, save):
     assert rows["tumor_expression.median_by_sample_class", "normal"].nullable
     assert rows["normal_tissue.median_tpm_by_tissue", "T3"].value is None
     assert rows["normal_tissue.maximum_tissue_median_tpm", None].value == 7.25
-    assert sorted(r.warning[:12] for r in warnings.collect()) == ["2 cBioPortal", "No observed "]
+    assert sorted(r.warning[:12] for r in warnings.collect()) == ["2 samples of", "No observed "]
     assert check_results(results).where(F.size("reasons") > 0).count() == 0
 
     claims = {r.binding.result_key: r.text for r in A.result_claims(results).collect()}
     assert len(claims) == 3
-    assert claims["dependency.fraction_at_or_below_locked_cutoff"].startswith("In the frozen DepMap slice, 55.5556% of 9 observed models")
-    assert "locked -0.5 cutoff" in claims["dependency.fraction_at_or_below_locked_cutoff"]
-    assert "was 15.000 RSEM across 4 observed" in claims["tumor_expression.median_by_sample_class::tumor"]
-    assert "was 7.250 TPM." in claims["normal_tissue.maximum_tissue_median_tpm"]
+    assert claims["dependency.fraction_at_or_below_locked_cutoff"].startswith("Of 9 cell-line models with data in the frozen DepMap table, 55.5556% ")
+    assert "template's -0.5 gene-effect cutoff" in claims["dependency.fraction_at_or_below_locked_cutoff"]
+    assert "median of 15.000 RSEM over 4 tumor samples" in claims["tumor_expression.median_by_sample_class::tumor"]
+    assert "is 7.250 TPM:" in claims["normal_tissue.maximum_tissue_median_tpm"]
 
     doc = json.loads(sinks.results_json(results).first()["json"])["results"]
     assert list(doc) == sorted(doc) and doc["normal_tissue.maximum_tissue_median_tpm"]["value"] == 7.25
