@@ -239,12 +239,12 @@ def merge_gaps(
     grew = gained.select("section_id", F.lit(True).alias("_grew")).distinct()
     rated = (
         sections.join(grew, "section_id", "left")
-        .join(count_identities(merged, identities), "section_id", "left")
+        .join(count_identities(merged, identities).withColumnRenamed("n_sources", "_sources"), "section_id", "left")
         .withColumn(
             "rating",
-            F.when(F.col("_grew"), F.when(F.col("n_sources") >= 2, "green").otherwise("amber")).otherwise(F.col("rating")),
+            F.when(F.col("_grew"), F.when(F.col("_sources") >= 2, "green").otherwise("amber")).otherwise(F.col("rating")),
         )
-        .drop("_grew", "n_sources")
+        .drop("_grew", "_sources")
     )
     return rated, merged
 
