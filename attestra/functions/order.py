@@ -18,7 +18,7 @@ def numbered(df: DataFrame, order: list[Column], name: str = "ord") -> DataFrame
     """
     rows = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33)
-    sizes = sorted((r[0], r[1]) for r in rows.groupBy(part.alias("part")).count().collect())
+    sizes = sorted((r[0], r[1]) for r in rows.groupBy(part.alias("part")).count().toLocalIterator())
     starts = list(accumulate([0, *(n for _, n in sizes)]))[:-1]
     first = df.sparkSession.createDataFrame([(p, s) for (p, _), s in zip(sizes, starts, strict=True)], "_part bigint, _start bigint")
     at = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))

@@ -110,8 +110,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, key: str = "id", colum
     found = []
     for i in range(count):
         part = dealt.where(F.col("_block") == i)
-        for (size,) in part.select("_size").distinct().collect():
-            block = part.where(F.col("_size") == size).select("query_id", column).collect()
+        for (size,) in part.select("_size").distinct().toLocalIterator():
+            block = list(part.where(F.col("_size") == size).select("query_id", column).toLocalIterator())
             matrix = np.array([r[1] for r in block], float)
             best = _block(rows.where(F.size(column) == size), key, column, matrix, k, metric, digits)
             order = Window.partitionBy("q").orderBy(F.desc("value"), F.asc_nulls_first(key))

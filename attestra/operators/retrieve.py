@@ -97,13 +97,12 @@ def term_hits(rows: DataFrame, id_col: str, text: Column, terms: DataFrame, inde
     held = P.rows_with(index, worded.select("part").distinct())
     direct = held.join(worded.where("_one").select("part", "target").distinct(), "part").select("target", "segment", "rows")
     hits = index.named(direct, id_col).select(id_col, "target")
-    kinds = {(r[0], r[1]) for r in shaped.select("_one", F.length("part") > 0).distinct().collect()}
-    if (False, True) in kinds:
+    if not worded.where(~F.col("_one")).isEmpty():
         several = index.named(held.join(worded.where(~F.col("_one")), "part").select("term", "segment", "rows"), id_col).distinct()
         found = several.join(base, id_col).where(F.contains("_text", F.col("term"))).select(id_col, "term")
         hits = hits.unionByName(found.join(lowered, "term").select(id_col, "target"))
-    if (False, False) in kinds:
-        marks = shaped.where(F.length("part") == 0).select("target", "term")
+    marks = shaped.where(F.length("part") == 0).select("target", "term")
+    if not marks.isEmpty():
         hits = hits.unionByName(_mark_hits(base, id_col, marks))
     return hits.distinct()
 

@@ -83,7 +83,7 @@ class KeyedTable:
         now = self.manifest()
         if number <= now["batch"]:
             return False
-        touched = sorted(r[0] for r in batch.select(self._bucket()).distinct().collect())
+        touched = sorted(r[0] for r in batch.select(self._bucket()).distinct().toLocalIterator())
         new = dict(now, version=now["version"] + 1, batch=number, schema=now["schema"] or json.loads(batch.schema.json()))
         if touched:
             old = self._read(now, touched)
