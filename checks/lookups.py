@@ -61,7 +61,7 @@ def patent_records(t: Tables) -> DataFrame:
 
 
 @check("""
-    WITH h AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn FROM lineitem)
+    WITH h AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS rn FROM lineitem)
     SELECT l_orderkey AS query_id, rn AS rank, 'BLAST:P' || l_partkey AS id, CASE WHEN l_orderkey % 2 = 0 THEN 'patent' ELSE 'dataset' END AS kind,
            CASE WHEN q = 1 THEN 0.0 ELSE floor((q - 1 - l_linenumber % 2)::DOUBLE / (q - 1) * 1000 + 0.5) / 10 END AS percent_identity,
            floor((q + 1)::DOUBLE / 60 * 1000 + 0.5) / 10 AS query_coverage, CASE WHEN l_suppkey % 3 = 0 THEN '' ELSE 'Sp ' || l_suppkey END AS organism
@@ -78,8 +78,8 @@ def alignment_hits(t: Tables) -> DataFrame:
     second = F.when(n % 3 == 0, F.lit("<Hsp><Hsp_identity>1</Hsp_identity><Hsp_align-len>9</Hsp_align-len></Hsp>")).otherwise("")
     name = F.when(F.col("l_suppkey") % 3 == 0, "protein x").otherwise(F.concat(F.lit("protein x [Sp "), text(F.col("l_suppkey")), F.lit("] [other]")))
     hit = F.concat(F.lit("<Hit><Hit_def>"), name, F.lit("</Hit_def><Hit_accession>P"), text(F.col("l_partkey")), F.lit("</Hit_accession><Hit_hsps>"), segment, second, F.lit("</Hit_hsps></Hit>"))
-    # An order has seven lines at most: one response each.
-    hits = t["lineitem"].groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", hit.alias("hit")))), lambda x: x["hit"]), "").alias("hits"))
+    # An order has a few lines: one response each. Lines may repeat, so the quantity completes their order.
+    hits = t["lineitem"].groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", q.alias("q"), hit.alias("hit")))), lambda x: x["hit"]), "").alias("hits"))
     head = F.lit("<?xml version='1.0'?><BlastOutput><BlastOutput_version>BLASTP 2.x</BlastOutput_version><BlastOutput_db>nr</BlastOutput_db><BlastOutput_query-len>60</BlastOutput_query-len><BlastOutput_iterations><Iteration><Iteration_hits>")
     whole = F.concat(head, "hits", F.lit("</Iteration_hits></Iteration></BlastOutput_iterations></BlastOutput>"))
     key = F.col("l_orderkey")
