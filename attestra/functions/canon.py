@@ -14,11 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from attestra.functions.bind import let
 from attestra.session import active
 
 # A string, a number, or what stands between them.
-TOKEN = r'"(?:[^"\\]|\\.)*"|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|[^"\d-]+'
+TOKEN = r'"(?:[^"\\]++|\\.)*+"|-?\d++(?:\.\d++)?(?:[eE][+-]?\d++)?|[^"\d-]++'
 SUBNORMAL = 2.2250738585072014e-308
+WHOLE = 2.0**53
+LARGE = r"[eE]\+?\d{3}|\d{200}"
 
 
 def _parse(text: Column) -> Column:
@@ -30,11 +33,10 @@ def _shortest(d: Column) -> Column:
     """The fewest digits that give the double again, in scientific form."""
 
     def tried(p: int) -> Column:
-        text = F.format_string(f"%.{p}e", d)
-        return F.when(text.cast("double") == d, text)
+        return let(F.format_string(f"%.{p}e", d), lambda text: F.when(text.cast("double") == d, text))
 
-    few = F.coalesce(*[tried(p) for p in (14, 15, 16)])
-    return F.when(d < SUBNORMAL, F.coalesce(*[tried(p) for p in range(17)])).otherwise(few)
+    few = lambda: F.coalesce(*[tried(p) for p in (14, 15, 16)])
+    return F.when(d < SUBNORMAL, F.coalesce(*[tried(p) for p in range(17)])).otherwise(few())
 
 
 def _written(digits: Column, point: Column) -> Column:
@@ -50,39 +52,63 @@ def _written(digits: Column, point: Column) -> Column:
     )
 
 
-def _numbers(tokens: Column) -> Column:
-    """Tokens with their numbers rewritten."""
-    value = lambda t: F.when(~F.startswith(t, F.lit('"')), t.try_cast("double"))
-    read = F.transform(tokens, lambda t: F.struct(t.alias("t"), value(t).alias("d")))
-    read = F.transform(read, lambda x: F.struct(x["t"].alias("t"), x["d"].alias("d"), F.when(x["d"] != 0, _shortest(F.abs(x["d"]))).alias("s")))
+def _fraction(d: Column) -> Column:
     digits = lambda s: F.regexp_replace(F.regexp_replace(s, "(e.*$)|\\.", ""), "0+$", "")
-    read = F.transform(read, lambda x: F.struct(x["t"].alias("t"), x["d"].alias("d"), digits(x["s"]).alias("digits"), (F.regexp_extract(x["s"], "e(.*)$", 1).try_cast("int") + 1).alias("point")))
-    number = lambda x: F.when(x["d"] == 0, "0").otherwise(F.concat(F.when(x["d"] < 0, "-").otherwise(""), _written(x["digits"], x["point"])))
-    return F.transform(read, lambda x: F.when(x["d"].isNull(), x["t"]).otherwise(number(x)))
+    point = lambda s: F.regexp_extract(s, "e(.*)$", 1).try_cast("int") + 1
+    parts = lambda s: F.struct(digits(s).alias("digits"), point(s).alias("point"))
+    sign = F.when(d < 0, "-").otherwise("")
+    return F.concat(sign, let(let(_shortest(F.abs(d)), parts), lambda x: _written(x["digits"], x["point"])))
 
 
-def _escapes(text: Column) -> Column:
+def _number(d: Column) -> Column:
+    # Whole numbers below 2^53 are their own digits.
+    whole = d.cast("bigint")
+    return F.when((F.abs(d) < WHOLE) & (whole == d), whole.cast("string")).otherwise(_fraction(d))
+
+
+def _lower(text: Column) -> Column:
     """Escapes of control characters in lower case; an escaped backslash before them is none."""
     for digit in "ABCDEF":
         text = F.regexp_replace(text, r"(?<!\\)((?:\\\\)*)\\u00([01])" + digit, r"$1\\u00$2" + digit.lower())
     return text
 
 
+def _token(t: Column) -> Column:
+    """A token as canonical JSON writes it: numbers by their doubles, escapes in lower case."""
+    number = lambda d: F.when(d.isNull(), t).otherwise(_number(d))
+    return (
+        F.when(F.contains(t, F.lit("\\u00")), _lower(t))
+        .when(F.substr(t, F.lit(1), F.lit(1)).isin(*"-0123456789"), let(t.try_cast("double"), number))
+        .otherwise(t)
+    )
+
+
+def _canonical(text: Column, written: Column) -> Column:
+    """``written``, the JSON of ``text`` with sorted keys, in canonical form; null if that is null."""
+    # Only a number with an exponent of three digits, or with some hundred digits itself, can be beyond the doubles.
+    beyond = F.exists(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: ~F.startswith(t, F.lit('"')) & (F.abs(t.try_cast("double")) == float("inf")))
+    fault = F.raise_error(F.lit("canonical JSON has no non-finite numbers"))
+    rewritten = lambda s: F.array_join(F.transform(F.regexp_extract_all(s, F.lit(TOKEN), F.lit(0)), _token), "")
+    return let(written, lambda s: F.when(s.isNull(), F.lit(None)).when(F.rlike(text, F.lit(LARGE)) & beyond, fault).otherwise(rewritten(s)))
+
+
 def canonical_json(text: Column) -> Column:
     """Canonical form of a JSON text."""
-    beyond = F.exists(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: ~F.startswith(t, F.lit('"')) & (F.abs(t.try_cast("double")) == float("inf")))
-    sorted_ = F.to_json(_parse(text))
-    done = _escapes(F.array_join(_numbers(F.regexp_extract_all(sorted_, F.lit(TOKEN), F.lit(0))), ""))
-    return F.when(beyond & sorted_.isNotNull(), F.raise_error(F.lit("canonical JSON has no non-finite numbers"))).otherwise(done)
+    return let(text, lambda t: _canonical(t, F.to_json(_parse(t))))
 
 
 def computation_id(manifest_json: Column) -> Column:
     """SHA-256 of the canonical manifest, its datasets in the order of id, source and content hash."""
-    parts = F.try_variant_get(_parse(manifest_json), "$", "map<string,variant>")
     order = lambda d: F.struct(*[F.try_variant_get(d, f"$.{k}", "string").alias(k) for k in ("datasetId", "logicalSourceId", "contentSha256")], F.to_json(d).alias("json"))
-    datasets = F.array_sort(F.transform(F.try_variant_get(parts["datasets"], "$", "array<variant>"), order))
-    listed = F.concat(F.lit("["), F.array_join(F.transform(datasets, lambda d: d["json"]), ","), F.lit("]"))
     name = lambda k: F.regexp_replace(F.to_json(F.array(k)), r"^\[|\]$", "")
-    entry = lambda e: F.concat(name(e["key"]), F.lit(":"), F.when((e["key"] == "datasets") & listed.isNotNull(), listed).otherwise(F.to_json(e["value"])))
-    whole = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(parts), entry), ","), F.lit("}"))
-    return F.sha2(canonical_json(whole), 256)
+
+    def whole(parts: Column) -> Column:
+        datasets = F.array_sort(F.transform(F.try_variant_get(parts["datasets"], "$", "array<variant>"), order))
+        listed = F.concat(F.lit("["), F.array_join(F.transform(datasets, lambda d: d["json"]), ","), F.lit("]"))
+        value = lambda e: F.when(e["key"] == "datasets", F.coalesce(listed, F.to_json(e["value"]))).otherwise(F.to_json(e["value"]))
+        entry = lambda e: F.concat(name(e["key"]), F.lit(":"), value(e))
+        return F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(parts), entry), ","), F.lit("}"))
+
+    # The map has the keys in the variant's order, so nothing is left to sort.
+    written = lambda t: let(F.try_variant_get(_parse(t), "$", "map<string,variant>"), whole)
+    return F.sha2(let(manifest_json, lambda t: _canonical(t, written(t))), 256)

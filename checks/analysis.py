@@ -360,4 +360,4 @@ def computation_id(t: Tables) -> DataFrame:
         F.lit('},\n "datasets": [{"logicalSourceId": "s:'), "o_orderstatus", F.lit('", "datasetId": "b", "contentSha256": "'), key,
         F.lit('"}, {"datasetId": "a", "contentSha256": "c'), customer, F.lit('", "logicalSourceId": "s"}], "seed": '), key, F.lit("}"),
     )
-    return t["orders"].select(F.col("o_orderkey").alias("k"), canon.computation_id(text).alias("computation_id"))
+    return t.text("orders").select(F.col("o_orderkey").alias("k"), canon.computation_id(text).alias("computation_id"))

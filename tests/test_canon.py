@@ -63,3 +63,9 @@ def test_ids_do_not_depend_on_the_order_of_datasets(spark):
     assert got(spark, texts, canon.computation_id) == [want, want]
     bare = {"version": 1}
     assert got(spark, [json.dumps(bare), "x"], canon.computation_id) == [hashlib.sha256(canonical(bare).encode()).hexdigest(), None]
+
+
+def test_long_strings_and_large_numbers(spark):
+    long = json.dumps({"b": "x\\y" * 50_000, "a": 1.50})
+    assert got(spark, [long]) == ['{"a":1.5,"b":"' + "x\\\\y" * 50_000 + '"}']
+    assert got(spark, ["[9007199254740991, 9007199254740993, -0.0, 1e2, 1e-7]"]) == ["[9007199254740991,9007199254740992,0,100,1e-7]"]
