@@ -167,3 +167,18 @@ def test_computation_contract(spark):
     good, bad = S.split_valid(S.check_computations(runs, results))
     assert [r.computation_id for r in good.collect()] == ["m1"]
     assert len(bad.first()["reasons"]) == 5
+
+
+def test_classes_that_share_some_words_are_no_candidates(spark):
+    rng = random.Random(5)
+    # all under one citation, every line with common words, three lines nearly alike
+    lines = [sorted({*rng.sample([f"c{i}" for i in range(60)], 12), *rng.sample([f"r{i}" for i in range(400)], 12)}) for _ in range(600)]
+    lines += [lines[0][:-2] + ["x1"], lines[0][:-3] + ["x2"]]
+    sets = [set(w) for w in lines]
+    want = {(i, j) for i in range(len(sets)) for j in range(i) if 2 * len(sets[i] & sets[j]) >= len(sets[i] | sets[j])}
+    rows = [(i, f"k{i:04d}", "PMID:1", w) for i, w in enumerate(lines)]
+    cited = spark.createDataFrame(rows, "no bigint, class_id string, cite_key string, words array<string>")
+    found = {tuple(sorted(r, reverse=True)) for r in X.overlap_candidates(cited).collect()}
+    assert want <= found and len(found) < len(want) + 100
+    edges = {tuple(sorted((int(a[1:]), int(b[1:])), reverse=True)) for a, b in X.overlap_edges(cited).collect()}
+    assert edges == want
