@@ -9,8 +9,12 @@ names; and a batch that comes again after it was applied (a restarted stream rep
 is known by its number and skipped. The result does not depend on how rows fall into batches, as
 long as the rule's order is a property of the rows.
 
+A bucket of more than ``SMALL`` rows is not rewritten for every batch: the batch's rows, settled among
+themselves, become one more run of it, and a read settles its runs. At ``RUNS`` runs the next batch
+rewrites it. So what a batch writes follows the batch, not the table.
+
 Rows without a key are not kept. A key with very many rows in a batch is settled by partial aggregates before its rows meet; after that
-a bucket holds a key once. The driver holds one manifest: a line a bucket.
+a run holds a key once. The driver holds one manifest: a line a bucket.
 """
 
 from __future__ import annotations
@@ -27,6 +31,13 @@ from attestra.operators import store as S
 from attestra.sources import files
 
 FIRST, LAST = "first", "last"
+SMALL = 1_000  # rows of a bucket that is rewritten whole
+RUNS = 8
+
+
+def _runs(manifest: dict, bucket: str) -> list[str]:
+    found = manifest["buckets"].get(bucket, [])
+    return [found] if isinstance(found, str) else found  # tables of before had one run a bucket
 
 
 @dataclass
@@ -63,20 +74,27 @@ class KeyedTable:
     def _bucket(self):
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
-    def _read(self, manifest: dict, only: list[int] | None = None) -> DataFrame | None:
-        paths = [p for b, p in manifest["buckets"].items() if only is None or int(b) in only]
-        if manifest["schema"] is None:
-            return None
+    def _settled(self, rows: DataFrame) -> DataFrame:
+        return (S.first_rows if self.rule == FIRST else S.last_rows)(rows, list(self.keys), self.order)
+
+    def _files(self, manifest: dict, buckets: list[str]) -> DataFrame | None:
+        """The rows of all runs of these buckets."""
         from pyspark.sql.types import StructType
 
+        if manifest["schema"] is None:
+            return None
         schema = StructType.fromJson(manifest["schema"])
+        paths = sorted(p for b in buckets for p in _runs(manifest, b))
         if not paths:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{p}" for p in sorted(paths)])
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{p}" for p in paths])
 
     def read(self, version: int | None = None) -> DataFrame | None:
         """The table's rows as of a version; None before the first batch."""
-        return self._read(self.manifest(version))
+        manifest = self.manifest(version)
+        several = [b for b in manifest["buckets"] if len(_runs(manifest, b)) > 1]
+        whole = self._files(manifest, [b for b in manifest["buckets"] if b not in several])
+        return whole.unionByName(self._settled(self._files(manifest, several))) if several else whole
 
     def apply(self, batch: DataFrame, number: int) -> bool:
         """Apply batch ``number``; False if it was applied before."""
@@ -86,13 +104,18 @@ class KeyedTable:
         touched = sorted(r[0] for r in batch.select(self._bucket()).distinct().toLocalIterator())
         new = dict(now, version=now["version"] + 1, batch=number, schema=now["schema"] or json.loads(batch.schema.json()))
         if touched:
-            old = self._read(now, touched)
+            held = now.get("rows", {})
+            whole = [str(b) for b in touched if held.get(str(b), 0) <= SMALL or len(_runs(now, str(b))) >= RUNS]
+            old = self._files(now, whole)
             rows = batch if old is None else old.unionByName(batch)
-            pick = S.first_rows if self.rule == FIRST else S.last_rows
             place = f"data/v{new['version']:012d}-{uuid.uuid4().hex}"
-            settled = pick(rows, list(self.keys), self.order).withColumn("_bucket", self._bucket())
-            settled.repartition("_bucket").sortWithinPartitions(*self.keys).write.partitionBy("_bucket").parquet(f"{self.folder}/{place}")
-            new["buckets"] = {**now["buckets"], **{str(b): f"{place}/_bucket={b}" for b in touched}}
+            # Rows go to their bucket's files from where they were settled; they are not moved once more for it.
+            self._settled(rows).withColumn("_bucket", self._bucket()).sortWithinPartitions("_bucket", *self.keys).write.partitionBy("_bucket").parquet(f"{self.folder}/{place}")
+            counts = self.spark.read.schema("_bucket int").parquet(f"{self.folder}/{place}").groupBy("_bucket").count()
+            counts = {str(r[0]): r[1] for r in counts.toLocalIterator()}
+            kept = lambda b: [] if b in whole else _runs(now, b)
+            new["buckets"] = {**now["buckets"], **{str(b): [*kept(b), f"{place}/_bucket={b}"] for b in counts}}
+            new["rows"] = {**held, **{b: n + (0 if b in whole else held[b]) for b, n in counts.items()}}
         self._commit(new)
         return True
 
@@ -100,7 +123,7 @@ class KeyedTable:
         """Delete what only manifests before the last ``keep`` name, and what no manifest names."""
         versions = self.versions()
         old, kept = versions[:-keep], [self.manifest(v) for v in versions[-keep:]]
-        named = {p for m in kept for p in m["buckets"].values()}
+        named = {p for m in kept for b in m["buckets"] for p in _runs(m, b)}
         gone = 0
         for folder in files.names(self.spark, f"{self.folder}/data"):
             parts = [f"data/{folder}/{n}" for n in files.names(self.spark, f"{self.folder}/data/{folder}")]

@@ -107,3 +107,21 @@ def test_stream_survives_a_restart(spark, tmp_path):
     go()  # the batch comes again and is skipped, the next one follows
     assert sorted(map(tuple, table.read().collect()), key=repr) == sorted(map(tuple, S.first_rows(spark.createDataFrame(data, KIND), ["id"]).collect()), key=repr)
     assert files.names(spark, str(tmp_path / "nowhere")) == []
+
+
+@pytest.mark.parametrize("rule", [U.FIRST, U.LAST])
+def test_large_buckets_get_runs_and_are_rewritten_at_last(spark, tmp_path, monkeypatch, rule):
+    monkeypatch.setattr(U, "SMALL", 5)
+    monkeypatch.setattr(U, "RUNS", 3)
+    table, data = U.KeyedTable(spark, str(tmp_path / "t"), rule=rule, buckets=2), rows()
+    lengths = []
+    for n in range(5):
+        before = {p for b in table.manifest()["buckets"] for p in U._runs(table.manifest(), b)}
+        table.apply(spark.createDataFrame(data[n::5], KIND), n)
+        after = table.manifest()
+        lengths.append(max(len(U._runs(after, b)) for b in after["buckets"]))
+        # earlier runs stay as they are until the bucket is rewritten
+        assert n in (0, 3) or before <= {p for b in after["buckets"] for p in U._runs(after, b)}
+    assert lengths == [1, 2, 3, 1, 2]
+    pick = S.first_rows if rule == U.FIRST else S.last_rows
+    assert sorted(map(tuple, table.read().collect()), key=repr) == sorted(map(tuple, pick(spark.createDataFrame(data, KIND), ["id"]).collect()), key=repr)
