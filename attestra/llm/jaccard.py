@@ -14,7 +14,8 @@ no count. First, equal sets are one node. Then, in ``chains`` rounds, each n-gra
 put in an order (first one order for all n-grams, then a random one for each) and each is compared
 with its next one, later its next few; links found are contracted. Last,
 every remaining pair of different components that meets on an n-gram is compared: documents outside
-an n-gram's largest component against all of its documents. So a large group of near copies is
+an n-gram's largest component against all of its documents, under a bound by short parity bitmaps
+that are held where they meet. So a large group of near copies is
 connected by few comparisons and never multiplied out, and no link between components is lost.
 
 Null and wordless texts have no shingles and link with nothing. Rows that share a doc_id are one
@@ -24,10 +25,12 @@ component. An empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.llm import blocks as B
@@ -38,6 +41,7 @@ CELLS = 1 << 20
 SLICES = 32
 FILTER_BITS = 1 << 23
 SIGN = 16  # 64-bit words of a set's signature
+FOLD = 4  # of those that go along with its n-grams; a divisor of SIGN
 NEXT = 3
 SEEN = 100_000
 
@@ -224,8 +228,18 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     (100 - p) / (100 + p) of the sum of their sizes."""
     for side in "ab":
         pairs = pairs.join(classes.select(F.col("node").alias(side), F.col("sign").alias(f"s{side}")), side)
-    apart = sum((F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(SIGN)), F.lit(0))
-    return pairs.where(apart * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
+    return pairs.where(_close([(F.get("sa", F.lit(i)), F.get("sb", F.lit(i))) for i in range(SIGN)], percent)).select("a", "b", "na", "nb")
+
+
+def _close(words: list[tuple[Column, Column]], percent: int) -> Column:
+    """Whether two parity bitmaps, word by word, leave room for a link of sets of sizes na and nb."""
+    apart = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in words), F.lit(0))
+    return apart * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))
+
+
+def _folded(sign: Column) -> list[Column]:
+    """A signature in FOLD words; parities of parities, so it bounds the difference of two sets too."""
+    return [reduce(Column.bitwiseXOR, [F.get(sign, F.lit(i)) for i in range(j, SIGN, FOLD)]) for j in range(FOLD)]
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, cells: Broadcast, cuts: np.ndarray, k: int, percent: int) -> DataFrame:
@@ -290,8 +304,8 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, fragments: int = 4,
 
     def extend(pairs: DataFrame) -> DataFrame:
         """Components with the links among pairs that were not compared before."""
-        for earlier in compared:
-            pairs = pairs.join(earlier.select("a", "b"), ["a", "b"], "left_anti")
+        if compared:
+            pairs = pairs.join(reduce(DataFrame.unionByName, [c.select("a", "b") for c in compared]), ["a", "b"], "left_anti")
         compared.append(cut_lineage(pairs))
         fresh = _linked(docs, compared[-1], classes, cells, cuts, k, percent)
         return components(cut_lineage(fresh), roots)
@@ -306,12 +320,16 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, fragments: int = 4,
         near = near.select("a", "ra", "pa", "na", "x.*").where(F.col("b").isNotNull() & (F.col("ra") != F.col("rb")))
         roots = extend(_ordered(near, percent))
 
-    rows = cut_lineage(rooted(met))
+    # Signatures go along, so that most pairs are dropped where they meet.
+    signs = [f"s{j}" for j in range(FOLD)]
+    short = classes.select("node", *[c.alias(n) for c, n in zip(_folded(F.col("sign")), signs, strict=True)])
+    rows = cut_lineage(rooted(met).join(short, "node"))
     largest = rows.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("major"))
     minor = rows.join(largest, "key").where(F.col("root") != F.col("major"))
-    minor = minor.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("at").alias("pa"), F.col("n").alias("na"))
-    every = rows.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("at").alias("pb"), F.col("n").alias("nb"))
-    roots = extend(_ordered(minor.join(every, "key").where((F.col("ra") != F.col("rb")) & _reachable(percent)), percent))
+    minor = minor.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("at").alias("pa"), F.col("n").alias("na"), *[F.col(c).alias(f"{c}a") for c in signs])
+    every = rows.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("at").alias("pb"), F.col("n").alias("nb"), *[F.col(c).alias(f"{c}b") for c in signs])
+    close = _close([(F.col(f"{c}a"), F.col(f"{c}b")) for c in signs], percent)
+    roots = extend(_ordered(minor.join(every, "key").where((F.col("ra") != F.col("rb")) & _reachable(percent) & close), percent))
 
     # Rows of one doc_id are one document: its sets are linked.
     own = full.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where(F.col("a") != F.col("z"))

@@ -135,6 +135,19 @@ def test_jaccard_random_groups(spark):
     assert found == brute.jaccard_components(texts, 3, 75)
 
 
+def test_jaccard_drops_unlike_pairs_where_they_meet(spark, monkeypatch):
+    """Forty texts share their ten rarest words and little else: they meet, and are not handed on to be compared."""
+    rng = random.Random(11)
+    pool, rare = [f"w{i}" for i in range(300)], [f"rare{i}" for i in range(10)]
+    texts = [(i, " ".join(rare + rng.sample(pool, 90))) for i in range(40)] + [(i, " ".join(rng.sample(pool, 100))) for i in range(40, 240)]
+    sizes = []
+    compare = jaccard._linked
+    monkeypatch.setattr(jaccard, "_linked", lambda docs, pairs, *rest: sizes.append(pairs.count()) or compare(docs, pairs, *rest))
+    found = {r[0]: (r[1], r[2]) for r in jaccard.similar(spark.createDataFrame(texts, "doc_id bigint, text string"), 1, 80, chains=1).collect()}
+    assert found == brute.jaccard_components(texts, 1, 80)
+    assert sizes[-1] < 100
+
+
 def test_jaccard_unites_rows_of_one_id(spark):
     rng = random.Random(4)
     a, b = _prose(rng, 40), _prose(rng, 40)
