@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.functions.numbers import fixed
+from attestra.session import cut_lineage
 from attestra.sources.literature import evidence_columns, json_records
 from attestra.sources.records import land
 
@@ -237,19 +240,24 @@ RECORDS = '$["ops:world-patent-data"]["ops:biblio-search"]["ops:search-result"][
 SYMBOL_PARTS = ("section", "class", "subclass", "main-group", "subgroup")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _many(node: Column, path: str) -> Column:
     """What stands at a path as an array: its items, or the one value that stands there."""
-    at = F.try_variant_get(node, path, "variant")
     empty = F.array().cast("array<variant>")
-    return F.when(at.isNull(), empty).otherwise(F.coalesce(F.try_variant_get(at, "$", "array<variant>"), F.array(at)))
+    items = lambda at: F.when(at.isNull(), empty).otherwise(F.coalesce(F.try_variant_get(at, "$", "array<variant>"), F.array(at)))
+    return _once(F.try_variant_get(node, path, "variant"), items)
 
 
 def _leaf(node: Column, path: str = "$") -> Column:
     """Trimmed text at a path, given plainly or under the text key of an element; null if blank."""
     below = F.try_variant_get(node, path + '["$"]', "string")
-    at = F.try_variant_get(node, path, "variant")
-    plain = F.when(F.schema_of_variant(at).rlike("^(OBJECT|ARRAY)"), F.lit(None)).otherwise(F.try_variant_get(node, path, "string"))
-    return F.nullif(F.trim(F.coalesce(below, plain)), F.lit(""))
+    text = lambda at: F.when(F.schema_of_variant(at).rlike("^(OBJECT|ARRAY)"), F.lit(None)).otherwise(F.try_variant_get(at, "$", "string"))
+    plain = _once(F.try_variant_get(node, path, "variant"), text)
+    return _once(F.trim(F.coalesce(below, plain)), lambda found: F.when(found != "", found))
 
 
 def _texts(nodes: Column, *paths: str) -> Column:
@@ -316,7 +324,8 @@ def patent_evidence(records: DataFrame, limit: int | None = None) -> DataFrame:
     from attestra.operators.store import first_rows
 
     hits = records.withColumn("id", F.concat(F.lit("PATENT:"), "country", "number", F.coalesce("kind", F.lit(""))))
-    rows = first_rows(hits, ["record", "id"], "pos")
+    # Written once: picking reads its rows twice, and the responses would be parsed for each.
+    rows = first_rows(cut_lineage(hits), ["record", "id"], "pos")
     if limit is not None:
         rows = top_n(rows, ["record"], [F.col("pos")], limit).drop("rank")
     return evidence_columns(
