@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from attestra.functions import numbers as N
 from attestra.functions import seqs as SQ
 from attestra.operators import patents as P
-from attestra.sources.targets import _many
+from attestra.session import cut_lineage
+from attestra.sources.targets import _many, _once
 
 # Fixed places of the look-up responses.
 BIBLIO = '$["ops:world-patent-data"]["exchange-documents"]["exchange-document"]["bibliographic-data"]'
@@ -25,16 +26,17 @@ TEXT = "^(STRING|BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)"
 def _plain(node: Column, path: str) -> Column:
     """A text or number at a path, or under its text key; null if it is empty or something else."""
 
-    def at(place: str) -> Column:
-        kind = F.schema_of_variant(F.try_variant_get(node, place, "variant"))
-        return F.when(kind.rlike(TEXT), F.nullif(F.try_variant_get(node, place, "string"), F.lit("")))
+    def text(at: Column) -> Column:
+        plain = lambda x: F.when(x != "", x)
+        return F.when(F.schema_of_variant(at).rlike(TEXT), _once(F.try_variant_get(at, "$", "string"), plain))
 
-    return F.coalesce(at(path), at(path + '["$"]'))
+    return _once(F.try_variant_get(node, path, "variant"), lambda at: F.coalesce(text(at), _once(F.try_variant_get(at, '$["$"]', "variant"), text)))
 
 
 def _date(raw: Column) -> Column:
     """YYYYMMDD as YYYY-MM-DD; null for anything else."""
-    return F.when(raw.rlike(r"^\d{8}\z"), F.concat_ws("-", F.substring(raw, 1, 4), F.substring(raw, 5, 2), F.substring(raw, 7, 2)))
+    parts = lambda x: F.when(x.rlike(r"^\d{8}\z"), F.concat_ws("-", F.substring(x, 1, 4), F.substring(x, 5, 2), F.substring(x, 7, 2)))
+    return _once(raw, parts)
 
 
 def _texts(node: Column, path: str, below: str) -> Column:
@@ -62,7 +64,8 @@ def patent_lookups(biblio: DataFrame, family: DataFrame, legal: DataFrame) -> tu
         _date(dates("application-reference")).alias("filing_date"),
     )
     records = v(biblio).select("doc_id", F.explode(F.array(read)).alias("r")).select("doc_id", "r.*")
-    records = records.withColumn("estimated_expiry", SQ.expiry(F.array("filing_date")))
+    # Written once: it is a result, and says which documents were found.
+    records = cut_lineage(records.withColumn("estimated_expiry", SQ.expiry(F.array("filing_date"))))
 
     first = lambda n: F.get(_many(n, '$["publication-reference"]["document-id"]'), F.lit(0))
     member = lambda n: F.struct(_plain(first(n), "$.country").alias("country"), _plain(first(n), '$["doc-number"]').alias("number"), _plain(first(n), "$.kind").alias("kind"))

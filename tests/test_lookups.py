@@ -1,6 +1,7 @@
 """Patent look-ups and alignment searches on odd and broken responses."""
 
 import json
+import re
 
 import pytest
 
@@ -57,3 +58,22 @@ def test_alignment_responses(spark):
     assert LK.alignment_hits(spark.createDataFrame(rows, "query_id string, program string, database string, xml string"), 1).count() == 1
     with pytest.raises(ValueError):
         LK.alignment_hits(found, 0)
+
+
+def _parses(df):
+    return len(re.findall("(?i)parse_?json", df._jdf.queryExecution().optimizedPlan().toString()))
+
+
+def test_responses_are_parsed_once(spark):
+    """What is read twice later on was written down first: no plan parses a response again."""
+    from attestra.sources import targets
+
+    text = json.dumps({"ops:world-patent-data": {"ops:biblio-search": {"ops:search-result": {"exchange-documents": {"exchange-document": {"bibliographic-data": {
+        "publication-reference": {"document-id": {"@document-id-type": "docdb", "country": {"$": "US"}, "doc-number": {"$": "1"}, "kind": {"$": " "}}}}}}}}}})
+    rows = lambda key, text, kind: spark.createDataFrame([(key, text)], kind).repartition(1)
+    found = targets.patent_evidence(targets.patent_records(rows(1, text, "record bigint, text string")))
+    assert [r["id"] for r in found.select("id").collect()] == ["PATENT:US1"]
+    assert _parses(found) == 0
+    records, _, events = LK.patent_lookups(*[rows("a", "{}", DOC)] * 3)
+    assert records.first()["found"] and _parses(records) == 0
+    assert _parses(events) > 0
