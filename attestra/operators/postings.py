@@ -1,7 +1,7 @@
 """A positional word index of texts, for phrase and substring search without reading a text again.
 
-The index is a table of postings in segments. A segment inverts about ``SEGMENT_WORDS`` words of one
-task's rows: for each word the rows that hold it, how often, and at which places, all three delta-coded.
+The index is a table of postings in segments. A segment inverts at most ``SEGMENT_WORDS`` words of one
+task's rows, or one longer row: for each word the rows that hold it, how often, and at which places, all three delta-coded.
 So a word that is in every text has one bounded posting a segment, and whatever happens at a word's
 places happens segment by segment, spread over the cluster. Postings of a segment are sorted by word,
 so a look-up of a few words skips the other row groups; ``buckets`` deals them by word into one folder
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from attestra.functions import text as T
 from attestra.session import cut_lineage
 
-SEGMENT_WORDS = 2_000_000
+SEGMENT_WORDS = 500_000
+BATCH_ROWS = 512
 REGION = 1 << 28  # places of the next region begin this much later; no phrase spans two
 GRAM = 3
 
@@ -100,11 +101,17 @@ def _inverted(ids: pa.Array, words: pa.Array, sizes: np.ndarray, firsts: list[np
     return pa.RecordBatch.from_arrays([pa.concat_arrays([a, b]) for a, b in zip(columns, names, strict=True)], ["word", "segment", "n", "rows", "counts", "places", "ids"])
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Small Arrow batches: rows with whole texts or postings make large ones otherwise."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def build(rows: DataFrame, id_col: str, regions: list[Column], folder: str | None = None, buckets: int | None = None) -> TextIndex:
     """Invert the texts of ``rows``, whose regions are searched one after another.
 
     Written to ``folder`` (overwritten), or to the session's checkpoint folder for the length of a job.
     """
+    _small_batches(rows.sparkSession)
     words = [words_of(r) for r in regions]
     sizes = F.array(*[F.size(w) for w in words])
     count = len(regions)
@@ -122,12 +129,18 @@ def build(rows: DataFrame, id_col: str, regions: list[Column], folder: str | Non
             return _inverted(ids, flat, ends[:, -1], [ends[:, r] for r in range(count - 1)], part + number)
 
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                total += len(batch.column("words").flatten())
-            if total >= SEGMENT_WORDS:
-                yield settle()
-                held, total, number = [], 0, number + 1
+            ends = np.cumsum(np.asarray(batch.column("sizes").flatten(), np.int64).reshape(-1, count).sum(axis=1))
+            at = before = 0
+            while at < batch.num_rows:
+                fit = int(np.searchsorted(ends, before + SEGMENT_WORDS - total, "right"))
+                if fit > at or not held:  # a row above the size is a segment of its own
+                    stop = max(fit, at + 1)
+                    held.append(batch.slice(at, stop - at))
+                    total += int(ends[stop - 1]) - before
+                    at, before = stop, int(ends[stop - 1])
+                if total >= SEGMENT_WORDS or at < batch.num_rows:
+                    yield settle()
+                    held, total, number = [], 0, number + 1
         if held:
             yield settle()
 
@@ -184,6 +197,7 @@ def phrase_rows(index: TextIndex, phrases: DataFrame) -> DataFrame:
     its first ``regions`` regions. A query's words in one segment are what a group holds: its own few
     words' postings there. A query that names no word finds nothing.
     """
+    _small_batches(phrases.sparkSession)
     asked = phrases.select("query", "part", "regions", F.posexplode("words").alias("at", "word"))
     need = asked.groupBy("query").agg(F.count_distinct("word").alias("need"))
     found = index.of_words(asked).groupBy("query", "segment").agg(
@@ -195,7 +209,7 @@ def phrase_rows(index: TextIndex, phrases: DataFrame) -> DataFrame:
     def work(batches):
         for batch in batches:
             out = []
-            for held in batch.column("held").to_pylist():
+            for held in (group.as_py() for group in batch.column("held")):  # one group's postings at a time
                 parts: dict[int, list] = {}
                 for h in held:
                     parts.setdefault(h["part"], []).append(h)
@@ -243,6 +257,7 @@ def words_with(index: TextIndex, parts: DataFrame) -> DataFrame:
 
 def rows_with(index: TextIndex, parts: DataFrame) -> DataFrame:
     """(part, segment, rows) of the rows that hold a word that contains the part; a row may come up again."""
+    _small_batches(parts.sparkSession)
     found = index.of_words(words_with(index, parts)).select("part", "segment", "rows")
 
     def work(batches):

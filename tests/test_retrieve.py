@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions import text as T
 from attestra.functions import vectors as V
+from attestra.operators import postings
 from attestra.operators import retrieve as R
 from attestra.operators.scorer import score_rows
 
@@ -94,3 +95,16 @@ def test_scorer_hook(spark):
     assert sorted(r.id for r in down) == list(range(6)) and all(r.score is None and "service down" in r.error for r in down)
     short = score_rows(df, ["id"], lambda b: b.head(0).assign(score=[]), "score double")
     assert short.where("score is null").count() == 6
+
+
+def test_index_segments_are_cut_inside_a_batch(spark, monkeypatch):
+    """A batch of many words is more than one segment; a row above the size is one of its own."""
+    monkeypatch.setattr(postings, "SEGMENT_WORDS", 10)
+    rows = [(i, f"alpha beta w{i} w{i + 1}") for i in range(20)] + [(20, "gamma " * 30), (21, None), (22, "alpha gamma")]
+    index = postings.build(spark.createDataFrame(rows, "id bigint, text string").coalesce(1), "id", [F.col("text")])
+    held = [[int(i) for i in r["ids"]] for r in index.names.select("ids").collect()]
+    assert sorted(i for ids in held for i in ids) == list(range(23))
+    assert max(len(ids) for ids in held) == 2 and [20] in held
+    asked = spark.createDataFrame([(1, 0, ["alpha", "beta"], 1), (2, 0, ["gamma", "gamma"], 1), (3, 0, ["alpha", "gamma"], 1)], "query int, part int, words array<string>, regions int")
+    found = index.named(postings.phrase_rows(index, asked), "id").select("query", "id").collect()
+    assert sorted(map(tuple, found)) == [(1, i) for i in range(20)] + [(2, 20), (3, 22)]
