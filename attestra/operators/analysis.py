@@ -16,6 +16,7 @@ from attestra.functions import numbers as N
 from attestra.functions.aggregates import percentiles
 from attestra.functions.numbers import fixed
 from attestra.operators.store import last_rows
+from attestra.session import cut_lineage
 
 
 class ContractError(ValueError):
@@ -254,14 +255,36 @@ def resolve_binding(bindings: DataFrame, results: DataFrame) -> DataFrame:
     keep null result columns.
     """
     fields = [c for c in results.columns if c not in ("computation_id", "result_key", "group_key", "pos")]
-    points = results.where((F.col("type") == "scalar") & ~F.coalesce(F.contains("group_key", F.lit("::")), F.lit(False)))
-    named = points.select(F.col("computation_id"), F.col("result_key").alias("_key"), F.coalesce("group_key", F.lit("")).alias("_group"), *fields)
-    parts = F.regexp_extract("binding", r"(?s)^(.*)::(.*)\z", 1), F.regexp_extract("binding", r"(?s)^(.*)::(.*)\z", 2)
-    grouped = F.contains("binding", F.lit("::"))
-    split = bindings.withColumn("_key", F.when(grouped, parts[0]).otherwise(F.col("binding"))).withColumn("_group", F.when(grouped, parts[1]).otherwise(""))
+    named = _scalars(results).select(F.col("computation_id"), F.col("result_key").alias("_key"), F.coalesce("group_key", F.lit("")).alias("_group"), *fields)
+    key, group = _binding_parts(F.col("binding"))
+    split = bindings.withColumn("_key", key).withColumn("_group", group)
     return split.join(named, ["computation_id", "_key", "_group"], "left").select(*bindings.columns, *fields)
 
 
+def _scalars(results: DataFrame) -> DataFrame:
+    return results.where((F.col("type") == "scalar") & ~F.coalesce(F.contains("group_key", F.lit("::")), F.lit(False)))
+
+
+def _binding_parts(binding: Column) -> tuple[Column, Column]:
+    parts = F.regexp_extract(binding, r"(?s)^(.*)::(.*)\z", 1), F.regexp_extract(binding, r"(?s)^(.*)::(.*)\z", 2)
+    grouped = F.contains(binding, F.lit("::"))
+    return F.when(grouped, parts[0]).otherwise(binding), F.when(grouped, parts[1]).otherwise("")
+
+
+def with_bound_values(claims: DataFrame, results: DataFrame) -> DataFrame:
+    """Claims with ``_cid`` and ``_key`` of their binding and ``_value``, ``_unit``, ``_tol`` of the scalar it names.
+
+    Claims look their scalar up themselves, in one join: the same as ``resolve_binding`` on distinct bindings.
+    """
+    named = _scalars(results).select(
+        F.col("computation_id").alias("_cid"), F.col("result_key").alias("_result"), F.coalesce("group_key", F.lit("")).alias("_group"),
+        F.col("value").alias("_value"), F.col("unit").alias("_unit"), F.col("tolerance").alias("_tol"),
+    )
+    result, group = _binding_parts(F.col("_key"))
+    bound = claims.withColumn("_cid", F.col("binding.computation_id")).withColumn("_key", F.col("binding.result_key"))
+    return bound.withColumn("_result", result).withColumn("_group", group).join(named, ["_cid", "_result", "_group"], "left").drop("_result", "_group")
+
+
 # --- Replay ------------------------------------------------------------------------------
 
 CONTRACT = [
@@ -270,8 +293,8 @@ CONTRACT = [
 ]
 
 
-def replay_agreement(primary: DataFrame, replay: DataFrame) -> DataFrame:
-    """``(computation_id, reproduced)``: every typed output of both runs agrees.
+def _compared(primary: DataFrame, replay: DataFrame) -> DataFrame:
+    """``(computation_id, same)`` of every output of either run.
 
     Outputs meet in a full outer join on (key, group, position); each must exist on both
     sides, carry the same contract, and differ by at most the primary's tolerance.
@@ -285,7 +308,12 @@ def replay_agreement(primary: DataFrame, replay: DataFrame) -> DataFrame:
         F.abs(F.col("pv") - F.col("rv")) <= F.col("ptol")
     )
     same = F.col("pc").isNotNull() & F.col("rc").isNotNull() & F.col("pc").eqNullSafe(F.col("rc")) & close
-    return both.groupBy("computation_id").agg(F.bool_and(F.coalesce(same, F.lit(False))).alias("reproduced"))
+    return both.select("computation_id", F.coalesce(same, F.lit(False)).alias("same"))
+
+
+def replay_agreement(primary: DataFrame, replay: DataFrame) -> DataFrame:
+    """``(computation_id, reproduced)``: every typed output of both runs agrees."""
+    return _compared(primary, replay).groupBy("computation_id").agg(F.bool_and("same").alias("reproduced"))
 
 
 def reproduce_gate(
@@ -303,10 +331,11 @@ def reproduce_gate(
     exit_code, timed_out, signal, primary_valid, replay_valid, same_contract.
     The first failing rule, in this order, names the reason.
     """
-    bound = claims.withColumn("_cid", F.col("binding.computation_id")).withColumn("_key", F.col("binding.result_key"))
+    # Claims are read for their citations and for their values: written once.
+    claims = cut_lineage(claims)
     # A claim cites few ids, so the test for cited computations runs on its own citations.
     cites = (
-        bound.where(F.col("binding").isNull())
+        claims.where(F.col("binding").isNull())
         .select("section_id", "ord", F.explode("citations").alias("evidence_id"))
         .join(computations.select("evidence_id").distinct(), "evidence_id", "left_semi")
         .select("section_id", "ord", F.lit(True).alias("_cites_run"))
@@ -317,20 +346,7 @@ def reproduce_gate(
     if "ord" not in valid.columns:
         valid = valid.withColumn("ord", F.col("evidence_id"))
     runs = last_rows(valid, ["computation_id"]).withColumnRenamed("computation_id", "_cid").drop("ord")
-    wanted = bound.where(F.col("binding").isNotNull()).select(
-        F.col("_cid").alias("computation_id"), F.col("_key").alias("binding")
-    ).distinct()
-    value = resolve_binding(wanted, primary).select(
-        F.col("computation_id").alias("_cid"), F.col("binding").alias("_key"),
-        F.col("value").alias("_value"), F.col("unit").alias("_unit"), F.col("tolerance").alias("_tol"),
-    )
-    agree = replay_agreement(primary, replay).withColumnRenamed("computation_id", "_cid")
-    joined = (
-        bound.join(cites, ["section_id", "ord"], "left")
-        .join(runs, "_cid", "left")
-        .join(value, ["_cid", "_key"], "left")
-        .join(agree, "_cid", "left")
-    )
+    joined = with_bound_values(claims, primary).join(cites, ["section_id", "ord"], "left").join(runs, "_cid", "left")
     free = F.col("binding").isNull()
     off = F.abs(F.col("_value") - F.col("binding.asserted_value")) > F.col("_tol")
     reason = (
@@ -349,10 +365,13 @@ def reproduce_gate(
         .when(off, K.DROP_REASONS["value"])
     )
     if mode == "live":
+        # A claim that gets this far has a primary output, so only outputs that differ matter.
+        differ = _compared(primary, replay).where(~F.col("same")).select(F.col("computation_id").alias("_cid"), F.lit(True).alias("_differs")).distinct()
+        joined = joined.join(differ, "_cid", "left")
         reason = (
             reason.when(~F.col("replay_valid"), K.DROP_REASONS["replay_invalid"])
             .when(~F.col("same_contract"), K.DROP_REASONS["replay_contract"])
-            .when(~F.coalesce("reproduced", F.lit(False)), K.DROP_REASONS["replay_value"])
+            .when(F.col("_differs"), K.DROP_REASONS["replay_value"])
         )
         states = ("live", "verified", "none")
     else:

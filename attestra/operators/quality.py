@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from attestra import constants as K
 from attestra.functions import numbers as N
 from attestra.functions import text as T
+from attestra.session import cut_lineage
 
 
 def _metric(df: DataFrame, group: list[str], name: str, score: Column, good: Column | None = None, *extra) -> DataFrame:
@@ -42,8 +43,10 @@ def computation_reasons(claims: DataFrame, computations: DataFrame, results: Dat
     origin_verification, verdict, decorrelated. computations: evidence_id, computation_id,
     exit_code, timed_out, signal, result_keys, results_valid.
     """
-    from attestra.operators.analysis import resolve_binding
+    from attestra.operators.analysis import with_bound_values
 
+    # Claims are read for their citations and for their values: written once.
+    claims = cut_lineage(claims)
     runs = computations.select(
         "evidence_id", F.col("computation_id").alias("_cid"), "exit_code", "timed_out", "signal", "result_keys", "results_valid"
     )
@@ -57,17 +60,8 @@ def computation_reasons(claims: DataFrame, computations: DataFrame, results: Dat
         F.bool_or(F.col("_cid") == F.col("_want")).alias("_has"),
         F.count(F.lit(1)).alias("_runs"),
     )
-    wanted = claims.where(F.col("binding").isNotNull()).select(
-        F.col("binding.computation_id").alias("computation_id"), F.col("binding.result_key").alias("binding")
-    ).distinct()
-    value = resolve_binding(wanted, results).select(
-        F.struct(F.col("computation_id"), F.col("binding").alias("result_key")).alias("_b"),
-        F.col("value").alias("_v"), F.col("unit").alias("_u"), F.col("tolerance").alias("_t"),
-    )
     joined = (
-        claims.join(per, keys, "left")
-        .withColumn("_b", F.struct(F.col("binding.computation_id").alias("computation_id"), F.col("binding.result_key").alias("result_key")))
-        .join(value, "_b", "left")
+        with_bound_values(claims, results).join(per, keys, "left")
         .where(F.col("binding").isNotNull() | F.col("_runs").isNotNull())
     )
     state = lambda mode, replay, origin: (
@@ -82,9 +76,9 @@ def computation_reasons(claims: DataFrame, computations: DataFrame, results: Dat
         .when(~e("exit_code").eqNullSafe(F.lit(0)) | e("timed_out") | e("signal").isNotNull(), "computation exit was not successful")
         .when(~F.array_contains(e("result_keys"), F.col("binding.result_key")), "result key absent from evidence")
         .when(~e("results_valid"), "results schema or content hash mismatch")
-        .when(F.col("_v").isNull(), "bound typed result is missing or null")
-        .when(F.col("_u") != F.col("binding.asserted_unit"), "asserted unit mismatch")
-        .when(F.abs(F.col("_v") - F.col("binding.asserted_value")) > F.col("_t"), "asserted value mismatch")
+        .when(F.col("_value").isNull(), "bound typed result is missing or null")
+        .when(F.col("_unit") != F.col("binding.asserted_unit"), "asserted unit mismatch")
+        .when(F.abs(F.col("_value") - F.col("binding.asserted_value")) > F.col("_tol"), "asserted value mismatch")
         .when(~(state("live", "verified", "none") | state("cached", "not_run", "verified")), "verification state is not trusted")
         .when(
             ~(F.col("verdict").eqNullSafe(F.lit("supported")) & F.coalesce("decorrelated", F.lit(False))),

@@ -176,6 +176,32 @@ def test_canonical_json():
 RESULT = "computation_id string, result_key string, group_key string, pos long, type string, value double, unit string, tolerance double"
 
 
+def typed(spark, rows):
+    return spark.createDataFrame(rows, RESULT).select(
+        "*", F.lit("none").alias("comparator"), F.lit(None).cast("double").alias("threshold"), F.lit("neutral").alias("direction"), F.lit(1).alias("precision"),
+        F.lit(0).alias("missing_n"), F.lit(1).alias("observed_n"), F.lit(1).alias("total_n"), F.lit(0.0).alias("fraction"), F.lit(1).alias("sample_n"),
+        F.lit(False).alias("nullable"), F.lit(None).cast("string").alias("note"))
+
+
+def test_gate_makes_claims_once(spark):
+    """The claims' own plan runs once, and each meets its value and its runs in one join of each kind."""
+    bind = lambda key, value: F.struct(F.lit("c1").alias("computation_id"), F.lit(key).alias("result_key"), F.lit(value).alias("asserted_value"), F.lit("u").alias("asserted_unit"))
+    made = spark.range(4).select(
+        F.lit("s").alias("section_id"), F.col("id").alias("ord"), F.array(F.upper(F.concat(F.lit("ru"), F.when(F.col("id") >= 0, "n")))).alias("citations"),
+        F.when(F.col("id") == 0, bind("s::g", 5.0)).when(F.col("id") == 1, bind("s::a::g", 5.0)).when(F.col("id") == 2, bind("x.y", 2.0)).alias("binding"))
+    runs = spark.createDataFrame([("c1", "RUN", True, ["x.y", "s::g", "s::a::g"], 0, False, None, True, True, True)],
+                                 "computation_id string, evidence_id string, valid boolean, result_keys array<string>, exit_code int, timed_out boolean, signal string, "
+                                 "primary_valid boolean, replay_valid boolean, same_contract boolean")
+    good = [("c1", "x.y", None, 0, "scalar", 2.0, "u", 0.1), ("c1", "s", "g", 1, "scalar", 5.0, "u", 0.1), ("c1", "s", "a::g", 2, "scalar", 5.0, "u", 0.1)]
+    found = A.reproduce_gate(made, runs, typed(spark, good), typed(spark, good))
+    assert {r["ord"]: r["drop_reason"] for r in found.collect()} == {
+        0: None, 1: "bound result is missing or null", 2: None, 3: "claim cites computation evidence without a structured binding"}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "upper(" not in plan and plan.count("Join ") == 7
+    cached = A.reproduce_gate(made, runs, typed(spark, good), typed(spark, good), "cached", True)
+    assert cached._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 5
+
+
 def gate(spark, mode="live", origin=False, claim=None, comp=None, primary=None, replay=None):
     """Drop reason of one bound claim after one change to an otherwise good case."""
     base_claim = {"section_id": "s", "ord": 1, "citations": ["run:1"], "binding": ("c1", "x.y", 2.0, "u")}
