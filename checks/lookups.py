@@ -69,17 +69,22 @@ def patent_records(t: Tables) -> DataFrame:
 """)
 def alignment_hits(t: Tables) -> DataFrame:
     """The first three hits of each order's search; every 17th response is cut short."""
-    q, n = F.col("l_quantity").cast("bigint"), F.col("l_linenumber")
     text = lambda c: c.cast("string")
-    segment = _filled(
-        "<Hsp><Hsp_bit-score>50.5</Hsp_bit-score><Hsp_evalue>1e-9</Hsp_evalue><Hsp_query-from>1</Hsp_query-from><Hsp_query-to>%to%</Hsp_query-to><Hsp_identity>%i%</Hsp_identity><Hsp_align-len>%a%</Hsp_align-len></Hsp>",
-        to=text(q + 1), i=text(q - 1 - n % 2), a=text(q - 1),
-    )
-    second = F.when(n % 3 == 0, F.lit("<Hsp><Hsp_identity>1</Hsp_identity><Hsp_align-len>9</Hsp_align-len></Hsp>")).otherwise("")
-    name = F.when(F.col("l_suppkey") % 3 == 0, "protein x").otherwise(F.concat(F.lit("protein x [Sp "), text(F.col("l_suppkey")), F.lit("] [other]")))
-    hit = F.concat(F.lit("<Hit><Hit_def>"), name, F.lit("</Hit_def><Hit_accession>P"), text(F.col("l_partkey")), F.lit("</Hit_accession><Hit_hsps>"), segment, second, F.lit("</Hit_hsps></Hit>"))
-    # An order has a few lines: one response each. Lines may repeat, so the quantity completes their order.
-    hits = t["lineitem"].groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", q.alias("q"), hit.alias("hit")))), lambda x: x["hit"]), "").alias("hits"))
+
+    def hit(x: F.Column) -> F.Column:
+        q, n, supplier = x["q"], x["l_linenumber"], x["l_suppkey"]
+        name = F.when(supplier % 3 == 0, "protein x").otherwise(F.concat(F.lit("protein x [Sp "), text(supplier), F.lit("] [other]")))
+        second = F.when(n % 3 == 0, "<Hsp><Hsp_identity>1</Hsp_identity><Hsp_align-len>9</Hsp_align-len></Hsp>").otherwise("")
+        return F.concat(
+            F.lit("<Hit><Hit_def>"), name, F.lit("</Hit_def><Hit_accession>P"), text(x["l_partkey"]),
+            F.lit("</Hit_accession><Hit_hsps><Hsp><Hsp_bit-score>50.5</Hsp_bit-score><Hsp_evalue>1e-9</Hsp_evalue><Hsp_query-from>1</Hsp_query-from><Hsp_query-to>"), text(q + 1),
+            F.lit("</Hsp_query-to><Hsp_identity>"), text(q - 1 - n % 2), F.lit("</Hsp_identity><Hsp_align-len>"), text(q - 1),
+            F.lit("</Hsp_align-len></Hsp>"), second, F.lit("</Hit_hsps></Hit>"),
+        )
+
+    # An order has a few lines: one response each, written where they have met. Lines may repeat, so the quantity completes their order.
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint").alias("q"))
+    hits = t["lineitem"].groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(line)), hit), "").alias("hits"))
     head = F.lit("<?xml version='1.0'?><BlastOutput><BlastOutput_version>BLASTP 2.x</BlastOutput_version><BlastOutput_db>nr</BlastOutput_db><BlastOutput_query-len>60</BlastOutput_query-len><BlastOutput_iterations><Iteration><Iteration_hits>")
     whole = F.concat(head, "hits", F.lit("</Iteration_hits></Iteration></BlastOutput_iterations></BlastOutput>"))
     key = F.col("l_orderkey")

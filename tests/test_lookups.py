@@ -77,3 +77,19 @@ def test_responses_are_parsed_once(spark):
     records, _, events = LK.patent_lookups(*[rows("a", "{}", DOC)] * 3)
     assert records.first()["found"] and _parses(records) == 0
     assert _parses(events) > 0
+
+
+def test_responses_are_written_where_lines_met(spark):
+    """The shuffle of the made responses carries numbers: no markup before the gather, and the lines keep their order."""
+    from checks import lookups
+    from checks.base import Tables
+
+    t = Tables(spark, "")
+    t.known[("table", "lineitem")] = spark.createDataFrame(
+        [(1, 20, 3, 2, 31.0), (1, 10, 4, 1, 1.0), (1, 20, 3, 2, 11.0), (1, 30, 5, 3, 21.0), (17, 10, 4, 1, 1.0)],
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double")
+    found = lookups.alignment_hits(t)
+    assert [tuple(r) for r in found.orderBy("rank").collect()] == [
+        (1, 1, "BLAST:P10", "dataset", 0.0, 3.3, "Sp 4"), (1, 2, "BLAST:P20", "dataset", 100.0, 20.0, ""), (1, 3, "BLAST:P20", "dataset", 100.0, 53.3, "")]
+    gather = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "partial_collect_list" in line]
+    assert gather and not any("<Hit>" in line for line in gather)
