@@ -31,31 +31,17 @@ def document_numbers(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", S.first_patent_number(F.col("text")).alias("patent_number"))
 
 
-def _first_per_id(rows: DataFrame, value: str) -> DataFrame:
-    return rows.groupBy(*SEQ).agg(F.min_by(value, "pos").alias(value))
-
-
-def _pair_up(docs: DataFrame, pattern: str, value: str) -> DataFrame:
-    """Regex groups 1 and 2 of every match, in text order."""
-    one = F.regexp_extract_all("text", F.lit(pattern), F.lit(1))
-    two = F.regexp_extract_all("text", F.lit(pattern), F.lit(2))
-    return docs.select("doc_id", F.posexplode(F.arrays_zip(one.alias("id"), two.alias("v"))).alias("pos", "m")).select(
-        "doc_id", "pos", F.col("m.id").try_cast("bigint").alias("seq_id"), F.col("m.v").alias(value)
-    )
-
-
-def declared_lengths(docs: DataFrame) -> DataFrame:
-    """Declared length per sequence id of a numbered text listing; the first one counts."""
-    rows = _pair_up(docs, K.DECLARED_LENGTH, "length").withColumn("declared_length", F.col("length").try_cast("bigint"))
-    return _first_per_id(rows, "declared_length")
+def _matches(text: Column, pattern: str) -> Column:
+    """Groups 1 and 2 of every match, in text order."""
+    return F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("id"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("v"))
 
 
 def text_listing(docs: DataFrame) -> DataFrame:
-    """(doc_id, seq_id, pos, residues, declared_length) of text listings."""
-    rows = _pair_up(docs, K.LISTING_BLOCK, "block").withColumn("residues", S.letters(F.col("block")))
-    usable = rows.where(F.length("residues") >= K.MIN_RESIDUES)
-    first = usable.groupBy(*SEQ).agg(F.min(F.struct("pos", "residues")).alias("f")).select(*SEQ, "f.*")
-    return first.join(declared_lengths(docs), SEQ, "left")
+    """(doc_id, seq_id, pos, residues, declared_length) of numbered text listings.
+
+    The first usable block of an id counts, and the first length declared for it.
+    """
+    return _listed(docs, lambda text: F.lit(False))
 
 
 XML_SCHEMA = (
@@ -83,9 +69,7 @@ def _xml_entries(docs: DataFrame) -> DataFrame:
 
 def xml_listing(docs: DataFrame) -> DataFrame:
     """Sequences of XML listings; the first usable entry per id counts."""
-    rows = _xml_entries(docs).where(F.col("seq_id").isNotNull() & (F.length("residues") >= K.MIN_RESIDUES))
-    first = rows.groupBy(*SEQ).agg(F.min(F.struct("pos", "residues", "declared_length")).alias("f"))
-    return first.select(*SEQ, "f.*")
+    return _listed(docs, lambda text: F.lit(True))
 
 
 def is_xml(text: Column) -> Column:
@@ -94,7 +78,39 @@ def is_xml(text: Column) -> Column:
 
 def sequences(docs: DataFrame) -> DataFrame:
     """Sequences of every document; XML listings and text listings take their own route."""
-    return xml_listing(docs.where(is_xml(F.col("text")))).unionByName(text_listing(docs.where(~is_xml(F.col("text")))))
+    return _listed(docs, is_xml)
+
+
+def _listed(docs: DataFrame, xml) -> DataFrame:
+    """Both routes in one pass: a document is read once, and its entries, blocks and declared lengths
+    meet in one aggregate."""
+    part = lambda kind, i, id, length, residues: F.struct(
+        F.lit(kind).alias("kind"), i.alias("pos"), id.alias("id"), length.alias("length"), residues.alias("residues")
+    )
+    none = F.lit(None).cast("string")
+    text = F.col("text")
+    # Malformed XML yields a null record, hence no entries.
+    record = F.from_xml("text", XML_SCHEMA, {"mode": "PERMISSIVE"})["SequenceData"]
+    entries = F.transform(
+        record, lambda e, i: part("entry", i, e["_sequenceIDNumber"], e["INSDSeq"]["INSDSeq_length"], F.coalesce(e["INSDSeq"]["INSDSeq_sequence"], F.lit("")))
+    )
+    blocks = F.transform(_matches(text, K.LISTING_BLOCK), lambda m, i: part("block", i, m["id"], none, m["v"]))
+    lengths = F.transform(_matches(text, K.DECLARED_LENGTH), lambda m, i: part("length", i, m["id"], m["v"], none))
+    # The explode of one text keeps it from being made again for every place it is named.
+    whole = docs.select("doc_id", F.explode(F.array("text")).alias("text")).withColumn("_xml", xml(text))
+    rows = whole.select("doc_id", "_xml", F.explode(F.when(F.col("_xml"), entries).otherwise(F.concat(blocks, lengths))).alias("m"))
+    number = lambda c: F.when(F.col("_xml"), F.when(c.rlike(r"^\s*\d+\s*\z"), F.trim(c).try_cast("bigint"))).otherwise(c.try_cast("bigint"))
+    rows = rows.select(
+        "doc_id", "_xml", "m.pos", number(F.col("m.id")).alias("seq_id"), number(F.col("m.length")).alias("length"),
+        (F.col("m.kind") == "length").alias("_length"), F.when(F.col("m.kind") != "length", S.letters(F.col("m.residues"))).alias("residues"),
+    )
+    usable = (F.length("residues") >= K.MIN_RESIDUES) & (~F.col("_xml") | F.col("seq_id").isNotNull())
+    rows = rows.where(F.col("_length") | usable).groupBy(*SEQ, "_xml").agg(
+        F.min(F.when(~F.col("_length"), F.struct("pos", "residues", "length"))).alias("f"),
+        F.min(F.when(F.col("_length"), F.struct("pos", "length"))).alias("d"),
+    )
+    declared = F.when(F.col("_xml"), F.col("f.length")).when(F.col("doc_id").isNotNull() & F.col("seq_id").isNotNull(), F.col("d.length"))
+    return rows.where(F.col("f").isNotNull()).select(*SEQ, "f.pos", "f.residues", declared.alias("declared_length"))
 
 
 def xml_associations(docs: DataFrame) -> DataFrame:

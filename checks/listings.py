@@ -29,7 +29,7 @@ def _texts(rows: DataFrame, *parts: Column) -> DataFrame:
     """One text a document: each part of all its lines in turn. An order has a few lines."""
     names = [f"p{i}" for i in range(len(parts))]
     entry = F.struct("seq_id", "l_partkey", "l_suppkey", *[p.alias(n) for p, n in zip(parts, names, strict=True)])
-    all_lines = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    all_lines = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(entry)).alias("e"))
     pick = lambda name: F.array_join(F.transform("e", lambda x: x[name]), "")
     return all_lines.select("doc_id", F.concat(*map(pick, names)).alias("text"))
 

@@ -65,6 +65,22 @@ def test_listing_xml(spark):
     assert [(r.seq_id, r.residues) for r in rows if r.doc_id == 3] == [(5, "EVQLVESGG")]
 
 
+def test_listings_are_read_once(spark):
+    """XML and text listings go through one pass: a document is not made again for the other route."""
+    text = ("<210> 9\n<211> 99999999999999999999\n<210> 1\n<211> 12\n<210> 9\n<211> 8\n<210> 1\n<211> 13\nSEQ ID NO: 9\nMET\n\nSEQ ID NO: 9\nEVQLVESGG\n\n"
+            "SEQ ID NO: 1\nARDYY\n\nSEQ ID NO: 99999999999999999999\nGGGGG\n\nSEQ ID NO: 1\nDIQMTQ\n\n")
+    xml = listing(entry(1, "AR", 2), entry(1, "ARDYYGSSYFDY", "about"), entry(99999999999999999999, "GGGG", 4), entry(1, "GGGGGG", 6))
+    two = docs(spark, text, xml, "nothing here").withColumn("text", F.reverse(F.reverse("text")))
+    found = P.sequences(two)
+    got = {(r.doc_id, r.seq_id, r.pos, r.residues, r.declared_length) for r in found.collect()}
+    assert got == {(0, 9, 1, "EVQLVESGG", None), (0, 1, 2, "ARDYY", 12), (0, None, 3, "GGGGG", None), (1, 1, 1, "ARDYYGSSYFDY", None)}
+    # Under one id, the routes stay apart.
+    same = P.sequences(two.withColumn("doc_id", F.lit(7)))
+    assert {(r.seq_id, r.residues, r.declared_length) for r in same.where("seq_id = 1").collect()} == {(1, "ARDYY", 12), (1, "ARDYYGSSYFDY", None)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("reverse(reverse(") == 1 and "Join" not in plan and "Union" not in plan
+
+
 def test_xml_assoc(spark):
     xml = listing(
         entry(1, "EVQLVESGG", 9, feature("1..9", ("product", "kappa light chain"), ("note", "heavy chain variable region")) + feature("1..9", ("note", "VH"))),
