@@ -198,6 +198,17 @@ def test_suffix_dedup_random(spark, largest):
     assert rows(found) == sorted(((i, *w) for (i, _), w in zip(texts, _removed([t for _, t in texts], 90), strict=True)), key=repr)
 
 
+def test_suffix_dedup_counts_bytes_not_words(spark):
+    """The contract's 400 bytes decide: a shared passage of 60 words in 399 bytes stays, one more byte and it goes."""
+    rng = random.Random(5)
+    passage = " ".join("".join(rng.choice("abcdefgh") for _ in range(5 + (i % 3 > 0))) for i in range(60)).ljust(399, "z")
+    assert len(passage) == 399 and len(passage.split()) == 60
+    texts = [(1, "A" + passage + "B"), (2, "C" + passage + "D"), (3, "E" + passage.upper() + "!F"), (4, "G" + passage.upper() + "!H")]
+    found = {r["doc_id"]: (r["removed"], bytes(r["kept"])) for r in substrings.deduplicate(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert found[1] == ([], texts[0][1].encode()) and found[2] == ([], texts[1][1].encode())
+    assert found[3] == ([(1, 401)], b"EF") and found[4] == ([(1, 401)], b"GH")
+
+
 def test_suffix_dedup_empty(empty):
     assert substrings.deduplicate(empty).count() == 0
 
