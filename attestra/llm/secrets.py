@@ -21,6 +21,10 @@ p-values are counted in ``BINS`` logarithmic bins a stratum; the threshold of a
 largest bin edge that passes, which is never laxer than the exact rule. Bins times strata is all
 that reaches the driver. Everything runs in SQL functions.
 
+A text goes to the patterns only if it is ``suspected``: quick tests, each of which every text with a
+span of its kind passes. They decide nothing else. Places of matches come from one extraction and one
+split, and character sets are spelled out, which regular expressions look up and need not compare.
+
 Null and empty texts have no spans. Repeated rows are scanned each by itself, ties (spans that start
 together) are ordered by kind, an empty table gives an empty result, other columns are kept as
 they are.
@@ -29,22 +33,30 @@ they are.
 from __future__ import annotations
 
 from math import log
+from string import ascii_lowercase, ascii_uppercase, digits
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.session import cut_lineage
 
+_ALNUM = ascii_uppercase + ascii_lowercase + digits
+_TOKEN = f"{_ALNUM}+/_=-"
+_VALUE = f"[{_ALNUM}+/_.=-]"
+_VALUE_MIN = 8
 KINDS = {
-    "assign": (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    "assign": (rf"""(?=[apstAPST])(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?({_VALUE}+)""", 2, _VALUE_MIN),
     "access": ("AKIA[A-Z0-9]{12,}", 0, 0),
     "hex": ("[0-9a-f]{32,}", 0, 0),
 }
 MIN_RUN = 20
 RANDOM = "random"
-RUN_PATTERN = f"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}"
+RUN_PATTERN = f"[{_TOKEN}]{{{MIN_RUN},}}"
+# Whether a text has such a run, in one walk without a step back: shorter runs and what parts them, then a run.
+HAS_RUN = rf"\A(?:[{_TOKEN}]{{0,{MIN_RUN - 1}}}+[^{_TOKEN}]++)*+[{_TOKEN}]{{{MIN_RUN}}}"
+HAS_VALUE = rf"""[:=]\x20*["']?{_VALUE}{{{_VALUE_MIN}}}"""
 # Parts of a run: cut at '=', and at none, one or both of the separators that base64 and base64url have as letters.
-CUTS = [f"[A-Za-z0-9+{letters}]{{{MIN_RUN},}}(?:=+$)?" for letters in ("/_-", "_-", "/", "")]
+CUTS = [f"[{_ALNUM}+{letters}]{{{MIN_RUN},}}(?:=+$)?" for letters in ("/_-", "_-", "/", "")]
 BINS = 512
 BINS_A_DECADE = 16
 _CHUNK = 256
@@ -101,17 +113,27 @@ def matches(text: Column, pattern: str, group: int = 0, least: int = 0) -> Colum
     has fewer than ``least`` characters are dropped after matching.
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    between = F.split(text, pattern, -1)
-    items = F.transform(
-        F.arrays_zip(whole.alias("w"), part.alias("p"), F.slice(between, F.lit(1), F.size(whole)).alias("b")),
-        lambda x: F.struct(F.char_length(x["b"]).cast("bigint").alias("gap"), F.char_length(x["w"]).cast("bigint").alias("size"), x["p"].alias("value")),
-    )
+    parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("p")] if group else []
+
+    def items(x: Column) -> Column:
+        return F.transform(
+            F.arrays_zip(x["w"].alias("w"), (x["p"] if group else x["w"]).alias("p"), F.slice(x["b"], F.lit(1), F.size(x["w"])).alias("b")),
+            lambda y: F.struct(F.char_length(y["b"]).cast("bigint").alias("gap"), F.char_length(y["w"]).cast("bigint").alias("size"), y["p"].alias("value")),
+        )
+
+    # as fields and elements of arrays of one, so that what is used more than once is worked out once
+    once = F.transform(F.array(F.struct(whole.alias("w"), F.split(text, pattern, -1).alias("b"), *parts)), items)
     none = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
-    found = F.when(text.rlike(pattern), _cumulated(items)).otherwise(none)
+    found = F.when(text.rlike(HAS_RUN if pattern == RUN_PATTERN else pattern), F.flatten(F.transform(once, _cumulated))).otherwise(none)
     return F.filter(found, lambda s: F.char_length(s["value"]) >= least) if least else found
 
 
+def suspected(text: Column) -> Column:
+    """Whether a text may have spans: a long run (which hex digits are too), an access key's mark, or an assigned value."""
+    assigns = (F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))) & text.rlike(HAS_VALUE) & text.rlike(KINDS["assign"][0])
+    return F.contains(text, F.lit("AKIA")) | assigns | text.rlike(HAS_RUN)
+
+
 def _normal_tail(z: Column) -> Column:
     """P(Z > z) of a standard normal: Abramowitz and Stegun 26.2.17, error under 1e-7."""
     x = F.abs(z)
@@ -164,9 +186,14 @@ def _code(kind: Column) -> Column:
     return out
 
 
+def _literals(values: list) -> Column:
+    """An array of numbers, written as one expression: a call for each takes the driver longer than the job."""
+    return F.expr(f"array({', '.join(f'{v!r}D' if isinstance(v, float) else str(v) for v in values)})")
+
+
 def _classes(x: Column) -> Column:
     """The classes of a candidate's letters, with _START before them."""
-    table = F.array(*[F.lit(c) for classes in CLASSES.values() for c in classes + [3] * (_WIDTH - len(classes))])
+    table = _literals([c for classes in CLASSES.values() for c in classes + [3] * (_WIDTH - len(classes))])
     return F.concat(F.array(F.lit(_START)), F.transform(x["at"], lambda a: F.get(table, x["code"] * _WIDTH + a)))
 
 
@@ -292,7 +319,7 @@ def _log_ratio(x: Column, model: dict) -> Column:
         k = len(share)
         weight += [-log(k * w) for w in share] + [0.0] * (_WIDTH - k)
         step += [-log(w) for row in following for w in row]
-    weights, steps = F.array(*[F.lit(w) for w in weight]), F.array(*[F.lit(w) for w in step])
+    weights, steps = _literals(weight), _literals(step)
     letters = F.transform(x["at"], lambda a: F.get(weights, x["code"] * _WIDTH + a))
     classes = F.transform(_pairs(_classes(x)), lambda p: F.get(steps, x["code"] * 20 + p["a"] * 4 + p["b"]))
     return _total(letters) + _total(classes)
@@ -389,19 +416,19 @@ def scan(docs: DataFrame, fdr: float = 0.05, alpha: float = 0.001) -> DataFrame:
         return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
     text = F.coalesce("text", F.lit(""))
-    runs = battery(docs.select(text.alias("text")).where(F.col("text").rlike(RUN_PATTERN)).select(candidates(F.col("text")).alias("runs")), "runs")
+    runs = battery(docs.select(text.alias("text")).where(F.col("text").rlike(HAS_RUN)).select(candidates(F.col("text")).alias("runs")), "runs")
     tested = cut_lineage(runs.select(F.explode("runs").alias("x")))
     models = word_models(tested, alpha)
     limits = thresholds(tested, models, fdr, alpha)
 
     def random(x: Column) -> Column:
-        limit = F.lit(BINS)
-        for name, b in sorted(limits.items()):
-            limit = F.when(_stratum(x) == name, b).otherwise(limit)
-        return _bin(_p_words(x, models, alpha)) >= limit
+        known = F.create_map(*[F.lit(v) for pair in sorted(limits.items()) for v in pair])
+        return _bin(_p_words(x, models, alpha)) >= F.coalesce(known[_stratum(x)], F.lit(BINS)) if limits else F.lit(False)
 
-    base = F.array_sort(F.concat(*[spans(matches(text, *rule), i, kind) for i, (kind, rule) in enumerate(KINDS.items())]))
-    rows = battery(docs.withColumn("_runs", candidates(text)), "_runs").withColumn("base", F.coalesce(base, none))
+    held = F.col("_text")
+    base = F.array_sort(F.concat(*[spans(matches(held, *rule), i, kind) for i, (kind, rule) in enumerate(KINDS.items())]))
+    docs = docs.withColumn("_text", F.when(suspected(text), text).otherwise(F.lit("")))
+    rows = battery(docs.withColumn("_runs", candidates(held)).withColumn("base", F.coalesce(base, none)).drop("_text"), "_runs")
     found = F.concat("base", spans(F.filter("_runs", random), len(KINDS), RANDOM))
     wide = F.array_sort(F.transform(found, lambda s: F.struct(s["start"], (-s["end"]).alias("back"), s["rank"], s["end"], s["kind"])))
     rows = rows.withColumn("_found", wide)

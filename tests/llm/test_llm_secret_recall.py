@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+import re
 
+import brute
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +110,21 @@ def test_many_spans_keep_the_widest(spark):
             want.append((a, b, kind))
         top = max(top, b)
     assert sorted(got, key=len) == [[], want]
+
+
+def test_only_suspected_texts_meet_the_patterns(spark):
+    runs = ["a" * 19, "b" * 20, "9f" * 15 + "c", "9f" * 16, "AKIA" + "Z" * 11, "AKIA" + "Z" * 12]
+    assigned = [f"{key}{mid}{value}" for key in ("Password", "toKen", "API_key", "apikey", "toKen") for mid in ("=", "' : \"", " :  ") for value in ("v.x+567", "v.x+5678")]
+    plain = ["", "word " * 600_000, "x" * 19 + "\n" + "y" * 19, "\U0001f600" * 30, "time: 12:30, a=b", None]
+    texts = plain + [before + core + after for core in runs + assigned for before, after in (("", ""), ("\U0001f600 ", "."), ("one\ntwo ", "\nthree"))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    found = secrets.scan(docs)
+    # the patterns' extractions work on the texts that are left, not on all
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all(_text" in plan and "regexp_extract_all(text" not in plan and "regexp_extract_all(coalesce(text" not in plan
+    text = F.coalesce("text", F.lit(""))
+    got = {r["doc_id"]: r for r in found.select("doc_id", secrets.suspected(text).alias("may"), F.size(secrets.candidates(text)).alias("n"), secrets.written(F.col("base")).alias("base")).collect()}
+    for i, t in enumerate(texts):
+        want = ",".join(brute.base_secrets(t or ""))
+        assert got[i]["base"] == want and got[i]["may"] == bool(want or re.search("[A-Za-z0-9+/_=-]{20}", t or "") or "AKIA" in (t or "")), t
+        assert (got[i]["n"] > 0) == bool(re.search("[A-Za-z0-9+/_=-]{20}", t or "")), t
