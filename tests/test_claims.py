@@ -182,3 +182,17 @@ def test_classes_that_share_some_words_are_no_candidates(spark):
     assert want <= found and len(found) < len(want) + 100
     edges = {tuple(sorted((int(a[1:]), int(b[1:])), reverse=True)) for a, b in X.overlap_edges(cited).collect()}
     assert edges == want
+
+
+def test_large_sets_that_share_a_few_words_are_no_candidates(spark):
+    rng = random.Random(7)
+    lines = [sorted({*rng.sample([f"c{i}" for i in range(300)], n // 4), *rng.sample([f"r{i}" for i in range(4000)], n - n // 4)}) for n in (60, 95, 96, 150, 191, 192, 260, 400) * 30]
+    lines += [line[: len(line) * 4 // 5] + [f"x{i}"] for i, line in enumerate(lines[:40])] + [line[len(line) // 2 :] for line in lines[:40]]
+    sets = [set(w) for w in lines]
+    want = {(i, j) for i in range(len(sets)) for j in range(i) if 2 * len(sets[i] & sets[j]) >= len(sets[i] | sets[j])}
+    rows = [(i, f"k{i:04d}", "PMID:1", w) for i, w in enumerate(lines)]
+    cited = spark.createDataFrame(rows, "no bigint, class_id string, cite_key string, words array<string>")
+    found = {tuple(sorted(r, reverse=True)) for r in X.overlap_candidates(cited).collect()}
+    assert len(want) >= 80 and want <= found and len(found) < 2 * len(want), (len(want), len(found))
+    edges = {tuple(sorted((int(a[1:]), int(b[1:])), reverse=True)) for a, b in X.overlap_edges(cited).collect()}
+    assert edges == want
