@@ -196,3 +196,19 @@ def test_large_sets_that_share_a_few_words_are_no_candidates(spark):
     assert len(want) >= 80 and want <= found and len(found) < 2 * len(want), (len(want), len(found))
     edges = {tuple(sorted((int(a[1:]), int(b[1:])), reverse=True)) for a, b in X.overlap_edges(cited).collect()}
     assert edges == want
+
+
+def test_claims_are_read_and_keyed_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    texts = ["same fact", "Same fact!", "κύτταρο", "a b c d", "a b c e", "κύτταρο", "", "a b c d"]
+    rows = [("s", i, t, ["P"], .5) for i, t in enumerate(texts)]
+    claims = spark.createDataFrame(rows, CLAIM).withColumn("text", seen.asNondeterministic()("text"))
+    groups = {r.ord: r.group_id for r in X.claim_groups(claims).collect()}
+    assert groups == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3, 5: 5, 6: 6, 7: 3}
+    assert read.value == len(rows)
