@@ -89,3 +89,11 @@ def test_every_operator_has_a_query():
     assert "pipeline" in names
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.QUERIES) <= set(names)
+
+
+def test_secrets_stage_passes_plain_texts_by(spark):
+    rows = [(1, "plain words " * 50, 600), (2, "token=abcdefgh1 end", 19), (3, "see AKIA" + "Z" * 16 + " here", 34), (4, None, 0)]
+    out = P.redact(spark, spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint"), "")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all(_text" in plan and "regexp_extract_all(text" not in plan and "regexp_extract_all(coalesce(text" not in plan
+    assert sorted(map(tuple, out.collect())) == [rows[0], (2, "[SECRET] end", 12), (3, "see [SECRET] here", 17), rows[3]]
